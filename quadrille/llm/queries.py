@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quadrille.llm.adaptive_rules import adaptive_rules
 from quadrille.llm.common import table
+from quadrille.llm.packing import pack
+
+#: Vocabulary of op6.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(spark, table(spark, sf_dir, "documents"), tokenizer=TOKENIZER)
 
 
 def op7_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +25,7 @@ def op7_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_best_two_fit": op6_best_two_fit,
         "op7_adaptive_rules": op7_adaptive_rules,
     }
 
