@@ -10,11 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from quadrille.llm.adaptive_rules import adaptive_rules
 from quadrille.llm.common import table
 from quadrille.llm.packing import pack
+from quadrille.llm.warc import deduplicated_archives
 
 #: Vocabulary of op6.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated_archives(spark, table(spark, sf_dir, "pages"))
+
+
 def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, table(spark, sf_dir, "documents"), tokenizer=TOKENIZER)
 
@@ -25,6 +30,7 @@ def op7_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_revisit_resolution": op3_revisit_resolution,
         "op6_best_two_fit": op6_best_two_fit,
         "op7_adaptive_rules": op7_adaptive_rules,
     }
@@ -86,5 +92,20 @@ FROM b JOIN judged USING (r)
 """
 
 
+OP3_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (
+  SELECT page_id, octet_length(encode(t)) AS payload_bytes,
+         array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           ((('0x' || substr(h, 5 * (i // 4)::INT + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '') AS payload_digest
+  FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM m
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_adaptive_rules": OP7_SQL}
+    return {"op3_revisit_resolution": OP3_SQL, "op7_adaptive_rules": OP7_SQL}
