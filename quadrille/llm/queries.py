@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quadrille.llm.adaptive_rules import adaptive_rules
 from quadrille.llm.common import table
+from quadrille.llm.langid import fit as fit_languages
+from quadrille.llm.langid import held_out, identify
 from quadrille.llm.packing import pack
 from quadrille.llm.warc import deduplicated_archives
 
@@ -28,11 +30,18 @@ def op7_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive_rules(spark, table(spark, sf_dir, "documents")).drop("reasons")
 
 
+def op8_script_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(docs, ~held_out())
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_revisit_resolution": op3_revisit_resolution,
         "op6_best_two_fit": op6_best_two_fit,
         "op7_adaptive_rules": op7_adaptive_rules,
+        "op8_script_viterbi": op8_script_viterbi,
     }
 
 
