@@ -12,12 +12,18 @@ from quadrille.llm.common import table
 from quadrille.llm.langid import fit as fit_languages
 from quadrille.llm.langid import held_out, identify
 from quadrille.llm.packing import pack
+from quadrille.llm.quality_rank import rank_quality
 from quadrille.llm.warc import deduplicated_archives
 
 #: Vocabulary of op6.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return rank_quality(docs, labels, ~held_out()).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op3_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated_archives(spark, table(spark, sf_dir, "pages"))
 
@@ -38,6 +44,7 @@ def op8_script_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_bradley_terry": op2_bradley_terry,
         "op3_revisit_resolution": op3_revisit_resolution,
         "op6_best_two_fit": op6_best_two_fit,
         "op7_adaptive_rules": op7_adaptive_rules,
