@@ -135,12 +135,10 @@ def adaptive_rules(spark: SparkSession, docs: DataFrame, *, min_words: int = 50,
     """
     scratch = Scratch(spark)
     m = scratch.cut(with_base(measure(docs), min_words, max_repeat_percent), "measures")
-    f = fences(sketch(m), reach)
-    wide = f.groupBy("level", *LEVELS[0]).pivot("metric", list(METRICS)).agg(F.first("fence")).join(
-        f.groupBy("level", *LEVELS[0]).agg(F.max("rows").alias("rows")).withColumnsRenamed({"level": "l", "lang": "a", "source": "b"}),
-        (F.col("level") == F.col("l")) & F.col("lang").eqNullSafe(F.col("a")) & F.col("source").eqNullSafe(F.col("b")),
-    )
-    wide = wide.select("level", *LEVELS[0], "rows", F.struct(*METRICS).alias("fence"))
+    f = fences(scratch.cut(sketch(m), "sketch"), reach)
+    one = lambda k: F.max(F.when(F.col("metric") == k, F.col("fence"))).alias(k)
+    wide = f.groupBy("level", *LEVELS[0]).agg(F.max("rows").alias("rows"), *map(one, METRICS))
+    wide = scratch.cut(wide.select("level", *LEVELS[0], "rows", F.struct(*METRICS).alias("fence")), "levels")
     fine, by_lang, whole = (wide.where(F.col("level") == i) for i in range(3))
     chosen = (
         fine.alias("f")
