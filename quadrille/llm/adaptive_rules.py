@@ -139,11 +139,11 @@ def adaptive_rules(spark: SparkSession, docs: DataFrame, *, min_words: int = 50,
     one = lambda k: F.max(F.when(F.col("metric") == k, F.col("fence"))).alias(k)
     wide = f.groupBy("level", *LEVELS[0]).agg(F.max("rows").alias("rows"), *map(one, METRICS))
     wide = scratch.cut(wide.select("level", *LEVELS[0], "rows", F.struct(*METRICS).alias("fence")), "levels")
-    fine, by_lang, whole = (wide.where(F.col("level") == i) for i in range(3))
+    fine, by_lang, whole = (wide.where(F.col("level") == i).withColumn("one", F.lit(1)) for i in range(3))
     chosen = (
         fine.alias("f")
         .join(by_lang.alias("l"), F.col("f.lang").eqNullSafe(F.col("l.lang")), "left")
-        .crossJoin(whole.alias("w"))  # one row
+        .join(whole.alias("w"), F.col("f.one") == F.col("w.one"))
         .select(
             F.col("f.lang").alias("of_lang"),
             F.col("f.source").alias("of_source"),

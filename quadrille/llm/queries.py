@@ -11,6 +11,7 @@ from quadrille.llm.adaptive_rules import adaptive_rules
 from quadrille.llm.common import table
 from quadrille.llm.langid import fit as fit_languages
 from quadrille.llm.langid import held_out, identify
+from quadrille.llm.ngram_join import ngram_components
 from quadrille.llm.packing import pack
 from quadrille.llm.quality_rank import rank_quality
 from quadrille.llm.warc import deduplicated_archives
@@ -19,6 +20,10 @@ from quadrille.llm.warc import deduplicated_archives
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(spark, table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op2_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return rank_quality(docs, labels, ~held_out()).select("doc_id", held_out().alias("held_out"), "score", "predicted")
@@ -44,6 +49,7 @@ def op8_script_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_bradley_terry": op2_bradley_terry,
         "op3_revisit_resolution": op3_revisit_resolution,
         "op6_best_two_fit": op6_best_two_fit,
