@@ -14,6 +14,7 @@ from quadrille.llm.langid import held_out, identify
 from quadrille.llm.ngram_join import ngram_components
 from quadrille.llm.packing import pack
 from quadrille.llm.quality_rank import rank_quality
+from quadrille.llm.sparse_suffix import repeated_spans
 from quadrille.llm.warc import deduplicated_archives
 
 #: Vocabulary of op6.
@@ -47,6 +48,10 @@ def op8_script_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op10_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -55,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_best_two_fit": op6_best_two_fit,
         "op7_adaptive_rules": op7_adaptive_rules,
         "op8_script_viterbi": op8_script_viterbi,
+        "op10_sparse_suffix": op10_sparse_suffix,
     }
 
 
