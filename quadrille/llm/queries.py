@@ -13,6 +13,7 @@ from quadrille.llm.langid import fit as fit_languages
 from quadrille.llm.langid import held_out, identify
 from quadrille.llm.ngram_join import ngram_components
 from quadrille.llm.packing import pack
+from quadrille.llm.paragraph_dedup import paragraph_groups
 from quadrille.llm.quality_rank import rank_quality
 from quadrille.llm.sparse_suffix import repeated_spans
 from quadrille.llm.warc import deduplicated_archives
@@ -34,6 +35,10 @@ def op3_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated_archives(spark, table(spark, sf_dir, "pages"))
 
 
+def op4_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_groups(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, table(spark, sf_dir, "documents"), tokenizer=TOKENIZER)
 
@@ -57,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_bradley_terry": op2_bradley_terry,
         "op3_revisit_resolution": op3_revisit_resolution,
+        "op4_paragraph_minhash": op4_paragraph_minhash,
         "op6_best_two_fit": op6_best_two_fit,
         "op7_adaptive_rules": op7_adaptive_rules,
         "op8_script_viterbi": op8_script_viterbi,
