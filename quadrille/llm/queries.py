@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quadrille.llm.adaptive_rules import adaptive_rules
 from quadrille.llm.common import table
+from quadrille.llm.decontaminate import contaminated
 from quadrille.llm.langid import fit as fit_languages
 from quadrille.llm.langid import held_out, identify
 from quadrille.llm.ngram_join import ngram_components
@@ -39,6 +40,10 @@ def op4_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_groups(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, table(spark, sf_dir, "documents"), tokenizer=TOKENIZER)
 
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bradley_terry": op2_bradley_terry,
         "op3_revisit_resolution": op3_revisit_resolution,
         "op4_paragraph_minhash": op4_paragraph_minhash,
+        "op5_latent_decontamination": op5_latent_decontamination,
         "op6_best_two_fit": op6_best_two_fit,
         "op7_adaptive_rules": op7_adaptive_rules,
         "op8_script_viterbi": op8_script_viterbi,
