@@ -16,6 +16,7 @@ from quadrille.llm.ngram_join import ngram_components
 from quadrille.llm.packing import pack
 from quadrille.llm.paragraph_dedup import paragraph_groups
 from quadrille.llm.quality_rank import rank_quality
+from quadrille.llm.recurrent_lm import score_documents
 from quadrille.llm.sparse_suffix import repeated_spans
 from quadrille.llm.warc import deduplicated_archives
 
@@ -58,6 +59,12 @@ def op8_script_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_gated_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out_of_fold = held_out(n=5, at=1)
+    scored = score_documents(spark, table(spark, sf_dir, "documents"), ~out_of_fold)
+    return scored.select("doc_id", out_of_fold.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(spark, table(spark, sf_dir, "documents"))
 
@@ -72,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_best_two_fit": op6_best_two_fit,
         "op7_adaptive_rules": op7_adaptive_rules,
         "op8_script_viterbi": op8_script_viterbi,
+        "op9_gated_recurrent_lm": op9_gated_recurrent_lm,
         "op10_sparse_suffix": op10_sparse_suffix,
     }
 
