@@ -213,12 +213,12 @@ def join_dedup(spark, d):
     return joins.distinct_pairs(joins.spatial_join(orders(spark, d), lines(spark, d)), "keys").select("l_key", "r_key")
 
 
-@query(f"""WITH b AS (SELECT o_orderkey AS k, min(least({ODAY}, {LDAY})) AS lo, max(greatest({ODAY}, {LDAY})) AS hi FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 10 = 0 GROUP BY 1)
-SELECT x.k AS a, y.k AS b FROM b x JOIN b y ON x.k < y.k AND x.lo <= y.hi AND y.lo <= x.hi AND x.hi - x.lo < 40 AND y.hi - y.lo < 40""")
+@query(f"""WITH b AS (SELECT o_orderkey AS k, min(least({ODAY}, {LDAY})) AS lo, max(greatest({ODAY}, {LDAY})) AS hi FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 50 = 0 GROUP BY 1)
+SELECT x.k AS a, y.k AS b FROM b x JOIN b y ON x.k < y.k AND x.lo <= y.hi AND y.lo <= x.hi""")
 def interval_join_orders_lineitem(spark, d):
-    o, li = read(spark, d, "orders").where("o_orderkey % 10 = 0"), read(spark, d, "lineitem")
+    o, li = read(spark, d, "orders").where("o_orderkey % 50 = 0"), read(spark, d, "lineitem")
     both = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", days("o_orderdate").alias("x"), days("l_shipdate").alias("y"))
-    ranges = both.groupBy("o_orderkey").agg(F.min(F.least("x", "y")).alias("lo"), F.max(F.greatest("x", "y")).alias("hi")).where("hi - lo < 40")
+    ranges = both.groupBy("o_orderkey").agg(F.min(F.least("x", "y")).alias("lo"), F.max(F.greatest("x", "y")).alias("hi"))
     t = tuples.to_tuples(ranges, "o_orderkey", [("lo", "hi")], F.lit(0), keep=("o_orderkey",))
     return joins.overlap_join(t, t).where("l_o_orderkey < r_o_orderkey").select(F.col("l_o_orderkey").alias("a"), F.col("r_o_orderkey").alias("b"))
 
