@@ -107,3 +107,18 @@ def test_catalog(spark, tmp_path):
         c.put("g_t", generators.boxes(spark, 1, 3))
     c.delete_table("g_t")
     assert c.tables("g") == []
+
+
+def test_command_line(spark, tmp_path):
+    from quadrille.cli import run
+
+    go = lambda *a: run(spark, [*a, "--root", str(tmp_path / "db")])
+    go("create_dgroup", "--group", "g", "--dimensions", "2")
+    go("create_table", "--table", "g_t")
+    go("insert", "--table", "g_t", "--key", "k", "--box", "[[1,2]:[3,4]]", "--value", "some payload")
+    go("insert", "--table", "g_t", "--key", "m", "--box", "[[8,9]:[3,4]]")
+    assert [r.data for r in go("query_key", "--table", "g_t", "--key", "k").collect()] == ["some payload"]
+    assert go("query_range", "--table", "g_t", "--box", "[[0,5]:[0,5]]", "--filter", "contains=pay").count() == 1
+    assert go("query_join", "--table", "g_t,g_t").count() == 2
+    go("delete", "--table", "g_t", "--key", "k")
+    assert go("query_time", "--table", "g_t", "--time", "0").count() == 1 and go("show_dgroup") == ["g"]
