@@ -71,8 +71,9 @@ class KDTree:
             if at is None:
                 done.append((box, level, some))
                 continue
-            for part in box.split(at, d):
-                leaves.append((part, level + 1, [s for s in some if part.meets(Box.of(*s))]))
+            left, right = box.split(at, d)
+            leaves.append((left, level + 1, [s for s in some if s[2 * d] <= at]))
+            leaves.append((right, level + 1, [s for s in some if s[2 * d + 1] > at]))
         out = sorted(leaves + done, key=lambda x: [s.lo for s in x[0].sides])
         return [Region(i, b, level) for i, (b, level, _) in enumerate(out)]
 
