@@ -1,0 +1,278 @@
+"""Each operator on small tables with odd rows, against brute force, and on empty tables."""
+
+import base64
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from quadrille.llm import queries
+from quadrille.llm.adaptive_rules import adaptive_rules
+from quadrille.llm.components import connected_components, neighbours
+from quadrille.llm.common import Scratch
+from quadrille.llm.decontaminate import contaminated
+from quadrille.llm.langid import fit, held_out, identify
+from quadrille.llm.ngram_join import ngram_components
+from quadrille.llm.packing import pack
+from quadrille.llm.paragraph_dedup import paragraph_groups
+from quadrille.llm.quality_rank import rank_quality
+from quadrille.llm.recurrent_lm import score_documents
+from quadrille.llm.sparse_suffix import repeated_spans, without_repeats
+from quadrille.llm.warc import deduplicated_archives
+
+#: Further columns whose names operators use themselves.
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, id long, score double, spans string, component string"
+VOCABULARY = [a + b for a in ("ba", "co", "di", "fu", "ge") for b in ("la", "mi", "no", "pu", "ra", "se", "to")]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(VOCABULARY) + rng.choice(VOCABULARY) for _ in range(n))
+
+
+def texts():
+    rng = random.Random(9)
+    base = prose(rng, 120)
+    near = base.split()
+    near[3] = "other"
+    passage = prose(rng, 60)
+    out = [None, "", "  \n ", "12 34", "Word", "two words", base, base, " ".join(near), prose(rng, 30_000), "x" * 50_000, "Of " * 200]
+    out += [prose(rng, 80) + "\n" + passage + "\n" + prose(rng, 40), passage + "\n" + prose(rng, 70), prose(rng, 60) + "\n" + passage.replace(passage.split()[9], "changed")]
+    out += [prose(rng, rng.randint(5, 200)) for _ in range(25)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, ("en", "fr", None)[i % 3], ("a", None)[i % 2], len(t or ""), 1, 2, 0.5, "s", "c") for i, t in enumerate(texts())]
+    rows += [(6, rows[6][1], "en", "a", 1, 1, 2, 0.5, "s", "c"), (None, "a row without id", "en", "a", 1, 1, 2, 0.5, "s", "c")]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def py_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1040)] + [(5000, i) for i in range(4000, 4050)]
+    got = {r.node: r.component for r in connected_components(spark, spark.createDataFrame(links, "a long, b long"), Scratch(spark)).collect()}
+    root = {x: x for p in links for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    assert got == {x: find(x) for x in linked}
+
+
+def test_neighbours_cross_partitions(spark):
+    rows = [(7, i) for i in range(500)] + [(k, 0) for k in range(100, 130)] + [(8, 1), (8, 2)]
+    got = neighbours(spark.createDataFrame(rows, "k long, v long"), ["k"], ["v"], ["v"], Scratch(spark)).collect()
+    assert sorted((r.v_1, r.v_2) for r in got) == sorted([(i, i + 1) for i in range(499)] + [(1, 2)])
+
+
+def test_ngram_components(spark, docs):
+    got = ngram_components(spark, docs, n=3, percent=90).collect()
+    assert len(got) == docs.count()
+    sets = {}
+    for r in docs.collect():
+        w = py_words(r.text)
+        sets[r.doc_id] = {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()
+    root = {i: i for i in sets if i is not None}
+    for a in sorted(root):
+        for b in sorted(root):
+            both = len(sets[a] & sets[b])
+            if a < b and sets[a] and sets[b] and 100 * both >= 90 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+    for r in got:
+        assert r.n_shingles == len(sets[r.doc_id]) and r.component_id == (None if r.doc_id is None else root[r.doc_id])
+    assert root[8] == 6
+
+
+def test_quality(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(6, 1, 0), (None, 1, 0), (99, None, 0)], "doc_id long, quality int, toxic int")
+    got = rank_quality(docs, labels, ~held_out())
+    rows = got.collect()
+    assert len(rows) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
+    assert {r.score for r in rank_quality(docs, labels.where("quality = 1"), F.lit(True)).collect()} == {0.5}
+
+
+def test_quality_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    got = queries.op2_bradley_terry(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    assert got.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0] > 0.9
+
+
+def test_warc(spark):
+    rows = [(i, f"http://h/{i}", f"<p>{i % 5}</p>" * (i % 5)) for i in range(20)] + [(30, None, None), (31, "a b\r\nX-Header: y", ""), (None, "u", "\r\n\r\nWARC/1.1\r\n\r\né"), (7, "http://h/7", "<p>2</p><p>2</p>")]
+    pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, payload string")
+    groups = collections.defaultdict(list)
+    for i, _, html in rows:
+        raw = (html or "").encode()
+        groups[base64.b32encode(hashlib.sha1(raw).digest()).decode(), len(raw)].append(i)
+    for least in (0, 10):
+        want = []
+        for (code, n), ids in groups.items():
+            top = max((i for i in ids if i is not None), default=None)
+            for i in ids:
+                first = i == top or n < least
+                want.append((i, n, code, "response" if first else "revisit", None if first else top))
+        got = deduplicated_archives(spark, pages, min_bytes=least).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert deduplicated_archives(spark, pages.limit(0)).count() == 0
+
+
+def test_paragraphs(spark, docs):
+    got = paragraph_groups(spark, docs, min_words=20).collect()
+    by = collections.defaultdict(set)
+    for r in got:
+        by[r.component_id].add((r.doc_id, r.first, r.removed))
+    passage = next(v for v in by.values() if any(d == 12 for d, _, _ in v))
+    assert {d for d, _, _ in passage} == {12, 13, 14} and [d for d, _, x in passage if not x] == [12]
+    whole = next(v for v in by.values() if any(d == 6 for d, _, _ in v))
+    assert {d for d, _, _ in whole} == {6, 7, 8}
+    assert all(r.doc_id is not None for r in got) and not any(r.doc_id in (0, 1, 2, 5) for r in got)
+
+
+def test_decontamination(spark, docs):
+    rows = docs.where("doc_id in (20, 21)").orderBy("doc_id").collect()
+    item = " ".join(rows[0].text.split()[:40]) or "none"
+    words = item.split()
+    paraphrase = " ".join(w if i % 9 else "changed" for i, w in enumerate(words))
+    bench = spark.createDataFrame([(1, item, "x"), (2, None, "x"), (3, "unrelated words that stand nowhere else at all here", "x"), (4, "", "x")], "item_id long, text string, extra string")
+    more = spark.createDataFrame([(500, "before " + paraphrase + " after", "en", "a", 1, 1, 2, 0.5, "s", "c")], SCHEMA)
+    got = {(r.doc_id, r.item_id) for r in contaminated(spark, docs.unionByName(more), bench).collect()}
+    assert got == {(20, 1), (500, 1)}
+    assert contaminated(spark, docs, bench.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        contaminated(spark, docs, bench, most_items=1)
+
+
+def test_packing(spark, docs):
+    from tokenizers import Tokenizer
+
+    got = pack(spark, docs, tokenizer=queries.TOKENIZER, length=64, bucket_rows=200).collect()
+    t = Tokenizer.from_file(queries.TOKENIZER)
+    want = collections.Counter()
+    for r in docs.collect():
+        ids = np.asarray([*t.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
+        for k, at in enumerate(range(0, len(ids), 64)):
+            want[r.doc_id, k, at, len(ids[at : at + 64]), zlib.crc32(ids[at : at + 64].tobytes())] += 1
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    at = collections.defaultdict(list)
+    for r in got:
+        at[r.sequence_id].append((r.offset, r.length))
+    for places in at.values():
+        end = 0
+        for o, n in sorted(places):
+            assert o == end
+            end += n
+        assert end <= 64
+
+
+def test_rules(spark, docs):
+    got = {(r.doc_id, r.n_words): r for r in adaptive_rules(spark, docs).collect()}
+    for d in docs.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", d.text or "")
+        r = got[d.doc_id, len(w)]
+        seen = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        covered = {j for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        lines = [x for x in (d.text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (r.word_chars, r.n_repeat_words, r.n_dup_lines) == (sum(map(len, w)), len(covered), len(lines) - len(set(lines)))
+        assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (r.base_failed and r.kept)
+    plan = adaptive_rules(spark, docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_languages(spark, docs):
+    got = identify(docs, fit(docs, ~held_out()), prefix="__").collect()
+    assert len(got) == docs.count() and all(r["__lang_pred"] in ("en", "fr", "und") and 0 <= r["__score"] <= 1 for r in got)
+    assert {r.doc_id for r in got if r["__lang_pred"] == "und"} == {0, 1, 2, 3} and got[0].score == 0.5
+    sf = "/root/testdata/sf0.01"
+    held = queries.op8_script_viterbi(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
+    assert held.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
+    with pytest.raises(ValueError):
+        fit(docs, F.lit(True), most_languages=1)
+
+
+def test_language_model_counts(spark, docs):
+    training = ~held_out(n=5, at=1)
+    got = score_documents(spark, docs, training, symbols=20).collect()
+    rows = docs.collect()
+    inside = lambda i: i is None or zlib.crc32(str(i).encode()) % 5 != 1
+    counts = collections.Counter(w for r in rows if inside(r.doc_id) for w in [*py_words(r.text), "\n"])
+    total, distinct = sum(counts.values()), len(counts)
+    want = collections.Counter()
+    for r in rows:
+        w = [*py_words(r.text), "\n"]
+        want[r.doc_id, len(w), sum(counts[x] > 0 for x in w), total, round(sum(math.log10((counts[x] + 0.5) / (total + 0.5 * (distinct + 1))) for x in w), 3)] += 1
+    assert collections.Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 3)) for r in got) == want
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+    none = score_documents(spark, docs.limit(2), F.lit(False)).collect()
+    assert all(r.score == r.base_score and r.train_tokens == 0 for r in none)
+
+
+def test_repeated_spans(spark, docs):
+    got = repeated_spans(spark, docs).collect()
+    places = collections.defaultdict(set)
+    for r in got:
+        places[r.doc_id] |= set(range(r.first, r.first + r.words))
+    seen = collections.defaultdict(set)
+    words = {r.doc_id: py_words(r.text) for r in docs.collect() if r.doc_id is not None}
+    for i, w in words.items():
+        for k in range(len(w) - 49):
+            seen[tuple(w[k : k + 50])].add((i, k))
+    want = collections.defaultdict(set)
+    for at in seen.values():
+        if len(at) > 1:
+            for i, k in at:
+                want[i] |= set(range(k, k + 50))
+    assert {i: v for i, v in places.items() if i != 11} == {i: v for i, v in want.items() if i != 11}
+    clean = {r.doc_id: r for r in without_repeats(spark, docs.where("doc_id is not null").dropDuplicates(["doc_id"])).collect()}
+    left = collections.Counter(g for r in clean.values() for w in [py_words(r.text)] for g in {tuple(w[k : k + 50]) for k in range(len(w) - 49)})
+    assert max(left.values()) == 1 and set(clean[12].asDict()) == set(SCHEMA.replace(",", "").split()[::2])
+    assert clean[6].text == texts()[6] and clean[7].text == "" and len(py_words(clean[11].text)) == 50
+
+
+def test_empty_tables(spark, empty):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "some words of an item that nothing holds")], "item_id long, text string")
+    assert ngram_components(spark, empty).count() == 0
+    assert rank_quality(empty, labels, F.lit(True)).count() == 0
+    assert paragraph_groups(spark, empty).count() == 0
+    assert contaminated(spark, empty, bench).count() == 0
+    assert pack(spark, empty, tokenizer=queries.TOKENIZER).count() == 0
+    assert adaptive_rules(spark, empty).count() == 0
+    assert identify(empty, fit(empty, F.lit(True))).count() == 0
+    assert score_documents(spark, empty, F.lit(True)).count() == 0
+    assert repeated_spans(spark, empty).count() == 0
+
+
+def test_pipeline(spark, docs, tmp_path):
+    sf = str(tmp_path)
+    docs.write.parquet(f"{sf}/documents.parquet")
+    leak = docs.where("doc_id = 20").select(F.lit(1).cast("long").alias("item_id"), "text")
+    leak.write.parquet(f"{sf}/benchmark.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "n-gram Jaccard join", "suffix-array dedup", "benchmark decontamination", "best-fit packing"]
+    got = corpus_pipeline.run(spark, sf)
+    ids = {r.doc_id for r in got.collect()}
+    # no letters: 0 to 3; copies: 7, 8; leak: 20; without id: None
+    assert ids.isdisjoint({0, 1, 2, 3, 7, 8, 20, None}) and {4, 5, 6, 9, 10, 12, 13} <= ids
