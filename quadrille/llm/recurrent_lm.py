@@ -42,6 +42,7 @@ CLASS = 64
 HIDDEN = 24
 STEPS = 16
 SEQUENCE = 512  # words of a training sequence
+TOGETHER = 1024  # sequences trained side by side
 ROUNDS = (1, 4, 16)  # of 16 parts of the training texts, where each round ends
 BLOCK = 2_000_000  # words that a task scores together
 F4 = np.float32
@@ -65,16 +66,34 @@ class Vocabulary:
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each word in the table, and whether it is there."""
-        if not len(self.words):
+        if not len(self.words) or not len(h):
             return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return at, self.words[at] == h
+        if not hasattr(self, "_first"):  # where the words with each 18 leading bits begin
+            lead = (self.words >> U(46)).astype(np.int64)
+            self._first = np.searchsorted(lead, np.arange((1 << 18) + 1)).astype(np.int32)
+            self._widest = int(np.diff(self._first).max())
+        at = np.minimum(self._first[(h >> U(46)).astype(np.int64)], len(self.words) - 1).astype(np.int64)
+        there = self.words[at] == h
+        left = np.flatnonzero(self.words[at] < h)
+        for _ in range(self._widest - 1):
+            if not len(left):
+                break
+            at[left] = np.minimum(at[left] + 1, len(self.words) - 1)
+            w = self.words[at[left]]
+            there[left] = w == h[left]
+            left = left[(w < h[left]) & (at[left] < len(self.words) - 1)]
+        return at, there
 
     def symbols(self, h: np.ndarray) -> np.ndarray:
-        at, there = self.look_up(h)
+        """The text's symbols, from the few words that have one of their own."""
+        if not hasattr(self, "_named"):
+            named = self.symbol != self.unknown
+            self._named = self.words[named], self.symbol[named]
+        words, symbol = self._named
         out = np.full(len(h) + 1, self.unknown, np.int32)
-        if len(self.words):
-            out[:-1] = np.where(there, self.symbol[at], self.unknown)
+        if len(words):
+            at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+            out[:-1] = np.where(words[at] == h, symbol[at], self.unknown)
         out[-1] = self.end
         return out
 
@@ -96,6 +115,23 @@ def vocabulary(counts: DataFrame, texts: int, symbols: int) -> Vocabulary:
     return Vocabulary(w[order], n[order], symbol[order], size[rank], int(number[-2]), int(number[-1]), texts, int(total + texts), int(distinct + (texts > 0)), other, int(distinct - named))
 
 
+_ONES: dict[int, np.ndarray] = {}
+
+
+def _exponents(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials and their sums; the rows' maxima are subtracted only where some value is large.
+
+    Outputs begin as logarithms of shares and rarely go far from them.
+    """
+    if float(np.abs(logits[:, 0]).max()) > 20 or float(logits.max()) > 60:
+        logits -= logits.max(1, keepdims=True)
+    p = np.exp(logits)
+    k = logits.shape[1]
+    if k not in _ONES:
+        _ONES[k] = np.ones(k, F4)
+    return p, p @ _ONES[k]
+
+
 class Network:
     """Weights: input gates by symbol, recurrent gates, class and word outputs."""
 
@@ -132,20 +168,29 @@ class Network:
     def step(self, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """New state, and what backpropagation needs."""
         k = HIDDEN
-        g = self.x[ids] + self.b
+        g = np.take(self.x, ids, axis=0)
+        g += self.b
         a = h @ self.u
-        zr = 1 / (1 + np.exp(-np.clip(g[:, : 2 * k] + a[:, : 2 * k], -30, 30)))
-        z, r = zr[:, :k], zr[:, k:]
-        n = np.tanh(g[:, 2 * k :] + r * a[:, 2 * k :])
-        return n + z * (h - n), z, r, n, a[:, 2 * k :]
+        zr = g[:, : 2 * k]
+        zr += a[:, : 2 * k]
+        zr *= F4(0.5)
+        np.tanh(zr, out=zr)
+        zr += 1
+        zr *= F4(0.5)
+        z, r, n = zr[:, :k], zr[:, k:], g[:, 2 * k :]
+        n += r * a[:, 2 * k :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, z, r, n, a[:, 2 * k :]
 
     def output(self, h: np.ndarray, target: np.ndarray, slopes: dict | None = None) -> np.ndarray:
         """Log-probability of each target; with ``slopes``, also the gradients of their negative sum."""
         c = target // CLASS
-        logits = h @ self.wc + self.bc
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(1)
+        logits = h @ self.wc
+        logits += self.bc
+        p, total = _exponents(logits)
         rows = np.arange(len(h))
         out = logits[rows, c] - np.log(total)
         if slopes is not None:
@@ -159,10 +204,9 @@ class Network:
         for k in np.flatnonzero(np.diff(bounds)):
             some = order[bounds[k] : bounds[k + 1]]
             hk, word = h[some], target[some] % CLASS
-            logits = hk @ self.wo[k] + self.bo[k]
-            logits -= logits.max(1, keepdims=True)
-            p = np.exp(logits)
-            total = p.sum(1)
+            logits = hk @ self.wo[k]
+            logits += self.bo[k]
+            p, total = _exponents(logits)
             rows = np.arange(len(some))
             out[some] += logits[rows, word] - np.log(total)
             if slopes is not None:
@@ -233,17 +277,27 @@ class Trainer:
             d[: len(carry)] += carry
             _, z, r, new, an = kept[t]
             prev = before[t]
-            dn = d * (1 - z) * (1 - new * new)
-            dz = d * (prev - new) * z * (1 - z)
-            dr = dn * an * r * (1 - r)
-            dg[at : at + n] = np.concatenate([dz, dr, dn], axis=1)
-            da = np.concatenate([dz, dr, dn * r], axis=1)
+            g = dg[at : at + n]
+            rest = 1 - z
+            dz, dr, dn = g[:, :k], g[:, k : 2 * k], g[:, 2 * k :]
+            np.multiply(d, rest, out=dn)
+            dn *= 1 - new * new
+            np.multiply(d, prev - new, out=dz)
+            rest *= z
+            dz *= rest
+            np.multiply(dn, an, out=dr)
+            dr *= r * (1 - r)
+            da = g.copy()
+            da[:, 2 * k :] *= r
             du += prev.T @ da
-            carry = d * z + da @ net.u.T
+            carry = da @ net.u.T
+            carry += d * z
         scale = F4(1 / math.sqrt(m))
         ids = np.concatenate([grid[: counts[t], t] for t in range(steps)])
         order = np.argsort(ids, kind="stable")
-        rows, begin = np.unique(ids[order], return_index=True)
+        ordered = ids[order]
+        begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        rows = ordered[begin]
         self._move("x", np.add.reduceat(dg[order], begin, axis=0) * scale, rows)
         for name, g in (("u", du), ("b", dg.sum(0)), ("wc", slopes["wc"]), ("bc", slopes["bc"]), ("wo", slopes["wo"]), ("bo", slopes["bo"])):
             self._move(name, g * scale)
@@ -270,7 +324,7 @@ def score_texts(net: Network, texts: list[np.ndarray], end: int) -> np.ndarray:
         targets.append(ids)
         owners.append(n)
         held += n
-        if held > 16_384 or t == lengths[0] - 1:
+        if held > 32_768 or t == lengths[0] - 1:
             p = net.output(np.concatenate(states), np.concatenate(targets))
             at = 0
             for n in owners:
@@ -315,10 +369,10 @@ def train(docs: DataFrame, training: Column, v: Vocabulary, rate: float = 0.1) -
             trainer = Trainer(Network(vocab.sizes).load(start.flat()), rate)
             held: list[np.ndarray] = []
             for b in batches:
-                for text in b.column("text").to_pylist():
-                    s = vocab.symbols(wordhash.words(text)[0])
+                for h in wordhash.many(b.column("text").to_pylist()):
+                    s = vocab.symbols(h)
                     held += [s[i : i + SEQUENCE] for i in range(0, len(s), SEQUENCE)]
-                    if len(held) >= 384:
+                    if len(held) >= TOGETHER:
                         trainer.learn(held, vocab.end)
                         held = []
             if held:
@@ -363,8 +417,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, training: Column, *, s
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
         for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                h = wordhash.words(text)[0]
+            for doc, h in zip(b.column("doc_id").to_pylist(), wordhash.many(b.column("text").to_pylist()), strict=True):
                 at, there = vocab.look_up(h)
                 s = np.full(len(h) + 1, vocab.unknown, np.int32)
                 s[-1] = vocab.end

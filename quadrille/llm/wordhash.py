@@ -8,6 +8,7 @@ words collide with a chance of about 2**-64.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -29,6 +30,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTES = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+_WORD_BYTES = np.where(SPACE, U(0), BYTES)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
@@ -53,9 +55,10 @@ def _segment(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(buf) > SEGMENT:  # one word longer than a segment
         digest = hashlib.blake2b(buf.tobytes().strip(b" \t\n\r\x0b\x0c"), digest_size=8).digest()
         return np.frombuffer(digest, U).copy(), starts, ends
-    total = np.zeros(len(buf) + 1, U)
-    np.cumsum(BYTES[buf] * power[: len(buf)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts]), starts, ends
+    if not len(starts):
+        return np.zeros(0, U), starts, ends
+    total = np.add.reduceat(_WORD_BYTES[buf] * power[: len(buf)], starts)  # spaces add nothing
+    return mix(total * inverse[starts]), starts, ends
 
 
 def words(text: bytes | None, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,7 +84,20 @@ def words(text: bytes | None, lower: bool = True) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-_TURN = [U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3), U(0x1D8E4E27C47D124F)]
+def many(texts: list[bytes | None]) -> Iterator[np.ndarray]:
+    """Word hashes of each text; short texts are hashed together."""
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to] or b"") < SEGMENT // 2):
+            size += len(texts[to] or b"") + 1
+            to += 1
+        if to == at + 1:
+            yield words(texts[at])[0]
+        else:
+            h, starts, _ = words(b" ".join(t or b"" for t in texts[at:to]))
+            yield from np.split(h, np.searchsorted(starts, np.cumsum([len(t or b"") + 1 for t in texts[at : to - 1]])))
+        at = to
 
 
 def ngrams(h: np.ndarray, n: int) -> np.ndarray:

@@ -180,6 +180,14 @@ def test_recurrent_model_learns_and_carries_state():
     assert sum(probabilities) == pytest.approx(math.exp(recurrent_lm.score_texts(net, [np.array([1, 2], np.int32)], 7)[0]), rel=1e-3)
 
 
+def test_table_look_up():
+    words = np.unique(wordhash.mix(np.arange(5000, dtype=np.uint64)) >> np.uint64(8))
+    v = recurrent_lm.Vocabulary(words, np.ones(5000, int), np.zeros(5000, np.int32), np.ones(3), 0, 1, 1, 1, 1, 0, 0)
+    h = np.concatenate([words[::3], words[::5] + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)])
+    at, there = v.look_up(h)
+    assert there.tolist() == np.isin(h, words).tolist() and (words[at[there]] == h[there]).all()
+
+
 def test_warc_parser_rejects_damage():
     import io
 
