@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import weakref
@@ -32,6 +33,17 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+BATCH_ROWS = 1000  # documents handed to Python at once
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold few documents, which bounds the memory of Python workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 class Scratch:
     """Tables written to the shared folder, which cut lineage and survive lost executors.
 
@@ -40,7 +52,9 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        bound_batches(spark)
         self.paths: dict[int, str] = {}
+        self.names: dict[str, list[str]] = {}
 
     def path(self, name: str) -> str:
         out = f"{shared_dir(self.spark)}/quadrille-{name}-{uuid.uuid4().hex}"
@@ -54,9 +68,21 @@ class Scratch:
         df.write.parquet(out)
         back = self.spark.read.schema(df.schema).parquet(out)
         self.paths[id(back)] = out
+        self.names.setdefault(name, []).append(out)
         weakref.finalize(back, self.paths.pop, id(back), None)
         return back
 
+    def release(self, *names: str) -> None:
+        """Remove all tables written under these names, and the shuffle files of what made them.
+
+        Spark keeps shuffle files until the driver collects the plans that they belong to.
+        """
+        for name in names:
+            for out in self.names.pop(name, []):
+                _remove(self.spark, out)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             if out := self.paths.pop(id(t), None):

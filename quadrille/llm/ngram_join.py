@@ -14,7 +14,10 @@ Links are found up to components, and no group is ever gathered or multiplied ou
    prefix test under the other orders, are verified on their whole sets. This is repeated with
    other orders inside equal members. It links most groups of copies in as many rows as they have.
 3. Members whose classes still lie in different components are joined, across components only,
-   and candidates that pass all filters are verified. What is left after that is exact: any
+   and candidates that pass all filters are verified: first one for each two components, then all
+   that are left. Before the prefixes of the other orders, a
+   bound on the symmetric difference filters: sets whose parities differ in more of 1024 hash
+   slots than their sizes allow cannot link. What is left after that is exact: any
    pair that was not verified is in one component already, or failed a test that links must pass.
 
 Defined results: a text without words, null or empty, has an empty set and no links; with fewer
@@ -38,7 +41,7 @@ from quadrille.llm.components import connected_components, neighbours
 
 U = np.uint64
 FREQUENT = 200_000  # words whose counts are broadcast: 16 bytes each
-FLUSH = 4_000_000  # words counted at once by a task
+FLUSH = 2_000_000  # words counted at once by a task
 SEEDS = (U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D0))
 
 
@@ -55,8 +58,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
         for b in batches:
-            for text in b.column(0).to_pylist():
-                h = wordhash.words(text)[0]
+            for h in wordhash.many(b.column(0).to_pylist()):
                 held.append(h)
                 size += len(h)
                 if size > FLUSH:
@@ -85,6 +87,22 @@ def frequency(h: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndar
     return np.where(w[at] == h, level[at], 0).astype(np.uint8)
 
 
+PARITIES = [f"q{i}" for i in range(16)]
+FEW_IDS = 1_000_000  # ids that may be broadcast, eight bytes each
+
+
+def parities(members: np.ndarray) -> list[int]:
+    """1024 bits: whether an odd number of members falls on each slot."""
+    odd = (np.bincount((members >> U(54)).astype(np.int64), minlength=1024) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).tolist()
+
+
+def near_parity(percent: int, n: str, m: str, one: str, two: str):
+    """Whether the parities allow the similarity: they differ at most where the sets do."""
+    differ = sum((F.bit_count(F.col(f"{one}{q}").bitwiseXOR(F.col(f"{two}{q}"))) for q in PARITIES[1:]), F.bit_count(F.col(f"{one}{PARITIES[0]}").bitwiseXOR(F.col(f"{two}{PARITIES[0]}"))))
+    return (100 + percent) * differ <= (100 - percent) * (F.col(n) + F.col(m))
+
+
 def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -116,25 +134,28 @@ class Sets:
 
 def signatures(docs: DataFrame, sets) -> DataFrame:
     """``doc_id, n, key_1, key_2, p0, p1, p2``: size, fingerprint and prefixes of each set."""
-    names = ["doc_id", "n", "key_1", "key_2", *(f"p{i}" for i in range(len(SEEDS)))]
+    names = ["doc_id", "n", "key_1", "key_2", *PARITIES, *(f"p{i}" for i in range(len(SEEDS)))]
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sets.value
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                sizes, one, two, prefixes = [], [], [], [[] for _ in SEEDS]
+                sizes, one, two, bits, prefixes = [], [], [], [], [[] for _ in SEEDS]
                 for text in part.column("text").to_pylist():
                     members, ps = s.prefixes(text)
                     sizes.append(len(members))
                     one.append(int(wordhash.mix(members).sum(dtype=U).view(np.int64)) if len(members) else 0)
                     two.append(int(wordhash.mix(members ^ SEEDS[0]).sum(dtype=U).view(np.int64)) if len(members) else 0)
-                    for into, p in zip(prefixes, ps, strict=True):
-                        into.append(p.view(np.int64))
+                    bits.append(parities(members))
+                    prefixes[0].append(ps[0].view(np.int64))
+                    for into, p in zip(prefixes[1:], ps[1:], strict=True):  # half a hash can only let more pairs pass
+                        into.append((p >> U(32)).astype(np.uint32).view(np.int32))
                 columns = [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(p, pa.list_(pa.int64())) for p in prefixes)], names)
+                columns += [pa.array(q, pa.int64()) for q in zip(*bits, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(prefixes[0], pa.list_(pa.int64())), *(pa.array(p, pa.list_(pa.int32())) for p in prefixes[1:])], names)
 
-    schema = "doc_id long, n long, key_1 long, key_2 long, " + ", ".join(f"p{i} array<long>" for i in range(len(SEEDS)))
+    schema = "doc_id long, n long, key_1 long, key_2 long, " + ", ".join(f"{q} long" for q in PARITIES) + ", p0 array<long>, " + ", ".join(f"p{i} array<int>" for i in range(1, len(SEEDS)))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(local, schema)
 
 
@@ -216,17 +237,29 @@ def ngram_components(spark: SparkSession, docs: DataFrame, *, n: int = 5, percen
     sets = spark.sparkContext.broadcast(Sets(n, percent, frequent))
     signed = scratch.cut(signatures(docs, sets), "signatures")
     keys = ["n", "key_1", "key_2"]
-    classes = scratch.cut(signed.where("n > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("class")), "classes")
+    narrow = scratch.cut(signed.select("doc_id", *keys), "narrow")
+    classes = scratch.cut(narrow.where("n > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("class")), "classes")
     reps = signed.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = scratch.cut(reps.select(F.col("doc_id").alias("id"), "n", *(f"p{i}" for i in range(len(SEEDS)))), "reps")
+    reps = scratch.cut(reps.select(F.col("doc_id").alias("id"), "n", *PARITIES, *(f"p{i}" for i in range(len(SEEDS)))), "reps")
+    scratch.release("signatures")
     tokens = reps.select(F.explode("p0").alias("token"), "n", "id")
 
-    def candidates(pairs: DataFrame, joined: DataFrame | None = None) -> DataFrame:
-        """The filters of the other orders, intersected: prefixes must overlap under each."""
+    def candidates(pairs: DataFrame) -> DataFrame:
+        """The filters of the other orders, intersected: prefixes must overlap under each.
+
+        The classes in question are picked out first: by a broadcast where they are few, else by a join.
+        """
+        ids = scratch.cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+        some = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+        few = scratch.cut(reps.drop("p0").join(some, "id", "left_semi"), "few")
+
+        def side(of: str, prefix: str, columns: list[str]) -> DataFrame:
+            return few.select(F.col("id").alias(of), *(F.col(c).alias(prefix + c) for c in columns))
+
+        columns = ["n", *PARITIES]
+        pairs = pairs.join(side("a", "x", columns), "a").join(side("b", "y", columns), "b").where(near_parity(percent, "xn", "yn", "x", "y")).select("a", "b")
         for i in range(1, len(SEEDS)):
-            one = reps.select(F.col("id").alias("a"), F.col(f"p{i}").alias("x"))
-            two = reps.select(F.col("id").alias("b"), F.col(f"p{i}").alias("y"))
-            pairs = pairs.join(one, "a").join(two, "b").where(F.arrays_overlap("x", "y")).select("a", "b")
+            pairs = pairs.join(side("a", "x", [f"p{i}"]), "a").join(side("b", "y", [f"p{i}"]), "b").where(F.arrays_overlap(f"xp{i}", f"yp{i}")).select("a", "b")
         return pairs
 
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
@@ -235,12 +268,14 @@ def ngram_components(spark: SparkSession, docs: DataFrame, *, n: int = 5, percen
 
     def more(pairs: DataFrame) -> None:
         nonlocal links, components
-        pairs = scratch.cut(candidates(pairs), "pairs")
+        pairs = scratch.cut(candidates(scratch.cut(pairs, "raw")), "pairs")
+        scratch.release("raw", "neighbours", "open", "ids", "few")
         if links is not None and pairs.isEmpty():
             return
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         found = verified(pairs, members_of(docs, ids, sets, scratch), percent)
         links = scratch.cut(found if links is None else found.unionByName(links), "links")
+        scratch.release("pairs", "sets", "components")
         components = connected_components(spark, links, scratch)
 
     at = tokens
@@ -250,15 +285,25 @@ def ngram_components(spark: SparkSession, docs: DataFrame, *, n: int = 5, percen
         if k:
             at = open_tokens(tokens, components)
             at = at.withColumn("mixed", F.xxhash64(F.lit(k), "id"))
-        near = neighbours(at, ["token"], sort, ["n", "id"] + (["c"] if k else []), scratch)
+        near = neighbours(at, ["token"], sort, ["token", "n", "id"] + (["c"] if k else []), scratch)
+        if not k:  # only members with neighbours matter from here on
+            pairs = near.select(*(F.col(f"{c}_1").alias(c) for c in ("token", "n", "id"))).union(near.select("token_2", "n_2", "id_2"))
+            tokens = scratch.cut(pairs.distinct(), "tokens")
         near = near.where(fits(F.col("n_1"), F.col("n_2")) & (F.col("c_1") != F.col("c_2") if k else F.lit(True)))
         more(near.select(F.least("id_1", "id_2").alias("a"), F.greatest("id_1", "id_2").alias("b")).distinct())
-    rest = scratch.cut(open_tokens(tokens, components), "open")
-    other = rest.select("token", F.col("n").alias("m"), F.col("id").alias("b"), F.col("c").alias("d"))
-    across = rest.withColumnRenamed("id", "a").join(other, "token").where((F.col("c") < F.col("d")) & fits(F.col("n"), F.col("m")))
-    more(across.select("a", "b").distinct())
+    for last in (False, True):
+        rest = scratch.cut(open_tokens(tokens, components).join(reps.select("id", *PARITIES), "id"), "open")
+        other = rest.select("token", F.col("n").alias("m"), F.col("id").alias("b"), F.col("c").alias("d"), *(F.col(q).alias("y" + q) for q in PARITIES))
+        one = rest.select("token", "n", F.col("id").alias("a"), "c", *(F.col(q).alias("x" + q) for q in PARITIES))
+        across = one.join(other, "token").where((F.col("c") < F.col("d")) & fits(F.col("n"), F.col("m")) & near_parity(percent, "n", "m", "x", "y"))
+        pair = F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        if not last:  # one pair for each two components settles most of them; the rest follow
+            across = across.groupBy("c", "d").agg(F.min_by(pair, F.xxhash64("a", "b")).alias("p")).select("p.a", "p.b")
+        else:
+            across = across.select(pair.alias("p")).select("p.a", "p.b")
+        more(across.distinct())
     named = classes.join(components.withColumnRenamed("node", "class"), "class", "left").select(*keys, F.coalesce("component", "class").alias("component_id"))
-    whole = signed.select("doc_id", *keys).join(named, keys, "left")
+    whole = narrow.join(named, keys, "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return whole.select("doc_id", F.col("n").alias("n_shingles"), own.cast("long").alias("component_id"))
 
