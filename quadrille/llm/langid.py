@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.llm.common import bound_batches
+
 BUCKETS = 1 << 15
 SCRIPTS = ("latin", "greek", "cyrillic", "armenian or hebrew", "arabic", "indic", "asian", "han", "hangul", "other")
 PIECE = 1 << 20  # bytes of text worked on at once
@@ -151,6 +153,7 @@ def label(model: Model, text: str | None, penalty: float) -> tuple[str, float, l
 
 def fit(docs: DataFrame, training: Column, lang: str = "lang", most_languages: int = 200) -> Model:
     """Learn from the texts and languages of all rows where ``training`` holds."""
+    bound_batches(docs.sparkSession)
     sums = count(docs.where(training), lang)
     rows = sums.toArrow()  # at most most_languages times BUCKETS rows, checked below
     names = sorted(set(rows["lang"].to_pylist()))
@@ -163,8 +166,10 @@ def fit(docs: DataFrame, training: Column, lang: str = "lang", most_languages: i
     return Model(names, table)
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` and ``spans`` put after its columns."""
+def identify(docs: DataFrame, model: Model, penalty: float = 12.0, prefix: str = "") -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` and ``spans`` after its columns; a prefix keeps their names apart
+    from columns of ``docs``, which they replace otherwise."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # most_languages x BUCKETS x 4 bytes at most
     kind = "struct<lang_pred:string,score:double,spans:array<struct<first:int,words:int,lang:string>>>"
 
@@ -175,9 +180,10 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
         out = [label(shared.value, t, penalty) for t in texts]
         return pd.DataFrame({"lang_pred": [o[0] for o in out], "score": [o[1] for o in out], "spans": [[{"first": a, "words": n, "lang": x} for a, n, x in o[2]] for o in out]})
 
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "spans")]
-    got = docs.select(*names, judged(F.col("text").cast("string")).alias("_judged"))
-    return got.select(*names, "_judged.lang_pred", "_judged.score", "_judged.spans")
+    added = ("lang_pred", "score", "spans")
+    names = [c for c in docs.columns if c not in [prefix + a for a in added]]
+    got = docs.select(*names, judged(F.col("text").cast("string")).alias("__judged"))
+    return got.select(*names, *(F.col(f"__judged.{a}").alias(prefix + a) for a in added))
 
 
 def held_out(doc_id: str = "doc_id", n: int = 4, at: int = 2) -> Column:

@@ -155,7 +155,7 @@ def matches(spark: SparkSession, docs: DataFrame, *, least: int = 50, seed: int
     scratch = scratch or Scratch(spark)
     found = scratch.cut(suffixes(docs, seed, least - seed + 1), "suffixes")
     # seeds that occur once have no neighbours; partial counts drop them before anything is sorted
-    often = found.groupBy("seed_hash").agg(F.count("*").alias("n")).where("n > 1").select("seed_hash")
+    often = scratch.cut(found.groupBy("seed_hash").agg(F.count("*").alias("n")).where("n > 1").select("seed_hash"), "often")
     kept = scratch.cut(found.join(often, "seed_hash", "left_semi"), "repeated")
     scratch.drop(found)
     near = [neighbours(kept, ["seed_hash"], [side, "id", "at"], ["id", "at"], scratch) for side in ("right", "left")]
@@ -224,8 +224,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, *, least: int = 50, se
             out.append(b"".join([*parts, raw[at:]]).strip(b" \t\n\r\x0b\x0c").decode("utf-8"))
         return pd.Series(out)
 
-    renamed = spans.select(F.col("id").alias("_id"), F.col("spans").alias("_spans"))
-    joined = docs.join(renamed, docs["doc_id"] == F.col("_id"), "left")
-    clean = joined.where("_spans is null").drop("_id", "_spans")
-    dirty = joined.where("_spans is not null").withColumn("text", cut(F.col("text").cast("string"), F.col("_spans"))).drop("_id", "_spans")
-    return clean.unionByName(dirty)
+    renamed = spans.select(F.col("id").alias("__of_id"), F.col("spans").alias("__spans"))
+    joined = docs.join(renamed, docs["doc_id"] == F.col("__of_id"), "left")
+    marked = F.col("__spans").isNotNull()  # texts without spans stay out of Python
+    text = F.when(marked, cut(F.when(marked, F.col("text").cast("string")), F.col("__spans"))).otherwise(F.col("text").cast("string"))
+    return joined.withColumn("text", text).drop("__of_id", "__spans")
