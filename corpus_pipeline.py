@@ -18,15 +18,15 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language, and those whose main language has less than 40 % of the letters."""
-    labelled = identify(docs, fit(docs, ~held_out()))
-    return labelled.where("lang_pred <> 'und' AND score >= 0.4").select(*docs.columns)
+    labelled = identify(docs, fit(docs, ~held_out()), prefix="__")
+    return labelled.where("__lang_pred <> 'und' AND __score >= 0.4").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near copies; texts without words go too."""
     groups = Scratch(spark).cut(ngram_components(spark, docs, n=5, percent=80), "groups")
-    kept = groups.where("n_shingles > 0 AND doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    kept = groups.where("n_shingles > 0 AND doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, docs["doc_id"] == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
