@@ -1,7 +1,7 @@
 """Near-duplicate paragraphs: MinHash bands find candidates, exact checks link them.
 
-A paragraph is a line of at least ``min_words`` words. Equal ones (same words) form one class. Each
-class has a MinHash signature over its runs of ``n`` words, cut into bands whose number and width
+A paragraph is a line of at least ``min_words`` words. Equal ones (same words) form one class, named
+by a 64-bit hash of them. Each class has a MinHash signature over its runs of ``n`` words, cut into bands whose number and width
 ``tune_bands`` picks for a recall at the threshold. Classes that collide in a band are sorted
 by it and neighbours are compared; then classes that still lie in different components are joined
 across components only, so a group of copies costs rows in proportion to its size.
@@ -25,17 +25,20 @@ from pyspark.sql import functions as F
 from quadrille.llm import wordhash
 from quadrille.llm.common import Scratch
 from quadrille.llm.components import connected_components, neighbours
-from quadrille.llm.ngram_join import PARITIES, near_parity, parities
+from quadrille.llm.ngram_join import PARITIES, ids_filter, near_parity, parities, passes
 
 U = np.uint64
 
 
-def tune_bands(threshold: float, recall: float, most_hashes: int = 128) -> tuple[int, int]:
-    """The widest bands, and so the fewest false candidates, whose recall at the threshold suffices."""
-    for rows in range(16, 0, -1):
-        for bands in range(1, most_hashes // rows + 1):
+def tune_bands(threshold: float, recall: float, background: float = 0.2, most_false: float = 0.05) -> tuple[int, int]:
+    """The fewest bands, and their width, with enough recall at the threshold, whose false candidates at
+    the background similarity stay below ``most_false``."""
+    for rows in range(1, 17):
+        for bands in range(1, 129):
             if 1 - (1 - threshold**rows) ** bands >= recall:
-                return bands, rows
+                if 1 - (1 - background**rows) ** bands <= most_false:
+                    return bands, rows
+                break
     raise ValueError("no banding reaches this recall")
 
 
@@ -65,54 +68,55 @@ def split(text: bytes, min_words: int) -> list[tuple[int, int, np.ndarray]]:
     return out
 
 
-def paragraphs(docs: DataFrame, n: int, min_words: int) -> DataFrame:
-    """``doc_id, first, words, key_1, key_2``: each paragraph with a fingerprint of its words."""
-    names = ["doc_id", "first", "words", "key_1", "key_2"]
+def paragraph_id(h: np.ndarray) -> int:
+    """A hash of the paragraph's words in their order."""
+    place = wordhash.mix(np.arange(1, len(h) + 1, dtype=U))
+    both = np.array([wordhash.mix(h * (place | U(1))).sum(dtype=U), wordhash.mix(h ^ place).sum(dtype=U)], U)
+    return int(wordhash.mix(both[:1] + wordhash.mix(both[1:]) + U(len(h))).view(np.int64)[0])
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+
+
+def paragraphs(docs: DataFrame, n: int, min_words: int, bands: int, rows: int) -> DataFrame:
+    """``doc_id, first, words, id, bands, n, q0..``: each paragraph with its class, its bands, and the size
+    and parities of its set."""
+    names = ["doc_id", "first", "words", "id", "bands", "n", *PARITIES]
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32(), *[pa.int64()] * len(PARITIES))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, first, words, one, two = [], [], [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for at, k, h in split(text, min_words):
-                    place = wordhash.mix(np.arange(1, k + 1, dtype=U))
-                    ids.append(doc)
-                    first.append(at)
-                    words.append(k)
-                    one.append(int(wordhash.mix(h * (place | U(1))).sum(dtype=U).view(np.int64)))
-                    two.append(int(wordhash.mix(h ^ place).sum(dtype=U).view(np.int64)))
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((ids, first, words, one, two), kinds, strict=True)], names)
-
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(local, "doc_id long, first int, words int, key_1 long, key_2 long")
-
-
-def banded(docs: DataFrame, wanted: DataFrame, n: int, min_words: int, bands: int, rows: int) -> DataFrame:
-    """``id, n, q0.., bands, tokens``: each class once, from the paragraph that stands for it."""
-    names = ["id", "n", *PARITIES, "bands", "tokens"]
+            for at in range(0, b.num_rows, 1000):
+                part, out = b.slice(at, 1000), []
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    for first, k, h in split(text, min_words):
+                        members = wordhash.shingles(h, n)
+                        out.append((doc, first, k, paragraph_id(h), signature(members, bands, rows).view(np.int64), len(members), *parities(members)))
+                columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], names)
+
+    return texts(docs).mapInArrow(local, "doc_id long, first int, words int, id long, bands array<long>, n int, " + ", ".join(f"{q} long" for q in PARITIES))
+
+
+def words_of(docs: DataFrame, ids: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
+    """``id, tokens``: the word hashes of one paragraph of each of these classes."""
+    shared = docs.sparkSession.sparkContext.broadcast(ids_filter(ids, "id"))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sizes, bits, keys, tokens = [], [], [], [], []
-            for doc, text, firsts, classes in zip(*(b.column(k).to_pylist() for k in ("doc_id", "text", "firsts", "classes")), strict=True):
-                of = dict(zip(firsts, classes, strict=True))
-                for at, _, h in split(text, min_words):
-                    if at not in of:
+            for at in range(0, b.num_rows, 1000):
+                found: dict[int, bytes] = {}
+                for text in b.column(0).slice(at, 1000).to_pylist():
+                    hs = [h for _, _, h in split(text, min_words)]
+                    if not hs:
                         continue
-                    members = wordhash.shingles(h, n)
-                    ids.append(of.pop(at))
-                    sizes.append(len(members))
-                    bits.append(parities(members))
-                    keys.append(signature(members, bands, rows).view(np.int64))
-                    tokens.append(h.tobytes())
-            if ids:
-                columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(q, pa.int64()) for q in zip(*bits, strict=True))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(keys, pa.list_(pa.int64())), pa.array(tokens, pa.binary())], names)
-
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    by_doc = wanted.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("first").alias("firsts"), F.collect_list("class").alias("classes"))
-    schema = "id long, n long, " + ", ".join(f"{q} long" for q in PARITIES) + ", bands array<long>, tokens binary"
-    return texts.join(by_doc, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "firsts", "classes").mapInArrow(local, schema).dropDuplicates(["id"])
+                    these = np.array([paragraph_id(h) for h in hs], np.int64)
+                    for i in np.flatnonzero(passes(shared.value, these)):
+                        found[int(these[i])] = hs[i].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["id", "tokens"])
+
+    return scratch.cut(texts(docs).select("text").mapInArrow(local, "id long, tokens binary").join(ids, "id", "left_semi").dropDuplicates(["id"]), "tokens")
 
 
 def similar(x: np.ndarray, y: np.ndarray, n: int, percent: int) -> bool:
@@ -128,24 +132,12 @@ def paragraph_groups(spark: SparkSession, docs: DataFrame, *, n: int = 5, percen
     """
     scratch = Scratch(spark)
     bands, rows = tune_bands(percent / 100, recall)
-    found = scratch.cut(paragraphs(docs, n, min_words), "paragraphs")
-    keys = ["words", "key_1", "key_2"]
-    # The class of equal paragraphs, named by its first one; its number is a hash of the fingerprint.
-    stand = F.min(F.struct("doc_id", "first")).alias("at")
-    classes = found.groupBy(*keys).agg(stand, F.count("*").alias("n")).select(*keys, "at.doc_id", "at.first", "n", F.xxhash64(*keys).alias("class"))
-    classes = scratch.cut(classes, "classes")
-    reps = scratch.cut(banded(docs, classes.select("doc_id", "first", "class"), n, min_words, bands, rows), "reps")
-    tokens = reps.select(F.explode("bands").alias("token"), "n", "id")
-    often = tokens.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("token")
-    tokens = scratch.cut(tokens.join(often, "token", "left_semi"), "tokens")
+    found = scratch.cut(paragraphs(docs, n, min_words, bands, rows), "paragraphs")
     links, components = None, None
 
-    def side(of: str, prefix: str) -> DataFrame:
-        return reps.select(F.col("id").alias(of), *(F.col(c).alias(prefix + c) for c in ("n", "tokens", *PARITIES)))
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [similar(np.frombuffer(x, U), np.frombuffer(y, U), n, percent) for x, y in zip(b.column("xtokens").to_pylist(), b.column("ytokens").to_pylist(), strict=True)]
+            keep = [similar(np.frombuffer(x, U), np.frombuffer(y, U), n, percent) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def more(pairs: DataFrame) -> None:
@@ -153,26 +145,43 @@ def paragraph_groups(spark: SparkSession, docs: DataFrame, *, n: int = 5, percen
         pairs = scratch.cut(pairs, "pairs")
         if links is not None and pairs.isEmpty():
             return
-        both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-        sure = scratch.cut(both.where(near_parity(percent, "xn", "yn", "x", "y")).select("a", "b", "xtokens", "ytokens").mapInArrow(verify, "a long, b long"), "links")
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        of = words_of(docs, scratch.cut(ids, "ids"), min_words, scratch)
+        both = pairs.join(of.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
+        sure = scratch.cut(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
         links = sure if links is None else scratch.cut(sure.unionByName(links), "links")
-        scratch.release("pairs", "neighbours", "open", "components")
+        scratch.release("pairs", "tokens", "ids", "components")
         components = connected_components(spark, links, scratch)
 
-    def open_bands() -> DataFrame:
-        placed = tokens.join(components.withColumnRenamed("node", "id"), "id", "left").select("token", "n", "id", F.coalesce("component", "id").alias("c"))
-        mixed = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
-        return placed.join(mixed, "token", "left_semi")
-
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    more(neighbours(tokens, ["token"], ["n", "id"], ["id"], scratch).select(*pair("id_1", "id_2")).distinct())
-    rest = scratch.cut(open_bands(), "open")
-    other = rest.select("token", F.col("id").alias("b"), F.col("c").alias("d"))
-    more(rest.withColumnRenamed("id", "a").join(other, "token").where("c < d").select(*pair("a", "b")).distinct())
-    grouped = classes.join(components.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    first = grouped.groupBy("component").agg(F.min(F.struct("doc_id", "first")).alias("kept"), F.sum("n").alias("size")).where("size > 1")
-    named = grouped.select(*keys, "component").join(first, "component").select(*keys, "component", "kept")
-    out = found.join(named, keys)
+    exploded = found.select(F.explode("bands").alias("token"), "words", "id")
+    near = neighbours(exploded, ["token"], ["words", "id"], ["token", "id"], scratch).where("id_1 <> id_2")
+    # Every member of a band that holds two classes has a neighbour of another class.
+    members = near.select(F.col("token_1").alias("token"), F.col("id_1").alias("id")).union(near.select("token_2", "id_2")).distinct()
+    members = scratch.cut(members, "members")
+    more(near.select(*pair("id_1", "id_2")).distinct())
+    scratch.release("neighbours")
+    sizes = found.select("id", "n", *PARITIES).dropDuplicates(["id"])
+    for last in (False, True):
+        placed = members.join(components.withColumnRenamed("node", "id"), "id", "left").select("token", "id", F.coalesce("component", "id").alias("c"))
+        mixed = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
+        rest = scratch.cut(placed.join(mixed, "token", "left_semi").join(sizes, "id"), "open")
+        one = rest.select("token", "n", F.col("id").alias("a"), "c", *(F.col(q).alias("x" + q) for q in PARITIES))
+        other = rest.select("token", F.col("n").alias("m"), F.col("id").alias("b"), F.col("c").alias("d"), *(F.col(q).alias("y" + q) for q in PARITIES))
+        across = one.join(other, "token").where((F.col("c") < F.col("d")) & near_parity(percent, "n", "m", "x", "y"))
+        both = F.struct(*pair("a", "b"))
+        if not last:  # one pair for each two components settles most of them; the rest follow
+            across = across.groupBy("c", "d").agg(F.min_by(both, F.xxhash64("a", "b")).alias("p"))
+        else:
+            across = across.select(both.alias("p"))
+        more(across.select("p.a", "p.b").distinct())
+        scratch.release("open")
+    classes = found.groupBy("id").agg(F.min(F.struct("doc_id", "first")).alias("at"), F.count("*").alias("n"))
+    grouped = classes.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    grouped = scratch.cut(grouped, "grouped")
+    first = grouped.groupBy("component").agg(F.min("at").alias("kept"), F.sum("n").alias("size")).where("size > 1")
+    named = scratch.cut(grouped.select("id", "component").join(first, "component").select("id", "component", "kept"), "named")
+    out = found.select("doc_id", "first", "words", "id").join(named, "id")
     return out.select(
         "doc_id", "first", "words", F.col("component").alias("component_id"), F.col("kept.doc_id").alias("of_doc"),
         ((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("first") != F.col("kept.first"))).alias("removed"),
