@@ -4,7 +4,7 @@ Documents are read as passages: windows of ``width`` words, half overlapping. Th
 vectors are over the benchmark's words, without those that more than ``common`` of all passages
 hold. A distributed randomised SVD of all passages and items finds a latent space: one pass sums the
 sketch of the Gram matrix, from which the Nystrom method gives singular vectors. A second pass
-projects every passage and finds items by cosine; their neighbourhoods go on to the longest common
+projects every passage and finds items by cosine (passages of fewer than ``least_terms`` weighted terms name none); their neighbourhoods go on to the longest common
 subsequence of words, which tolerates inserted, dropped and changed words. A document holds an item
 if the subsequence covers ``share`` of it, or ``weak_share`` and the item's answer stands there word for
 word: the answer column if there is one, else the item's last ``answer_words`` words.
@@ -20,7 +20,7 @@ runs of other than ASCII space, A-Z in lower case, compared by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,9 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm import wordhash
-from quadrille.llm.common import Scratch
+from quadrille.llm.common import Scratch, bound_batches
 
 U = np.uint64
+FEW = 50  # passages that a term may be in whatever their share
 BLOCK = 256  # terms in a row of the summed sketch
 FOUND = "doc_id long, item_id long, first int, words int, cosine double, lcs double, answer boolean"
 
@@ -59,11 +60,19 @@ class Items:
         same = self.terms[k] == h[at]
         return at[same], k[same]
 
-    def passages(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    def bag(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """An item's terms and how often it has each."""
+        if not hasattr(self, "_bags"):
+            self._bags: dict[int, tuple] = {}
+        if i not in self._bags:
+            self._bags[i] = np.unique(np.searchsorted(self.terms, self.words[i]), return_counts=True)
+        return self._bags[i]
+
+    def passages(self, h: np.ndarray, hits: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """Passage, term and count of each pair that occurs, by passage; and the number of passages."""
         step = self.width // 2
         n = max(1, -(-(len(h) - step) // step)) if len(h) else 0
-        at, k = self.hits(h)
+        at, k = hits or self.hits(h)
         if self.weight is not None:
             useful = self.weight[k] > 0
             at, k = at[useful], k[useful]
@@ -108,8 +117,8 @@ def weigh(docs: DataFrame, items: Items, common: float) -> np.ndarray:
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, sums = 0, np.zeros(size, np.int64)
         for b in batches:
-            for text in b.column("text").to_pylist():
-                _, k, _, n = shared.value.passages(wordhash.words(text)[0])
+            for h in wordhash.many(b.column("text").to_pylist()):
+                _, k, _, n = shared.value.passages(h)
                 total += n
                 sums += np.bincount(k, minlength=size)
         at = np.append(np.flatnonzero(sums), size)
@@ -119,21 +128,34 @@ def weigh(docs: DataFrame, items: Items, common: float) -> np.ndarray:
     df = np.zeros(size + 1, np.int64)
     df[rows["term"].to_numpy()] = rows["n"].to_numpy()
     total = max(1, int(df[size]))
-    return np.where(df[:size] <= max(1.0, common * total), np.log((1 + total) / (1 + df[:size])), 0.0)
+    return np.where(df[:size] <= max(FEW, common * total), np.log((1 + total) / (1 + df[:size])), 0.0)
 
 
-def _gram(items: Items, h_all: list[np.ndarray], omega: np.ndarray, scale: float, into: np.ndarray) -> None:
+def _gram(items: Items, h_all: Iterable[np.ndarray], omega: np.ndarray, scale: float, into: np.ndarray) -> None:
     """Add ``scale`` times the Gram matrix of these texts' passages, times ``omega``."""
+    parts, base = [], 0
     for h in h_all:
-        p, k, count, _ = items.passages(h)
-        if not len(p):
-            continue
-        _, begin = rows_of(p)
-        v = count * items.weight[k]
-        row = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(p))))
-        v = v / np.sqrt(np.add.reduceat(v * v, begin))[row]
-        y = np.add.reduceat(omega[k] * v[:, None], begin, axis=0)
-        np.add.at(into, k, scale * v[:, None] * y[row])
+        p, k, count, n = items.passages(h)
+        parts.append((p + base, k, count))
+        base += n
+        if base > 20_000:
+            _add_gram(items, parts, omega, scale, into)
+            parts, base = [], 0
+    _add_gram(items, parts, omega, scale, into)
+
+
+def _add_gram(items: Items, parts: list, omega: np.ndarray, scale: float, into: np.ndarray) -> None:
+    if not sum(len(x[0]) for x in parts):
+        return
+    p, k, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    _, begin = rows_of(p)
+    v = count * items.weight[k]
+    row = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(p))))
+    v = (v / np.sqrt(np.add.reduceat(v * v, begin))[row]).astype(np.float32)
+    y = np.add.reduceat(omega.astype(np.float32)[k] * v[:, None], begin, axis=0)
+    order = np.argsort(k, kind="stable")
+    terms, begin = rows_of(k[order])
+    into[terms] += scale * np.add.reduceat(v[order, None] * y[row[order]], begin, axis=0)
 
 
 def latent_space(docs: DataFrame, items: Items, rank: int, item_weight: float, seed: int = 11) -> np.ndarray:
@@ -147,7 +169,7 @@ def latent_space(docs: DataFrame, items: Items, rank: int, item_weight: float, s
         it, om = shared.value
         z = np.zeros((size, r))
         for b in batches:
-            _gram(it, [wordhash.words(t)[0] for t in b.column("text").to_pylist()], om, 1.0, z)
+            _gram(it, wordhash.many(b.column("text").to_pylist()), om, 1.0, z)
         at = [i for i in range(0, size, BLOCK) if z[i : i + BLOCK].any()]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([z[i : i + BLOCK].tobytes() for i in at], pa.binary())], ["term", "z"])
 
@@ -174,12 +196,21 @@ def latent_space(docs: DataFrame, items: Items, rank: int, item_weight: float, s
     return np.linalg.svd(b, full_matrices=False)[0]
 
 
-def project(items: Items, p: np.ndarray, k: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Passages that have a term, and their latent vectors of length 1."""
+def project(items: Items, p: np.ndarray, k: np.ndarray, count: np.ndarray, least_terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """Passages that have enough terms, and their latent vectors of length 1."""
     which, begin = rows_of(p)
-    v = (count * items.weight[k])[:, None] * items.latent[k]
+    size = np.diff(np.append(begin, len(p)))
+    enough = size >= least_terms
+    if not enough.all():
+        keep = np.repeat(enough, size)
+        k, count = k[keep], count[keep]
+        which, size = which[enough], size[enough]
+        begin = np.cumsum(size) - size
+    if not len(which):
+        return which, np.zeros((0, items.latent.shape[1]), np.float32)
+    v = (count * items.weight[k]).astype(np.float32)[:, None] * items.latent[k]
     x = np.add.reduceat(v, begin, axis=0)
-    return which, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+    return which, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), np.float32(1e-30))
 
 
 def common_subsequence(x: np.ndarray, y: np.ndarray) -> int:
@@ -199,25 +230,35 @@ def holds(x: np.ndarray, y: np.ndarray) -> bool:
     return any(np.array_equal(y[i : i + len(x)], x) for i in at)
 
 
-def search(items: Items, h: np.ndarray, cosine: float, share: float, weak_share: float, least_words: int) -> list[tuple]:
+def search(items: Items, h: np.ndarray, cosine: float, share: float, weak_share: float, least_words: int, least_terms: int) -> list[tuple]:
     """``item, first, words, cosine, lcs, answer`` of each item that the text holds."""
-    p, k, count, _ = items.passages(h)
+    hits = items.hits(h)
+    p, k, count, _ = items.passages(h, hits)
     if not len(p):
         return []
-    which, x = project(items, p, k, count)
+    which, x = project(items, p, k, count, least_terms)
     near = x @ items.vectors.T
+    if not len(which) or near.max() < cosine:
+        return []
     row, item = np.nonzero(near >= cosine)
     best: dict[int, tuple] = {}
     step, last = items.width // 2, {}
+    places, terms = hits
+    here = np.zeros(len(items.terms), bool)
     for r, i in sorted(zip(row.tolist(), item.tolist(), strict=True)):
         words, start = items.words[i], int(which[r]) * step
         low, high = max(0, start - len(words)), min(len(h), start + items.width + len(words))
         if last.get(i, -1) >= start + items.width:
             continue  # the region looked at before holds this passage
-        region = h[low:high]
-        need = min(share, weak_share) * len(words)
-        if np.isin(words, region).sum() < need:
+        # at least so many of the item's words must stand in the region at all
+        some = terms[np.searchsorted(places, low) : np.searchsorted(places, high)]
+        here[some] = True
+        own, times = items.bag(i)
+        there = int(times[here[own]].sum())
+        here[some] = False
+        if there < min(share, weak_share) * len(words):
             continue
+        region = h[low:high]
         last[i] = high
         n = common_subsequence(words, region)
         ratio, answer = n / len(words), holds(items.answers[i], region)
@@ -227,19 +268,20 @@ def search(items: Items, h: np.ndarray, cosine: float, share: float, weak_share:
     return list(best.values())
 
 
-def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, answer: str | None = None, width: int = 32, rank: int = 64, common: float = 0.01, cosine: float = 0.4, share: float = 0.7, weak_share: float = 0.5, answer_words: int = 8, least_words: int = 8, item_weight: float = 100.0, most_items: int = 20_000, most_terms: int = 200_000) -> DataFrame:
+def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, answer: str | None = None, width: int = 32, rank: int = 64, common: float = 0.001, cosine: float = 0.4, least_terms: int = 3, share: float = 0.7, weak_share: float = 0.5, answer_words: int = 8, least_words: int = 8, item_weight: float = 100.0, most_items: int = 20_000, most_terms: int = 200_000) -> DataFrame:
     """A row for each document and item that it holds, with the place of the best match."""
     items = read_items(benchmark, answer, width, answer_words, most_items, most_terms)
     if not items.ids:
         return spark.createDataFrame([], FOUND)
+    bound_batches(spark)
     docs = docs.select("doc_id", "text")
     items.weight = weigh(docs, items, common)
-    items.latent = latent_space(docs, items, rank, item_weight)
+    items.latent = latent_space(docs, items, rank, item_weight).astype(np.float32)
     vectors = np.zeros((len(items.ids), items.latent.shape[1]))
     for i, w in enumerate(items.words):
         k, count = np.unique(np.searchsorted(items.terms, w), return_counts=True)
         vectors[i] = (count * items.weight[k]) @ items.latent[k]
-    items.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-30)
+    items.vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-30)).astype(np.float32)
     shared = spark.sparkContext.broadcast(items)
     names = [c.split()[0] for c in FOUND.split(", ")]
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.bool_())
@@ -248,8 +290,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
         it = shared.value
         for b in batches:
             out = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                for i, *rest in search(it, wordhash.words(text)[0], cosine, share, weak_share, least_words):
+            for doc, h in zip(b.column("doc_id").to_pylist(), wordhash.many(b.column("text").to_pylist()), strict=True):
+                for i, *rest in search(it, h, cosine, share, weak_share, least_words, least_terms):
                     out.append((doc, it.ids[i], *rest))
             columns = list(zip(*out, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
@@ -260,4 +302,4 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
 def without_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that hold an item of the benchmark."""
     found = Scratch(spark).cut(contaminated(spark, docs, benchmark, **options).select("doc_id").distinct(), "contaminated")
-    return docs.join(found.withColumnRenamed("doc_id", "_found"), docs["doc_id"].eqNullSafe(F.col("_found")), "left_anti")
+    return docs.join(found.withColumnRenamed("doc_id", "__found"), docs["doc_id"].eqNullSafe(F.col("__found")), "left_anti")
