@@ -4,7 +4,8 @@ A paragraph is a line of at least ``min_words`` words. Equal ones (same words) f
 by a 64-bit hash of them. Each class has a MinHash signature over its runs of ``n`` words, cut into bands whose number and width
 ``tune_bands`` picks for a recall at the threshold. Classes that collide in a band are sorted
 by it and neighbours are compared; then classes that still lie in different components are joined
-across components only, so a group of copies costs rows in proportion to its size.
+across components only, where parities of their sets allow the similarity, so a group of copies costs
+rows in proportion to its size.
 Candidates are verified on whole paragraphs by the exact Jaccard similarity of their word runs.
 Components of the links are the groups; the first paragraph of each (by document, then place) stays.
 
