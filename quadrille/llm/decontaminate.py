@@ -1,10 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Documents are read as passages: windows of ``width`` words, half overlapping. Their TF-IDF
-vectors are over the benchmark's words, without those that more than ``common`` of all passages
-hold. A distributed randomised SVD of all passages and items finds a latent space: one pass sums the
+vectors are over all of the benchmark's words; none is left out for being common, since an item that
+many documents hold makes its own words common. A distributed randomised SVD of all passages and items finds a latent space: one pass sums the
 sketch of the Gram matrix, from which the Nystrom method gives singular vectors. A second pass
-projects every passage and finds items by cosine (passages of fewer than ``least_terms`` weighted terms name none); their neighbourhoods go on to the longest common
+projects every passage and finds items by cosine; their neighbourhoods go on to the longest common
 subsequence of words, which tolerates inserted, dropped and changed words. A document holds an item
 if the subsequence covers ``share`` of it, or ``weak_share`` and the item's answer stands there word for
 word: the answer column if there is one, else the item's last ``answer_words`` words.
@@ -32,7 +32,6 @@ from quadrille.llm import wordhash
 from quadrille.llm.common import Scratch, bound_batches
 
 U = np.uint64
-FEW = 50  # passages that a term may be in whatever their share
 BLOCK = 256  # terms in a row of the summed sketch
 FOUND = "doc_id long, item_id long, first int, words int, cosine double, lcs double, answer boolean"
 
@@ -46,8 +45,8 @@ class Items:
     answers: list[np.ndarray]
     terms: np.ndarray  # sorted hashes
     width: int
-    weight: np.ndarray | None = None  # inverse document frequencies; 0 for common terms
-    latent: np.ndarray | None = None  # a row for each term
+    weight: np.ndarray | None = None  # inverse document frequencies, all above 0
+    latent: np.ndarray | None = None  # a row for each term, times its weight
     vectors: np.ndarray | None = None  # a row for each item, of length 1
 
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,22 +59,19 @@ class Items:
         same = self.terms[k] == h[at]
         return at[same], k[same]
 
-    def bag(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """An item's terms and how often it has each."""
+    def bags(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Terms of all items and how often each has them, end to end; where each item's begin, and its words."""
         if not hasattr(self, "_bags"):
-            self._bags: dict[int, tuple] = {}
-        if i not in self._bags:
-            self._bags[i] = np.unique(np.searchsorted(self.terms, self.words[i]), return_counts=True)
-        return self._bags[i]
+            each = [np.unique(np.searchsorted(self.terms, w), return_counts=True) for w in self.words]
+            sizes = np.array([len(k) for k, _ in each])
+            self._bags = (*(np.concatenate(x) for x in zip(*each, strict=True)), np.append(0, np.cumsum(sizes)), np.array([len(w) for w in self.words]))
+        return self._bags
 
     def passages(self, h: np.ndarray, hits: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """Passage, term and count of each pair that occurs, by passage; and the number of passages."""
         step = self.width // 2
         n = max(1, -(-(len(h) - step) // step)) if len(h) else 0
         at, k = hits or self.hits(h)
-        if self.weight is not None:
-            useful = self.weight[k] > 0
-            at, k = at[useful], k[useful]
         later = at // step
         earlier = later - 1
         p = np.concatenate([later[later < n], earlier[earlier >= 0]])
@@ -109,7 +105,7 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
-def weigh(docs: DataFrame, items: Items, common: float) -> np.ndarray:
+def weigh(docs: DataFrame, items: Items) -> np.ndarray:
     """Inverse document frequencies over all passages."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
     size = len(items.terms)
@@ -128,34 +124,47 @@ def weigh(docs: DataFrame, items: Items, common: float) -> np.ndarray:
     df = np.zeros(size + 1, np.int64)
     df[rows["term"].to_numpy()] = rows["n"].to_numpy()
     total = max(1, int(df[size]))
-    return np.where(df[:size] <= max(FEW, common * total), np.log((1 + total) / (1 + df[:size])), 0.0)
+    return np.log((2 + total) / (1 + df[:size]))
+
+
+def halves(k: np.ndarray, half: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the terms' rows over each of ``n`` half passages; ``half`` is sorted."""
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    which, begin = rows_of(half)
+    if len(which):
+        out[which] = np.add.reduceat(rows[k], begin, axis=0)
+    return out
 
 
 def _gram(items: Items, h_all: Iterable[np.ndarray], omega: np.ndarray, scale: float, into: np.ndarray) -> None:
     """Add ``scale`` times the Gram matrix of these texts' passages, times ``omega``."""
+    rows = (items.weight[:, None] * omega).astype(np.float32)
     parts, base = [], 0
     for h in h_all:
-        p, k, count, n = items.passages(h)
-        parts.append((p + base, k, count))
-        base += n
+        hits = items.hits(h)
+        p, k, count, n = items.passages(h, hits)
+        parts.append((np.bincount(p, (count * items.weight[k]) ** 2, n + 1), hits[0] // (items.width // 2) + base, hits[1]))
+        base += n + 1
         if base > 20_000:
-            _add_gram(items, parts, omega, scale, into)
+            _add_gram(items, parts, rows, scale, into)
             parts, base = [], 0
-    _add_gram(items, parts, omega, scale, into)
+    if parts:
+        _add_gram(items, parts, rows, scale, into)
 
 
-def _add_gram(items: Items, parts: list, omega: np.ndarray, scale: float, into: np.ndarray) -> None:
-    if not sum(len(x[0]) for x in parts):
+def _add_gram(items: Items, parts: list, rows: np.ndarray, scale: float, into: np.ndarray) -> None:
+    # Of each text the last slot begins no passage: its norm is 0. A passage is two halves, so sums over
+    # halves serve two passages each, in both products.
+    norm, half, k = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if not len(k):
         return
-    p, k, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-    _, begin = rows_of(p)
-    v = count * items.weight[k]
-    row = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(p))))
-    v = (v / np.sqrt(np.add.reduceat(v * v, begin))[row]).astype(np.float32)
-    y = np.add.reduceat(omega.astype(np.float32)[k] * v[:, None], begin, axis=0)
+    y = halves(k, half, rows, len(norm))
+    y[:-1] += y[1:]
+    y *= np.divide(1, norm, out=np.zeros(len(norm)), where=norm > 0).astype(np.float32)[:, None]
+    y[1:] += y[:-1].copy()
     order = np.argsort(k, kind="stable")
     terms, begin = rows_of(k[order])
-    into[terms] += scale * np.add.reduceat(v[order, None] * y[row[order]], begin, axis=0)
+    into[terms] += scale * items.weight[terms, None] * np.add.reduceat(y[half[order]], begin, axis=0)
 
 
 def latent_space(docs: DataFrame, items: Items, rank: int, item_weight: float, seed: int = 11) -> np.ndarray:
@@ -196,21 +205,12 @@ def latent_space(docs: DataFrame, items: Items, rank: int, item_weight: float, s
     return np.linalg.svd(b, full_matrices=False)[0]
 
 
-def project(items: Items, p: np.ndarray, k: np.ndarray, count: np.ndarray, least_terms: int) -> tuple[np.ndarray, np.ndarray]:
-    """Passages that have enough terms, and their latent vectors of length 1."""
-    which, begin = rows_of(p)
-    size = np.diff(np.append(begin, len(p)))
-    enough = size >= least_terms
-    if not enough.all():
-        keep = np.repeat(enough, size)
-        k, count = k[keep], count[keep]
-        which, size = which[enough], size[enough]
-        begin = np.cumsum(size) - size
-    if not len(which):
-        return which, np.zeros((0, items.latent.shape[1]), np.float32)
-    v = (count * items.weight[k]).astype(np.float32)[:, None] * items.latent[k]
-    x = np.add.reduceat(v, begin, axis=0)
-    return which, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), np.float32(1e-30))
+def project(items: Items, hits: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    """Latent vectors of length 1 of the ``n`` passages, or 0 without terms."""
+    at, k = hits
+    x = halves(k, at // (items.width // 2), items.latent, n + 1)
+    x = x[:-1] + x[1:]
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), np.float32(1e-30))
 
 
 def common_subsequence(x: np.ndarray, y: np.ndarray) -> int:
@@ -230,34 +230,61 @@ def holds(x: np.ndarray, y: np.ndarray) -> bool:
     return any(np.array_equal(y[i : i + len(x)], x) for i in at)
 
 
-def search(items: Items, h: np.ndarray, cosine: float, share: float, weak_share: float, least_words: int, least_terms: int) -> list[tuple]:
+def possible(items: Items, hits: tuple[np.ndarray, np.ndarray], row: np.ndarray, item: np.ndarray, share: float) -> np.ndarray:
+    """Which pairs of passage and item have at least this share of the item's words around the passage."""
+    own, times, begin, words = items.bags()
+    step = items.width // 2
+    names, k = np.unique(hits[1], return_inverse=True)
+    place = np.full(len(items.terms), len(names))
+    place[names] = np.arange(len(names))
+
+    def enough(i: np.ndarray, present) -> np.ndarray:
+        keep = []
+        for at in range(0, len(i), 4096):
+            some = i[at : at + 4096]
+            size = begin[some + 1] - begin[some]
+            first = np.cumsum(size) - size
+            flat = np.arange(size.sum()) + np.repeat(begin[some] - first, size)
+            there = np.add.reduceat(times[flat] * present(place[own[flat]], at, size), first)
+            keep.append(there >= share * words[some])
+        return np.concatenate(keep)
+
+    # in the whole text, then in the halves around the passage, of which ``after`` has the next with each term
+    which = np.unique(item)
+    keep = np.isin(item, which[enough(which, lambda x, at, size: x < len(names))])
+    for low in np.unique(row[keep] // 256) * 256:
+        some = np.flatnonzero(keep & (row >= low) & (row < low + 256))
+        reach = -(-words[item[some]] // step)
+        base, top = max(0, low - int(reach.max())), low + 258 + int(reach.max())
+        inside = slice(*np.searchsorted(hits[0], [base * step, top * step]))
+        after = np.full((top - base, len(names) + 1), top, np.int32)
+        after[hits[0][inside] // step - base, k[inside]] = hits[0][inside] // step
+        after = np.minimum.accumulate(after[::-1], axis=0)[::-1]
+        begins, ends = np.maximum(row[some] - reach, base) - base, row[some] + 2 + reach
+        part = lambda x, at, size: after[np.repeat(begins[at : at + 4096], size), x] < np.repeat(ends[at : at + 4096], size)  # noqa: B023, E731
+        keep[some] = enough(item[some], part)
+    return keep
+
+
+def search(items: Items, h: np.ndarray, cosine: float, share: float, weak_share: float, least_words: int) -> list[tuple]:
     """``item, first, words, cosine, lcs, answer`` of each item that the text holds."""
     hits = items.hits(h)
-    p, k, count, _ = items.passages(h, hits)
-    if not len(p):
-        return []
-    which, x = project(items, p, k, count, least_terms)
-    near = x @ items.vectors.T
-    if not len(which) or near.max() < cosine:
+    if not len(hits[0]):
         return []
+    step = items.width // 2
+    near = project(items, hits, max(1, -(-(len(h) - step) // step))) @ items.vectors.T
     row, item = np.nonzero(near >= cosine)
+    if not len(row):
+        return []
+    keep = possible(items, hits, row, item, min(share, weak_share))
+    row, item = row[keep], item[keep]
     best: dict[int, tuple] = {}
-    step, last = items.width // 2, {}
-    places, terms = hits
-    here = np.zeros(len(items.terms), bool)
+    last = {}
     for r, i in sorted(zip(row.tolist(), item.tolist(), strict=True)):
-        words, start = items.words[i], int(which[r]) * step
+        words, start = items.words[i], r * step
         low, high = max(0, start - len(words)), min(len(h), start + items.width + len(words))
         if last.get(i, -1) >= start + items.width:
             continue  # the region looked at before holds this passage
-        # at least so many of the item's words must stand in the region at all
-        some = terms[np.searchsorted(places, low) : np.searchsorted(places, high)]
-        here[some] = True
-        own, times = items.bag(i)
-        there = int(times[here[own]].sum())
-        here[some] = False
-        if there < min(share, weak_share) * len(words):
-            continue
         region = h[low:high]
         last[i] = high
         n = common_subsequence(words, region)
@@ -268,19 +295,19 @@ def search(items: Items, h: np.ndarray, cosine: float, share: float, weak_share:
     return list(best.values())
 
 
-def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, answer: str | None = None, width: int = 32, rank: int = 64, common: float = 0.001, cosine: float = 0.4, least_terms: int = 3, share: float = 0.7, weak_share: float = 0.5, answer_words: int = 8, least_words: int = 8, item_weight: float = 100.0, most_items: int = 20_000, most_terms: int = 200_000) -> DataFrame:
+def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, answer: str | None = None, width: int = 32, rank: int = 64, cosine: float = 0.4, share: float = 0.7, weak_share: float = 0.5, answer_words: int = 8, least_words: int = 8, item_weight: float = 100.0, most_items: int = 20_000, most_terms: int = 200_000) -> DataFrame:
     """A row for each document and item that it holds, with the place of the best match."""
     items = read_items(benchmark, answer, width, answer_words, most_items, most_terms)
     if not items.ids:
         return spark.createDataFrame([], FOUND)
     bound_batches(spark)
     docs = docs.select("doc_id", "text")
-    items.weight = weigh(docs, items, common)
-    items.latent = latent_space(docs, items, rank, item_weight).astype(np.float32)
+    items.weight = weigh(docs, items)
+    items.latent = (items.weight[:, None] * latent_space(docs, items, rank, item_weight)).astype(np.float32)
     vectors = np.zeros((len(items.ids), items.latent.shape[1]))
     for i, w in enumerate(items.words):
         k, count = np.unique(np.searchsorted(items.terms, w), return_counts=True)
-        vectors[i] = (count * items.weight[k]) @ items.latent[k]
+        vectors[i] = count @ items.latent[k]
     items.vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-30)).astype(np.float32)
     shared = spark.sparkContext.broadcast(items)
     names = [c.split()[0] for c in FOUND.split(", ")]
@@ -291,7 +318,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
         for b in batches:
             out = []
             for doc, h in zip(b.column("doc_id").to_pylist(), wordhash.many(b.column("text").to_pylist()), strict=True):
-                for i, *rest in search(it, h, cosine, share, weak_share, least_words, least_terms):
+                for i, *rest in search(it, h, cosine, share, weak_share, least_words):
                     out.append((doc, it.ids[i], *rest))
             columns = list(zip(*out, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)

@@ -166,6 +166,16 @@ def test_decontamination(spark, docs):
         contaminated(spark, docs, bench, most_items=1)
 
 
+def test_decontamination_of_an_item_in_a_third_of_the_documents(spark):
+    rng = random.Random(3)
+    item = prose(rng, 55)
+    reworded = " ".join(w if i % 4 else "changed" for i, w in enumerate(item.split()))
+    rows = [(i, " ".join([prose(rng, 40), (item, reworded)[i % 2] if i % 3 == 0 else "", prose(rng, 40)])) for i in range(600)]
+    bench = spark.createDataFrame([(1, item), (2, prose(rng, 30))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contaminated(spark, spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(i, 1) for i in range(0, 600, 3)}
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
