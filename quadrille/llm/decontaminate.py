@@ -4,7 +4,8 @@ Documents are read as passages: windows of ``width`` words, half overlapping. Th
 vectors are over all of the benchmark's words; none is left out for being common, since an item that
 many documents hold makes its own words common. A distributed randomised SVD of all passages and items finds a latent space: one pass sums the
 sketch of the Gram matrix, from which the Nystrom method gives singular vectors. A second pass
-projects every passage and finds items by cosine; their neighbourhoods go on to the longest common
+projects every passage and finds items by cosine. Besides, each run of ``run`` words that an item holds (all
+of a shorter item) names it wherever it stands word for word, whatever the cosine. The neighbourhoods go on to the longest common
 subsequence of words, which tolerates inserted, dropped and changed words. A document holds an item
 if the subsequence covers ``share`` of it, or ``weak_share`` and the item's answer stands there word for
 word: the answer column if there is one, else the item's last ``answer_words`` words.
@@ -67,6 +68,34 @@ class Items:
             self._bags = (*(np.concatenate(x) for x in zip(*each, strict=True)), np.append(0, np.cumsum(sizes)), np.array([len(w) for w in self.words]))
         return self._bags
 
+    def runs(self, run: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """For each length, ``run`` or that of a shorter item: hashes of the items' runs, sorted, and the items."""
+        if not hasattr(self, "_runs"):
+            by: dict[int, list] = {}
+            for i, w in enumerate(self.words):
+                r = wordhash.shingles(w, run)
+                by.setdefault(min(run, len(w)), []).append((r, np.full(len(r), i)))
+            self._runs = []
+            for n, each in sorted(by.items()):
+                r, item = (np.concatenate(x) for x in zip(*each, strict=True))
+                order = np.argsort(r, kind="stable")
+                self._runs.append((n, r[order], item[order]))
+        return self._runs
+
+    def named(self, h: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+        """Passage and item of each run of an item that stands in the text."""
+        step = self.width // 2
+        last = max(1, -(-(len(h) - step) // step)) - 1
+        row, item = [], []
+        for n, r, of in self.runs(run):
+            here = wordhash.ngrams(h, n)
+            low = np.searchsorted(r, here)
+            at = np.flatnonzero(r[np.minimum(low, len(r) - 1)] == here)
+            low, size = low[at], np.searchsorted(r, here[at], "right") - low[at]
+            row.append(np.repeat(np.minimum(at // step, last), size))
+            item.append(of[np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)])
+        return np.concatenate(row), np.concatenate(item)
+
     def passages(self, h: np.ndarray, hits: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """Passage, term and count of each pair that occurs, by passage; and the number of passages."""
         step = self.width // 2
@@ -266,14 +295,16 @@ def possible(items: Items, hits: tuple[np.ndarray, np.ndarray], row: np.ndarray,
     return keep
 
 
-def search(items: Items, h: np.ndarray, cosine: float, share: float, weak_share: float, least_words: int) -> list[tuple]:
+def search(items: Items, h: np.ndarray, cosine: float, share: float, weak_share: float, least_words: int, run: int) -> list[tuple]:
     """``item, first, words, cosine, lcs, answer`` of each item that the text holds."""
     hits = items.hits(h)
     if not len(hits[0]):
         return []
     step = items.width // 2
     near = project(items, hits, max(1, -(-(len(h) - step) // step))) @ items.vectors.T
-    row, item = np.nonzero(near >= cosine)
+    chosen = near >= cosine
+    chosen[items.named(h, run)] = True
+    row, item = np.nonzero(chosen)
     if not len(row):
         return []
     keep = possible(items, hits, row, item, min(share, weak_share))
@@ -295,7 +326,7 @@ def search(items: Items, h: np.ndarray, cosine: float, share: float, weak_share:
     return list(best.values())
 
 
-def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, answer: str | None = None, width: int = 32, rank: int = 64, cosine: float = 0.4, share: float = 0.7, weak_share: float = 0.5, answer_words: int = 8, least_words: int = 8, item_weight: float = 100.0, most_items: int = 20_000, most_terms: int = 200_000) -> DataFrame:
+def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, answer: str | None = None, width: int = 32, rank: int = 64, cosine: float = 0.4, share: float = 0.7, weak_share: float = 0.5, answer_words: int = 8, least_words: int = 8, run: int = 5, item_weight: float = 100.0, most_items: int = 20_000, most_terms: int = 200_000) -> DataFrame:
     """A row for each document and item that it holds, with the place of the best match."""
     items = read_items(benchmark, answer, width, answer_words, most_items, most_terms)
     if not items.ids:
@@ -318,7 +349,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
         for b in batches:
             out = []
             for doc, h in zip(b.column("doc_id").to_pylist(), wordhash.many(b.column("text").to_pylist()), strict=True):
-                for i, *rest in search(it, h, cosine, share, weak_share, least_words):
+                for i, *rest in search(it, h, cosine, share, weak_share, least_words, run):
                     out.append((doc, it.ids[i], *rest))
             columns = list(zip(*out, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)

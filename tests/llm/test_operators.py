@@ -176,6 +176,15 @@ def test_decontamination_of_an_item_in_a_third_of_the_documents(spark):
     assert got == {(i, 1) for i in range(0, 600, 3)}
 
 
+def test_decontamination_of_items_of_few_or_common_words(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, rng.randint(60, 200))) for i in range(400)]
+    # runs of 1 to 60 words of documents; the last item stands at the end of its document
+    cut = [(i, " ".join(t.split()[7 : 7 + 1 + i % 60])) for i, t in rows[:120]] + [(999, " ".join(rows[399][1].split()[-9:]))]
+    got = {(r.doc_id, r.item_id) for r in contaminated(spark, spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(cut, "item_id long, text string")).collect()}
+    assert {(i, k) for k, item in cut for i, t in rows if f" {item} " in f" {t} "} <= got
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
