@@ -1,8 +1,9 @@
 """Near-duplicate paragraphs: MinHash bands find candidates, exact checks link them.
 
-A paragraph is a line of at least ``min_words`` words. Equal ones (same words) form one class, named
-by a 64-bit hash of them. Each class has a MinHash signature over its runs of ``n`` words, cut into bands whose number and width
-``tune_bands`` picks for a recall at the threshold. Classes that collide in a band are sorted
+A paragraph is a line of at least ``min_words`` words: every line that has any, as registered. Equal
+ones (same words) form one class, named by a 64-bit hash of them. Each class of ``n`` words or more has a
+MinHash signature over its runs of ``n`` words, cut into bands whose number and width ``tune_bands``
+picks for a recall at the threshold; shorter lines have no run and are copies only if equal. Classes that collide in a band are sorted
 by it and neighbours are compared; then classes that still lie in different components are joined
 across components only, where parities of their sets allow the similarity, so a group of copies costs
 rows in proportion to its size.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from quadrille.llm import wordhash
 from quadrille.llm.common import Scratch
 from quadrille.llm.components import connected_components, neighbours
-from quadrille.llm.ngram_join import PARITIES, ids_filter, near_parity, parities, passes
+from quadrille.llm.ngram_join import PARITIES, ids_filter, near_parity, passes
 
 U = np.uint64
 
@@ -43,37 +44,62 @@ def tune_bands(threshold: float, recall: float, background: float = 0.2, most_fa
     raise ValueError("no banding reaches this recall")
 
 
-def signature(members: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One hash for each band of the set's MinHashes."""
-    least = np.empty(bands * rows, U)
+def signatures(members: np.ndarray, begin: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One hash for each band of each set's MinHashes; sets lie end to end and begin at ``begin``."""
+    least = np.empty((len(begin), bands * rows), U)
     odd = wordhash.mix(np.arange(1, 2 * bands * rows + 1, dtype=U)).reshape(2, -1)
-    for at in range(0, bands * rows, 16):
-        k = slice(at, at + 16)
-        least[k] = ((members[:, None] * (odd[0, k] | U(1))) ^ (members[:, None] >> U(32)) * (odd[1, k] | U(1))).min(axis=0)
+    high = members >> U(32)
+    for at in range(bands * rows):
+        least[:, at] = np.minimum.reduceat((members * (odd[0, at] | U(1))) ^ (high * (odd[1, at] | U(1))), begin)
     turn = odd[0, :rows] | U(1)
-    return wordhash.mix((least.reshape(bands, rows) * turn).sum(axis=1, dtype=U) + np.arange(bands, dtype=U))
+    return wordhash.mix((least.reshape(-1, bands, rows) * turn).sum(axis=2, dtype=U) + np.arange(bands, dtype=U))
+
+
+def signature(members: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    return signatures(members, np.zeros(1, np.int64), bands, rows)[0]
 
 
-def split(text: bytes, min_words: int) -> list[tuple[int, int, np.ndarray]]:
-    """First word, number of words and word hashes of each paragraph that is long enough."""
+def split(text: bytes, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the paragraphs that are long enough: word hashes end to end, first words and numbers of words."""
     h, starts, _ = wordhash.words(text)
-    if len(h) < min_words:
-        return []
     ends = np.append(np.flatnonzero(np.frombuffer(text, np.uint8) == 10), len(text))
     upto = np.searchsorted(starts, ends)
-    out, at = [], 0
-    for to in upto.tolist():
-        if to - at >= min_words:
-            out.append((at, to - at, h[at:to]))
-        at = to
-    return out
-
-
-def paragraph_id(h: np.ndarray) -> int:
-    """A hash of the paragraph's words in their order."""
-    place = wordhash.mix(np.arange(1, len(h) + 1, dtype=U))
-    both = np.array([wordhash.mix(h * (place | U(1))).sum(dtype=U), wordhash.mix(h ^ place).sum(dtype=U)], U)
-    return int(wordhash.mix(both[:1] + wordhash.mix(both[1:]) + U(len(h))).view(np.int64)[0])
+    first = np.append(0, upto[:-1])
+    size = upto - first
+    keep = size >= max(1, min_words)
+    return h[np.repeat(keep, size)], first[keep], size[keep]
+
+
+def within(size: np.ndarray) -> np.ndarray:
+    """0, 1, ... in each of consecutive runs of these sizes."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+def paragraph_ids(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each paragraph a hash of its words in their order."""
+    if not len(size):
+        return np.zeros(0, np.int64)
+    place = wordhash.mix((within(size) + 1).astype(U))
+    begin = np.cumsum(size) - size
+    one, two = (np.add.reduceat(wordhash.mix(x), begin) for x in (h * (place | U(1)), h ^ place))
+    return wordhash.mix(one + wordhash.mix(two) + size.astype(U)).view(np.int64)
+
+
+def described(h: np.ndarray, size: np.ndarray, n: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bands (a row for each paragraph of ``n`` words or more), and size and parities of each set of runs."""
+    runs = np.maximum(size - n + 1, 0)
+    begin = np.cumsum(size) - size
+    members = wordhash.ngrams(h, n)[within(runs) + np.repeat(begin, runs)] if runs.any() else np.zeros(0, U)
+    long = runs > 0
+    starts = (np.cumsum(runs) - runs)[long]
+    found = signatures(members, starts, bands, rows).view(np.int64) if len(starts) else np.zeros((0, bands), np.int64)
+    of = np.repeat(np.arange(len(size)), runs)
+    order = np.lexsort((members, of))
+    members, of = members[order], of[order]
+    fresh = np.append(True, (members[1:] != members[:-1]) | (of[1:] != of[:-1])) if len(of) else np.zeros(0, bool)
+    members, of = members[fresh], of[fresh]
+    odd = np.bincount(of * 1024 + (members >> U(54)).astype(np.int64), minlength=len(size) * 1024) & 1
+    return found, np.bincount(of, minlength=len(size)), np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(size), -1)
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -91,11 +117,19 @@ def paragraphs(docs: DataFrame, n: int, min_words: int, bands: int, rows: int) -
             for at in range(0, b.num_rows, 1000):
                 part, out = b.slice(at, 1000), []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    for first, k, h in split(text, min_words):
-                        members = wordhash.shingles(h, n)
-                        out.append((doc, first, k, paragraph_id(h), signature(members, bands, rows).view(np.int64), len(members), *parities(members)))
-                columns = list(zip(*out, strict=True)) or [()] * len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], names)
+                    h, first, size = split(text, min_words)
+                    ids, ends = paragraph_ids(h, size), np.cumsum(size)
+                    for i in range(0, len(size), 1000):  # bounds the parities of a text of very many lines
+                        k = slice(i, i + 1000)
+                        some = h[ends[i] - size[i] : ends[k][-1]]
+                        out.append((np.full(len(size[k]), doc), first[k], size[k], ids[k], *described(some, size[k], n, bands, rows)))
+                if not out:
+                    continue
+                doc, first, size, ids, found, sets, odd = (np.concatenate(x) for x in zip(*out, strict=True))
+                offsets = np.append(0, np.cumsum(np.where(size >= n, bands, 0))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))
+                columns = (doc, first, size, ids, lists, sets, *odd.T)
+                yield pa.RecordBatch.from_arrays([v if v is lists else pa.array(np.ascontiguousarray(v), t, safe=False) for v, t in zip(columns, kinds, strict=True)], names)
 
     return texts(docs).mapInArrow(local, "doc_id long, first int, words int, id long, bands array<long>, n int, " + ", ".join(f"{q} long" for q in PARITIES))
 
@@ -109,12 +143,10 @@ def words_of(docs: DataFrame, ids: DataFrame, min_words: int, scratch: Scratch)
             for at in range(0, b.num_rows, 1000):
                 found: dict[int, bytes] = {}
                 for text in b.column(0).slice(at, 1000).to_pylist():
-                    hs = [h for _, _, h in split(text, min_words)]
-                    if not hs:
-                        continue
-                    these = np.array([paragraph_id(h) for h in hs], np.int64)
-                    for i in np.flatnonzero(passes(shared.value, these)):
-                        found[int(these[i])] = hs[i].tobytes()
+                    h, _, size = split(text, min_words)
+                    these, ends = paragraph_ids(h, size), np.cumsum(size)
+                    for i in np.flatnonzero(passes(shared.value, these)) if len(these) else ():
+                        found[int(these[i])] = h[ends[i] - size[i] : ends[i]].tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["id", "tokens"])
 
     return scratch.cut(texts(docs).select("text").mapInArrow(local, "id long, tokens binary").join(ids, "id", "left_semi").dropDuplicates(["id"]), "tokens")
@@ -126,7 +158,7 @@ def similar(x: np.ndarray, y: np.ndarray, n: int, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def paragraph_groups(spark: SparkSession, docs: DataFrame, *, n: int = 5, percent: int = 80, recall: float = 0.9995, min_words: int = 40) -> DataFrame:
+def paragraph_groups(spark: SparkSession, docs: DataFrame, *, n: int = 5, percent: int = 80, recall: float = 0.9995, min_words: int = 1) -> DataFrame:
     """``doc_id, first, words, component_id, of_doc, removed`` for every paragraph that has a near copy.
 
     ``component_id`` is one number for a group, ``of_doc`` the document of the paragraph that stays.

@@ -152,6 +152,18 @@ def test_paragraphs(spark, docs):
     assert all(r.doc_id is not None for r in got) and not any(r.doc_id in (0, 1, 2, 5) for r in got)
 
 
+def test_paragraphs_of_few_words(spark):
+    rng = random.Random(5)
+    lines = {k: prose(rng, k) for k in (2, 4, 5, 9, 25, 39)}
+    near = prose(rng, 30)
+    rows = [(d, "\n".join([prose(rng, 12), *lines.values(), near + (" more" if d else "")])) for d in range(3)] + [(3, lines[2] + "\n" + lines[4] + " x")]
+    sf = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.words, r.of_doc, r.removed) for r in paragraph_groups(spark, sf).collect())
+    want = collections.Counter((d, k, 0, d > 0) for d in range(3) for k in lines)
+    want += collections.Counter([(0, 30, 0, False), (1, 31, 0, True), (2, 31, 0, True), (3, 2, 0, True)])
+    assert got == want
+
+
 def test_decontamination(spark, docs):
     rows = docs.where("doc_id in (20, 21)").orderBy("doc_id").collect()
     item = " ".join(rows[0].text.split()[:40]) or "none"
