@@ -2,16 +2,17 @@
 
 Suffixes are retained at minimiser positions: of every ``window`` consecutive word runs of length
 ``seed`` the one with the least hash is selected, so two texts that share ``seed + window - 1`` words
-select the same places in them, wherever these stand. The retained suffixes are sorted by the
-content at their start (the seed, then the next words), and neighbours that share their seed are
-compared: matches of two texts on the same diagonal are merged, met with the texts' words, and
+select the same places in them, wherever these stand. The context of a suffix is all that a run of
+``least`` words around its seed can reach. Suffixes are sorted by a hash of their context, and
+neighbours of one context are compared. The first suffix of each context stands for the others: where
+contexts of a seed differ, each of its runs of ``least`` words is sorted by its hash, and neighbours of
+equal runs are compared. So every place of a repeated run but the first has an earlier one to meet.
+Matches of two texts on the same diagonal are merged, met with the texts' words, and
 extended left and right to their full length. Only matches of at least ``least`` words count.
 
-Sorting spreads a seed that very many texts contain over many partitions, and each suffix is
-compared with its neighbours alone, so work stays in proportion to the number of suffixes. Of each
-match the later place (by document, then position) is marked; the earlier stays, so the first copy of
-every passage is kept. A second sort, by the words before the seed, finds matches whose
-neighbours in the first order agree on the right side only.
+Sorting spreads a run that very many texts contain over many partitions, and each is compared with its
+neighbours alone, so work stays in proportion to the repeated words. Of each match the later place
+(by document, then position) is marked; the earlier stays, so the first copy of every passage is kept.
 
 Defined results: words are runs of other than ASCII space, compared with A-Z in lower case and by
 64-bit hashes; null and short texts have no matches; rows with equal texts match whole; rows
@@ -64,29 +65,54 @@ def minimisers(h: np.ndarray, seed: int, window: int) -> tuple[np.ndarray, np.nd
     return at, runs[at]
 
 
-def suffixes(docs: DataFrame, seed: int, window: int) -> DataFrame:
-    """``seed_hash, right, left, id, at``: each retained suffix with hashes of what adjoins its seed."""
-    names = ["seed_hash", "right", "left", "id", "at"]
+def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of ``n`` words, from prefix sums, for long runs."""
+    if len(h) < n:
+        return np.zeros(0, U)
+    base = 0x9E3779B97F4A7C15
+    power, inverse = (np.full(len(h) + 1, x, U) for x in (base, pow(base, -1, 1 << 64)))
+    power[0] = inverse[0] = 1
+    power, inverse = np.multiply.accumulate(power), np.multiply.accumulate(inverse)
+    total = np.append(U(0), np.cumsum(wordhash.mix(h) * power[:-1], dtype=U))
+    return wordhash.mix((total[n:] - total[:-n]) * inverse[: len(h) - n + 1])
+
+
+def suffixes(docs: DataFrame, seed: int, least: int) -> DataFrame:
+    """``seed_hash, context, id, at``: each retained suffix with a hash of what a least match may reach."""
+    names = ["seed_hash", "context", "id", "at"]
+    reach = least - seed
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 h = wordhash.words(text)[0]
-                at, s = minimisers(h, seed, window)
-                if not len(at):
+                if len(h) < least:
                     continue
-                # leading bits of hashes order suffixes by the words after the seed, and by those before
-                padded = np.concatenate([np.zeros(window, U), h, np.zeros(seed + window, U)])
-                p = at + window
-                side = lambda shifts: sum((padded[p + o] >> U(52)) << U(51 - 12 * k) for k, o in enumerate(shifts)).astype(np.int64)  # noqa: B023, E731
-                parts.append((s.view(np.int64), side([seed + x for x in (0, 3, 8, 15)]), side([-1 - x for x in (0, 3, 8, 15)]), np.full(len(at), doc, np.int64), at.astype(np.int32)))
+                at, s = minimisers(h, seed, reach + 1)
+                edge = np.zeros(reach, U)  # a context that meets the text's end differs from others
+                context = run_hashes(np.concatenate([edge, h, edge]), seed + 2 * reach)[at]
+                parts.append((s.view(np.int64), context.view(np.int64), np.full(len(at), doc, np.int64), at.astype(np.int32)))
             if parts:
                 columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(local, "seed_hash long, right long, left long, id long, at int")
+    return texts.mapInArrow(local, "seed_hash long, context long, id long, at int")
+
+
+def runs_around(places: DataFrame, words: DataFrame, seed: int, least: int) -> DataFrame:
+    """``run, id, at``: a hash of each run of ``least`` words that holds the seed at one of ``places``."""
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, at, w in zip(*(b.column(k).to_pylist() for k in ("id", "places", "words")), strict=True):
+                runs = run_hashes(np.frombuffer(w, np.uint32).astype(U), least)
+                first = np.unique(np.array(at)[:, None] - np.arange(least - seed + 1))
+                first = first[(first >= 0) & (first < len(runs))]
+                yield pa.RecordBatch.from_arrays([pa.array(runs[first].view(np.int64)), pa.array(np.full(len(first), i, np.int64)), pa.array(first.astype(np.int32))], ["run", "id", "at"])
+
+    return places.join(words, "id").select("id", "places", "words").mapInArrow(local, "run long, id long, at int")
 
 
 def words_of(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
@@ -153,12 +179,17 @@ def matches(spark: SparkSession, docs: DataFrame, *, least: int = 50, seed: int
     if not 1 < seed <= least:
         raise ValueError("a seed must fit into the least match")
     scratch = scratch or Scratch(spark)
-    found = scratch.cut(suffixes(docs, seed, least - seed + 1), "suffixes")
+    found = scratch.cut(suffixes(docs, seed, least), "suffixes")
     # seeds that occur once have no neighbours; partial counts drop them before anything is sorted
     often = scratch.cut(found.groupBy("seed_hash").agg(F.count("*").alias("n")).where("n > 1").select("seed_hash"), "often")
     kept = scratch.cut(found.join(often, "seed_hash", "left_semi"), "repeated")
     scratch.drop(found)
-    near = [neighbours(kept, ["seed_hash"], [side, "id", "at"], ["id", "at"], scratch) for side in ("right", "left")]
+    words = words_of(docs, kept.select("id").distinct(), scratch)
+    firsts = scratch.cut(kept.groupBy("seed_hash", "context").agg(F.min(F.struct("id", "at")).alias("first")), "contexts")
+    several = firsts.groupBy("seed_hash").agg(F.count("*").alias("n")).where("n > 1")
+    places = firsts.join(several, "seed_hash", "left_semi").groupBy("first.id").agg(F.collect_set("first.at").alias("places"))
+    runs = scratch.cut(runs_around(places, words, seed, least), "runs")
+    near = [neighbours(t, [key], ["id", "at"], ["id", "at"], scratch) for t, key in ((kept, "context"), (runs, "run"))]
     both = near[0].unionByName(near[1])
     later = (F.col("id_1") > F.col("id_2")) | ((F.col("id_1") == F.col("id_2")) & (F.col("at_1") > F.col("at_2")))
     pick = lambda c, first: F.when(later == first, F.col(f"{c}_2")).otherwise(F.col(f"{c}_1"))
@@ -166,8 +197,7 @@ def matches(spark: SparkSession, docs: DataFrame, *, least: int = 50, seed: int
     pairs = pairs.where("a <> b or p <> q").select("a", "b", (F.col("q") - F.col("p")).alias("shift"), "p")
     # one row for two texts and a diagonal; its places are at most the minimisers of one text
     pairs = scratch.cut(pairs.groupBy("a", "b", "shift").agg(F.collect_set("p").alias("places")), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    return scratch.cut(extended(pairs, words_of(docs, ids, scratch), least), "matches")
+    return scratch.cut(extended(pairs, words, least), "matches")
 
 
 def merged(found: DataFrame) -> DataFrame:

@@ -283,6 +283,23 @@ def test_repeated_spans(spark, docs):
     assert clean[6].text == texts()[6] and clean[7].text == "" and len(py_words(clean[11].text)) == 50
 
 
+def test_repeats_among_many_edited_copies(spark):
+    rng = random.Random(6)
+    base, passage = prose(rng, 400).split(), prose(rng, 50)
+    rows = [(i, " ".join(w if rng.random() > 0.02 else prose(rng, 1) for w in base)) for i in range(120)]
+    rows += [(1000 + i, " ".join([prose(rng, 30), passage, prose(rng, 30)])) for i in range(100)]
+    first, want = {}, {i: set() for i, _ in rows}
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 49):
+            if first.setdefault(tuple(w[k : k + 50]), (i, k)) != (i, k):
+                want[i] |= set(range(k, k + 50))
+    got = {i: set() for i, _ in rows}
+    for r in repeated_spans(spark, spark.createDataFrame(rows, "doc_id long, text string")).where("removed").collect():
+        got[r.doc_id] |= set(range(r.first, r.first + r.words))
+    assert got == want
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([(1, "some words of an item that nothing holds")], "item_id long, text string")
