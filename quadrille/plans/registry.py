@@ -202,7 +202,16 @@ def spatial_join_udf(spark, d):
 FROM {JOIN_FROM} JOIN (SELECT event_id, user_id * 5 AS e0, 8036 + event_id % 2400 AS e1 FROM events WHERE event_id % 4 = 0) e
 ON least(a0, c0) <= e0 + 1 AND e0 <= greatest(a1, c1) AND least(b0, d0) <= e1 AND e1 <= greatest(b1, d1)""")
 def spatial_join_3way(spark, d):
-    e = read(spark, d, "events").where("event_id % 4 = 0")
+    return join_three(spark, d, read(spark, d, "events").where("event_id % 4 = 0"))
+
+
+@query(None)
+def spatial_join_3way_all(spark, d):
+    """The join with the whole events table; the SQL above has a quarter of it."""
+    return join_three(spark, d, read(spark, d, "events"))
+
+
+def join_three(spark: SparkSession, d: str, e: DataFrame) -> DataFrame:
     day = F.lit(8036) + F.col("event_id") % 2400
     third = tuples.to_tuples(e, "user_id", [(F.col("user_id") * 5, F.col("user_id") * 5 + 1), day], us("ts"), keep=("event_id",))
     return joins.multi_join([orders(spark, d), lines(spark, d), third]).select("t1_key", "t2_key", "t3_event_id", "lo_0", "hi_0")
