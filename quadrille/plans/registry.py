@@ -225,7 +225,16 @@ def join_dedup(spark, d):
 @query(f"""WITH b AS (SELECT o_orderkey AS k, min(least({ODAY}, {LDAY})) AS lo, max(greatest({ODAY}, {LDAY})) AS hi FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 50 = 0 GROUP BY 1)
 SELECT x.k AS a, y.k AS b FROM b x JOIN b y ON x.k < y.k AND x.lo <= y.hi AND y.lo <= x.hi""")
 def interval_join_orders_lineitem(spark, d):
-    o, li = read(spark, d, "orders").where("o_orderkey % 50 = 0"), read(spark, d, "lineitem")
+    return overlapping_orders(read(spark, d, "orders").where("o_orderkey % 50 = 0"), read(spark, d, "lineitem"))
+
+
+@query(None)
+def interval_join_orders_lineitem_all(spark, d):
+    """The join over all orders; the SQL above has one of 50."""
+    return overlapping_orders(read(spark, d, "orders"), read(spark, d, "lineitem"))
+
+
+def overlapping_orders(o: DataFrame, li: DataFrame) -> DataFrame:
     both = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", days("o_orderdate").alias("x"), days("l_shipdate").alias("y"))
     ranges = both.groupBy("o_orderkey").agg(F.min(F.least("x", "y")).alias("lo"), F.max(F.greatest("x", "y")).alias("hi"))
     t = tuples.to_tuples(ranges, "o_orderkey", [("lo", "hi")], F.lit(0), keep=("o_orderkey",))
