@@ -32,10 +32,11 @@ class Partitioner(Protocol):
 
 
 def samples_of(df: DataFrame, fraction: float = 0.001, seed: int = 1, most: int = MOST_SAMPLES) -> list[tuple[float, ...]]:
-    """Bounds of sampled boxes; full spaces are left out. At most ``most`` come to the driver."""
+    """Bounds of sampled boxes; full spaces are left out. At most ``most`` come to the driver,
+    drawn from the whole sample."""
     n = dimensions_of(df)
     names = [f"{k}_{d}" for d in range(n) for k in ("lo", "hi")]
-    rows = df.where(~is_full()).select(*names).sample(fraction, seed).limit(most)
+    rows = df.where(~is_full()).select(*names).sample(fraction, seed).orderBy(F.rand(seed + 1)).limit(most)
     return [tuple(r) for r in rows.collect()]
 
 

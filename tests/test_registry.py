@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow.parquet as pq
 
+from quadrille.operators import partition, tuples
 from quadrille.plans import registry
 
 SF = "/root/testdata/sf0.01"
@@ -42,3 +43,9 @@ def test_interval_join_of_all_orders(spark, tmp_path):
     want = [(a, b) for a, (x, y) in ranges.items() for b, (v, w) in ranges.items() if a < b and x <= w and v <= y]
     got = registry.interval_join_orders_lineitem_all(spark, str(tmp_path)).collect()
     assert any(a % 50 for a, _ in want) and sorted((r.a, r.b) for r in got) == sorted(want)
+
+
+def test_samples_over_the_bound_come_from_the_whole_table(spark):
+    t = tuples.to_tuples(spark.range(0, 20_000, 1, 8), "id", ["id"], "id")
+    got = [s[0] for s in partition.samples_of(t, 0.5, most=1000)]
+    assert len(got) == 1000 and 9000 < sum(got) / 1000 < 11_000
