@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 import weakref
@@ -44,17 +43,21 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
+#: Spark then removes the shuffle files of an execution when it ends, not when the driver's garbage is collected.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the shared folder, which cut lineage and survive lost executors.
 
-    ``drop`` removes one when no later step reads it; the others go when the session's JVM ends.
+    ``release`` and ``only`` remove those that no later step reads, at once; what is left goes when the
+    session's JVM ends. An operator leaves at most its result behind.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         bound_batches(spark)
-        self.paths: dict[int, str] = {}
-        self.names: dict[str, list[str]] = {}
+        self.names: dict[str, list[tuple[str, weakref.ref]]] = {}
 
     def path(self, name: str) -> str:
         out = f"{shared_dir(self.spark)}/quadrille-{name}-{uuid.uuid4().hex}"
@@ -65,28 +68,43 @@ class Scratch:
     def cut(self, df: DataFrame, name: str = "table") -> DataFrame:
         """Write ``df`` as Parquet and return it as read back."""
         out = self.path(name)
-        df.write.parquet(out)
+        before = self.spark.conf.get(CLEAN_UP, "false")
+        self.spark.conf.set(CLEAN_UP, "true")
+        try:
+            df.write.parquet(out)
+        finally:
+            self.spark.conf.set(CLEAN_UP, before)
         back = self.spark.read.schema(df.schema).parquet(out)
-        self.paths[id(back)] = out
-        self.names.setdefault(name, []).append(out)
-        weakref.finalize(back, self.paths.pop, id(back), None)
+        self.names.setdefault(name, []).append((out, weakref.ref(back)))
         return back
 
     def release(self, *names: str) -> None:
-        """Remove all tables written under these names, and the shuffle files of what made them.
-
-        Spark keeps shuffle files until the driver collects the plans that they belong to.
-        """
+        """Remove all tables written under these names."""
         for name in names:
-            for out in self.names.pop(name, []):
+            for out, _ in self.names.pop(name, []):
+                _remove(self.spark, out)
+
+    def only(self, *tables: DataFrame) -> None:
+        """Remove every table but these."""
+        keep = {id(t) for t in tables}
+        for name, written in list(self.names.items()):
+            left = [(out, ref) for out, ref in written if id(ref()) in keep]
+            self.names[name] = left
+            for out, _ in (x for x in written if x not in left):
                 _remove(self.spark, out)
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            if out := self.paths.pop(id(t), None):
+        gone = {id(t) for t in tables}
+        for name, written in self.names.items():
+            for out, _ in (x for x in written if id(x[1]()) in gone):
                 _remove(self.spark, out)
+            self.names[name] = [x for x in written if id(x[1]()) not in gone]
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """Write an operator's result and remove all that it was made of."""
+        out = self.cut(df, "result")
+        self.only(out)
+        return out
 
 
 def remainder(spark_col: str, n: int):

@@ -39,6 +39,23 @@ def connected_components(spark: SparkSession, links: DataFrame, scratch: Scratch
         state = now
 
 
+def merged(spark: SparkSession, components: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """The components after further links, which are followed among the components they join alone."""
+    if components is None:
+        return connected_components(spark, links, scratch)
+    at = lambda side: components.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
+    between = links.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    between = between.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).where("a <> b").distinct()
+    up = connected_components(spark, scratch.cut(between, "between"), scratch)
+    scratch.release("between")
+    moved = components.join(up.select(F.col("node").alias("component"), F.col("component").alias("after")), "component", "left")
+    moved = moved.select("node", F.coalesce("after", "component").alias("component"))
+    fresh = up.join(components.select("node"), "node", "left_anti")
+    out = scratch.cut(moved.unionByName(fresh), "components")
+    scratch.drop(components, up)
+    return out
+
+
 def neighbours(table: DataFrame, key: list[str], order: list[str], keep: list[str], scratch: Scratch) -> DataFrame:
     """Rows next to each other in the order of ``key`` and ``order``, where their keys are equal.
 

@@ -9,21 +9,23 @@ rest, so a passage that many documents share seldom reaches a prefix.
 
 Links are found up to components, and no group is ever gathered or multiplied out:
 
-1. Documents with equal sets become one class.
-2. The prefixes' members are sorted; neighbours in that order that pass the size test, and the
-   prefix test under the other orders, are verified on their whole sets. This is repeated with
-   other orders inside equal members. It links most groups of copies in as many rows as they have.
-3. Members whose classes still lie in different components are joined, across components only,
-   and candidates that pass all filters are verified: first one for each two components, then all
-   that are left. Before the prefixes of the other orders, a
-   bound on the symmetric difference filters: sets whose parities differ in more of 1024 hash
-   slots than their sizes allow cannot link. What is left after that is exact: any
-   pair that was not verified is in one component already, or failed a test that links must pass.
+1. Rows with equal sets become one class, named by the number of one of its rows.
+2. The prefixes' members are sorted by size; neighbours in that order that pass the size test are
+   scored by a bound on the symmetric difference: sets whose parities differ in more of 1024 hash
+   slots than their sizes allow cannot link. Of each class the nearest neighbour is verified, after
+   the tests under the other orders. This is repeated with another order inside equal members. It
+   links most groups of copies in as many rows as they have.
+3. Members whose classes still lie in different components are joined, across components only; where
+   more than ``HOT`` rows share a member, the orders are intersected in the join itself, by a member of the second
+   order's prefix besides. Candidates that pass all filters are verified: first the nearest for each two
+   components, then all that are left. That is exact: any pair that was not verified is in one
+   component already, or failed a test that links must pass.
 
 Defined results: a text without words, null or empty, has an empty set and no links; with fewer
-words than n the whole sequence is one n-gram; equal rows are one class; null ids are left out
-of components and get a null component; an empty table gives an empty result; further columns are
-ignored. N-grams are compared by 64-bit hashes.
+words than n the whole sequence is one n-gram; equal rows are one class; rows that repeat an id with
+different texts are compared each, and what one of them links with is linked; null ids are left out
+of components and get a null component; very long texts take part whole; an empty table gives an empty
+result; further columns are ignored. N-grams are compared by 64-bit hashes, whole sets by 128 bits.
 """
 
 from __future__ import annotations
@@ -37,11 +39,12 @@ from pyspark.sql import functions as F
 
 from quadrille.llm import wordhash
 from quadrille.llm.common import Scratch
-from quadrille.llm.components import connected_components, neighbours
+from quadrille.llm.components import merged, neighbours
 
 U = np.uint64
 FREQUENT = 200_000  # words whose counts are broadcast: 16 bytes each
 FLUSH = 2_000_000  # words counted at once by a task
+HOT = 64  # rows with one member that are joined on it alone
 SEEDS = (U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D0))
 
 
@@ -88,19 +91,22 @@ def frequency(h: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndar
 
 
 PARITIES = [f"q{i}" for i in range(16)]
-FEW_IDS = 1_000_000  # ids that may be broadcast, eight bytes each
 
 
-def parities(members: np.ndarray) -> list[int]:
+def parities(members: np.ndarray) -> np.ndarray:
     """1024 bits: whether an odd number of members falls on each slot."""
     odd = (np.bincount((members >> U(54)).astype(np.int64), minlength=1024) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64).tolist()
+    return np.packbits(odd).view(np.int64)
+
+
+def differing(one: str, two: str):
+    """In how many slots two sets' parities differ: at most as many as members that only one has."""
+    return sum((F.bit_count(F.col(f"{one}{q}").bitwiseXOR(F.col(f"{two}{q}"))) for q in PARITIES[1:]), F.bit_count(F.col(f"{one}{PARITIES[0]}").bitwiseXOR(F.col(f"{two}{PARITIES[0]}"))))
 
 
 def near_parity(percent: int, n: str, m: str, one: str, two: str):
     """Whether the parities allow the similarity: they differ at most where the sets do."""
-    differ = sum((F.bit_count(F.col(f"{one}{q}").bitwiseXOR(F.col(f"{two}{q}"))) for q in PARITIES[1:]), F.bit_count(F.col(f"{one}{PARITIES[0]}").bitwiseXOR(F.col(f"{two}{PARITIES[0]}"))))
-    return (100 + percent) * differ <= (100 - percent) * (F.col(n) + F.col(m))
+    return (100 + percent) * differing(one, two) <= (100 - percent) * (F.col(n) + F.col(m))
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -113,75 +119,100 @@ class Sets:
     def __init__(self, n: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]):
         self.n, self.percent, self.frequent = n, percent, frequent
 
-    def of(self, text: bytes | None) -> np.ndarray:
-        return wordhash.shingles(wordhash.words(text)[0], self.n)
-
-    def prefixes(self, text: bytes | None) -> tuple[np.ndarray, list[np.ndarray]]:
-        h = wordhash.words(text)[0]
+    def prefixes(self, h: np.ndarray, seeds: tuple = SEEDS) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The sorted set of the words' n-grams, and its prefix under each seed's order."""
         if not len(h):
-            return h, [h] * len(SEEDS)
+            return h, [h] * len(seeds)
         k = min(self.n, len(h))
         s, first = np.unique(wordhash.ngrams(h, k), return_index=True)
         level = frequency(h, self.frequent)
-        rarest = np.lib.stride_tricks.sliding_window_view(level, k).min(axis=1)[first]
+        m = len(h) - k + 1
+        rarest = level[:m]
+        for i in range(1, k):
+            rarest = np.minimum(rarest, level[i : i + m])
+        rarest = rarest[first].astype(U) << U(56)
         size = prefix_size(len(s), self.percent)
         out = []
-        for seed in SEEDS:
-            rank = (wordhash.mix(s ^ seed) >> U(8)) | rarest.astype(U) << U(56)
+        for seed in seeds:
+            rank = (wordhash.mix(s ^ seed) >> U(8)) | rarest
             out.append(s[np.argpartition(rank, size - 1)[:size]] if size < len(s) else s)
         return s, out
 
 
+def fingerprint(members: np.ndarray) -> tuple[U, U]:
+    """128 bits that name a set."""
+    return wordhash.mix(members).sum(dtype=U), wordhash.mix(members ^ SEEDS[0]).sum(dtype=U)
+
+
+def lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    offsets = np.append(0, np.cumsum([len(x) for x in arrays])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.zeros(0, arrays[0].dtype if arrays else np.int64)]), kind))
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+
+
 def signatures(docs: DataFrame, sets) -> DataFrame:
-    """``doc_id, n, key_1, key_2, p0, p1, p2``: size, fingerprint and prefixes of each set."""
-    names = ["doc_id", "n", "key_1", "key_2", *PARITIES, *(f"p{i}" for i in range(len(SEEDS)))]
+    """``row, doc_id, n, key_1, key_2, q0.., p0``: size, fingerprint, parities and first prefix of each set."""
+    names = ["row", "doc_id", "n", "key_1", "key_2", *PARITIES, "p0"]
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = sets.value
+        from pyspark import TaskContext
+
+        row, s = TaskContext.get().partitionId() << 33, sets.value
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                sizes, one, two, bits, prefixes = [], [], [], [], [[] for _ in SEEDS]
-                for text in part.column("text").to_pylist():
-                    members, ps = s.prefixes(text)
-                    sizes.append(len(members))
-                    one.append(int(wordhash.mix(members).sum(dtype=U).view(np.int64)) if len(members) else 0)
-                    two.append(int(wordhash.mix(members ^ SEEDS[0]).sum(dtype=U).view(np.int64)) if len(members) else 0)
-                    bits.append(parities(members))
-                    prefixes[0].append(ps[0].view(np.int64))
-                    for into, p in zip(prefixes[1:], ps[1:], strict=True):  # half a hash can only let more pairs pass
-                        into.append((p >> U(32)).astype(np.uint32).view(np.int32))
-                columns = [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())]
-                columns += [pa.array(q, pa.int64()) for q in zip(*bits, strict=True)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(prefixes[0], pa.list_(pa.int64())), *(pa.array(p, pa.list_(pa.int32())) for p in prefixes[1:])], names)
+                n = part.num_rows
+                sizes, keys, odd, prefixes = np.zeros(n, np.int64), np.zeros((2, n), U), np.zeros((n, len(PARITIES)), np.int64), []
+                for i, h in enumerate(wordhash.many(part.column("text").to_pylist())):
+                    members, (p,) = s.prefixes(h, SEEDS[:1])
+                    sizes[i], keys[:, i], odd[i] = len(members), fingerprint(members), parities(members)
+                    prefixes.append(p.view(np.int64))
+                columns = [pa.array(np.arange(row, row + n)), part.column("doc_id"), pa.array(sizes), *(pa.array(k.view(np.int64)) for k in keys)]
+                columns += [pa.array(np.ascontiguousarray(q)) for q in odd.T]
+                row += n
+                yield pa.RecordBatch.from_arrays([*columns, lists(prefixes, pa.int64())], names)
+
+    schema = "row long, doc_id long, n long, key_1 long, key_2 long, " + ", ".join(f"{q} long" for q in PARITIES) + ", p0 array<long>"
+    return texts(docs).mapInArrow(local, schema)
+
 
-    schema = "doc_id long, n long, key_1 long, key_2 long, " + ", ".join(f"{q} long" for q in PARITIES) + ", p0 array<long>, " + ", ".join(f"p{i} array<int>" for i in range(1, len(SEEDS)))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(local, schema)
+KEYS = ["n", "key_1", "key_2"]
 
 
-def members_of(docs: DataFrame, ids: DataFrame, sets, scratch: Scratch) -> DataFrame:
-    """``id, members``: the whole sets, as sorted 64-bit hashes, of the texts with these ids.
+def members_of(docs: DataFrame, wanted: DataFrame, sets, scratch: Scratch) -> DataFrame:
+    """``id, members, p1, p2``: whole sets, as sorted 64-bit hashes, and the other orders' prefixes.
 
-    A bit array of fixed size keeps most other texts out before the join.
+    ``wanted`` has ``id, doc_id, n, key_1, key_2``. A bit array of fixed size keeps most other texts out
+    before the join.
     """
-    bits = ids_filter(ids, "id")
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    wanted = scratch.cut(wanted, "wanted")
+    shared = docs.sparkSession.sparkContext.broadcast(ids_filter(wanted, "doc_id"))
+    names = ["doc_id", *KEYS, "members", "p1", "p2"]
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sets.value
         for b in batches:
-            id_ = np.array([-1 if x is None else x for x in b.column("doc_id").to_pylist()], np.int64)
-            some = np.flatnonzero(passes(shared.value, id_))
-            if not len(some):
-                continue
-            b = b.take(pa.array(some))
+            b = b.take(pa.array(np.flatnonzero(passes(shared.value, b.column("doc_id").to_numpy()))))
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                sets_ = [s.of(t).tobytes() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets_, pa.binary())], ["id", "members"])
+                found, keys, prefixes = [], [], ([], [])
+                for h in wordhash.many(part.column("text").to_pylist()):
+                    members, ps = s.prefixes(h, SEEDS[1:])
+                    found.append(members.tobytes())
+                    keys.append((len(members), *fingerprint(members)))
+                    for into, p in zip(prefixes, ps, strict=True):  # half a hash can only let more pairs pass
+                        into.append((p >> U(32)).astype(np.uint32).view(np.int32))
+                n, one, two = (np.array(k, U).view(np.int64) for k in zip(*keys, strict=True))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(k) for k in (n, one, two)), pa.array(found, pa.binary()), *(lists(p, pa.int32()) for p in prefixes)], names)
 
-    found = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(local, "id long, members binary")
-    return scratch.cut(found.join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    by = ["doc_id", *KEYS]
+    found = texts(docs.where("doc_id is not null")).mapInArrow(local, "doc_id long, n long, key_1 long, key_2 long, members binary, p1 array<int>, p2 array<int>")
+    out = scratch.cut(found.dropDuplicates(by).join(wanted, by).select("id", "members", "p1", "p2"), "sets")
+    shared.unpersist()
+    return out
 
 
 FILTER_BITS = 1 << 23
@@ -214,7 +245,7 @@ def passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs ``a, b``, those whose whole sets are similar enough."""
+    """Of the pairs ``a, b`` that meet under every order, those whose whole sets are similar enough."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -225,87 +256,87 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = sets.select(F.col("id").alias("a"), F.col("members").alias("x"))
-    two = sets.select(F.col("id").alias("b"), F.col("members").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(local, "a long, b long")
+    one = sets.select(F.col("id").alias("a"), F.col("members").alias("x"), F.col("p1").alias("x1"), F.col("p2").alias("x2"))
+    two = sets.select(F.col("id").alias("b"), F.col("members").alias("y"), F.col("p1").alias("y1"), F.col("p2").alias("y2"))
+    met = pairs.join(one, "a").join(two, "b").where(F.arrays_overlap("x1", "y1") & F.arrays_overlap("x2", "y2"))
+    return met.select("a", "b", "x", "y").mapInArrow(local, "a long, b long")
+
 
+def ids_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
 
-def ngram_components(spark: SparkSession, docs: DataFrame, *, n: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
+
+def ngram_components(spark: SparkSession, docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs``."""
     scratch = Scratch(spark)
-    frequent = frequent_words(docs)
-    sets = spark.sparkContext.broadcast(Sets(n, percent, frequent))
+    docs = docs.select("doc_id", "text")
+    sets = spark.sparkContext.broadcast(Sets(n, percent, frequent_words(docs)))
     signed = scratch.cut(signatures(docs, sets), "signatures")
-    keys = ["n", "key_1", "key_2"]
-    narrow = scratch.cut(signed.select("doc_id", *keys), "narrow")
-    classes = scratch.cut(narrow.where("n > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("class")), "classes")
-    reps = signed.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = scratch.cut(reps.select(F.col("doc_id").alias("id"), "n", *PARITIES, *(f"p{i}" for i in range(len(SEEDS)))), "reps")
-    scratch.release("signatures")
+    narrow = scratch.cut(signed.select("row", "doc_id", *KEYS), "narrow")
+    classes = narrow.where("n > 0 and doc_id is not null").groupBy(*KEYS).agg(F.min("row").alias("id"), F.min("doc_id").alias("first"))
+    classes = scratch.cut(classes, "classes")
+    reps = scratch.cut(signed.join(classes.select(F.col("id").alias("row")), "row", "left_semi").withColumnRenamed("row", "id"), "reps")
+    scratch.drop(signed)
+    named = reps.select("id", "doc_id", *KEYS)
     tokens = reps.select(F.explode("p0").alias("token"), "n", "id")
-
-    def candidates(pairs: DataFrame) -> DataFrame:
-        """The filters of the other orders, intersected: prefixes must overlap under each.
-
-        The classes in question are picked out first: by a broadcast where they are few, else by a join.
-        """
-        ids = scratch.cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-        some = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
-        few = scratch.cut(reps.drop("p0").join(some, "id", "left_semi"), "few")
-
-        def side(of: str, prefix: str, columns: list[str]) -> DataFrame:
-            return few.select(F.col("id").alias(of), *(F.col(c).alias(prefix + c) for c in columns))
-
-        columns = ["n", *PARITIES]
-        pairs = pairs.join(side("a", "x", columns), "a").join(side("b", "y", columns), "b").where(near_parity(percent, "xn", "yn", "x", "y")).select("a", "b")
-        for i in range(1, len(SEEDS)):
-            pairs = pairs.join(side("a", "x", [f"p{i}"]), "a").join(side("b", "y", [f"p{i}"]), "b").where(F.arrays_overlap(f"xp{i}", f"yp{i}")).select("a", "b")
-        return pairs
-
-    fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
-    links: DataFrame | None = None
     components: DataFrame | None = None
 
-    def more(pairs: DataFrame) -> None:
-        nonlocal links, components
-        pairs = scratch.cut(candidates(scratch.cut(pairs, "raw")), "pairs")
-        scratch.release("raw", "neighbours", "open", "ids", "few")
-        if links is not None and pairs.isEmpty():
+    def settle(pairs: DataFrame) -> None:
+        """Verify pairs of classes and join the components of those that link."""
+        nonlocal components
+        pairs = scratch.cut(pairs, "pairs")
+        if components is not None and pairs.isEmpty():
             return
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        found = verified(pairs, members_of(docs, ids, sets, scratch), percent)
-        links = scratch.cut(found if links is None else found.unionByName(links), "links")
-        scratch.release("pairs", "sets", "components")
-        components = connected_components(spark, links, scratch)
-
-    at = tokens
-    for k in range(rounds):
+        found = scratch.cut(verified(pairs, members_of(docs, named.join(ids_of(pairs), "id", "left_semi"), sets, scratch), percent), "links")
+        scratch.release("pairs", "sets", "wanted")
+        components = merged(spark, components, found, scratch)
+        scratch.release("links")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs ``a, b`` whose parities allow a link, with the number of slots that differ."""
+        some = scratch.cut(reps.select("id", "n", *PARITIES).join(ids_of(pairs), "id", "left_semi"), "few")
+        side = lambda of, p: some.select(F.col("id").alias(of), *(F.col(c).alias(p + c) for c in ("n", *PARITIES)))
+        met = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+        return met.where(near_parity(percent, "xn", "yn", "x", "y")).select("a", "b", differing("x", "y").alias("far"))
+
+    def nearest(pairs: DataFrame, of: list[str]) -> DataFrame:
+        best = pairs.groupBy(*of).agg(F.min(F.struct("far", "a", "b")).alias("p"))
+        return best.select("p.a", "p.b")
+
+    fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
+    ordered = (F.least("id_1", "id_2").alias("a"), F.greatest("id_1", "id_2").alias("b"))
+    for again in (False, True):
         # The second round sorts equal members by a hash, and leaves out those with one component.
-        sort = ["n", "id"] if k == 0 else ["mixed", "id"]
-        if k:
-            at = open_tokens(tokens, components)
-            at = at.withColumn("mixed", F.xxhash64(F.lit(k), "id"))
-        near = neighbours(at, ["token"], sort, ["token", "n", "id"] + (["c"] if k else []), scratch)
-        if not k:  # only members with neighbours matter from here on
-            pairs = near.select(*(F.col(f"{c}_1").alias(c) for c in ("token", "n", "id"))).union(near.select("token_2", "n_2", "id_2"))
-            tokens = scratch.cut(pairs.distinct(), "tokens")
-        near = near.where(fits(F.col("n_1"), F.col("n_2")) & (F.col("c_1") != F.col("c_2") if k else F.lit(True)))
-        more(near.select(F.least("id_1", "id_2").alias("a"), F.greatest("id_1", "id_2").alias("b")).distinct())
+        at, sort = (open_tokens(tokens, components).withColumn("mixed", F.xxhash64("id")), ["mixed", "id"]) if again else (tokens, ["n", "id"])
+        near = neighbours(at, ["token"], sort, ["token", "n", "id"] + ["c"] * again, scratch).where(fits(F.col("n_1"), F.col("n_2")))
+        if not again:  # only members that have a neighbour of fitting size matter from here on
+            some = near.select(*(F.col(f"{c}_1").alias(c) for c in ("token", "n", "id"))).union(near.select("token_2", "n_2", "id_2"))
+            tokens = scratch.cut(some.distinct(), "tokens")
+        pairs = scratch.cut(near.where("c_1 <> c_2" if again else "true").select(*ordered).distinct(), "near")
+        scratch.release("neighbours")
+        settle(nearest(scored(pairs), ["b"]))
+        scratch.release("near", "few")
     for last in (False, True):
-        rest = scratch.cut(open_tokens(tokens, components).join(reps.select("id", *PARITIES), "id"), "open")
-        other = rest.select("token", F.col("n").alias("m"), F.col("id").alias("b"), F.col("c").alias("d"), *(F.col(q).alias("y" + q) for q in PARITIES))
-        one = rest.select("token", "n", F.col("id").alias("a"), "c", *(F.col(q).alias("x" + q) for q in PARITIES))
-        across = one.join(other, "token").where((F.col("c") < F.col("d")) & fits(F.col("n"), F.col("m")) & near_parity(percent, "n", "m", "x", "y"))
-        pair = F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        if not last:  # one pair for each two components settles most of them; the rest follow
-            across = across.groupBy("c", "d").agg(F.min_by(pair, F.xxhash64("a", "b")).alias("p")).select("p.a", "p.b")
-        else:
-            across = across.select(pair.alias("p")).select("p.a", "p.b")
-        more(across.distinct())
-    named = classes.join(components.withColumnRenamed("node", "class"), "class", "left").select(*keys, F.coalesce("component", "class").alias("component_id"))
-    whole = narrow.join(named, keys, "left")
+        rest = scratch.cut(open_tokens(tokens, components), "open")
+        hot = scratch.cut(rest.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT).select("token"), "hot")
+        cold = across(rest.join(hot, "token", "left_anti"), ["token"], fits)
+        many = scratch.cut(rest.join(hot, "token", "left_semi"), "many")
+        if not many.isEmpty():
+            own = members_of(docs, named.join(many.select("id").distinct(), "id", "left_semi"), sets, scratch).select("id", F.explode("p1").alias("second"))
+            cold = cold.union(across(many.join(own, "id"), ["token", "second"], fits))
+        pairs = scratch.cut(cold.distinct(), "across")
+        scratch.release("open", "hot", "many", "sets", "wanted")
+        if pairs.isEmpty():
+            break
+        near = scored(pairs.select("a", "b")).join(pairs, ["a", "b"])
+        settle(near.select("a", "b") if last else nearest(near, ["c", "d"]))
+        scratch.release("across", "few")
+    groups = classes.join(components.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    groups = scratch.cut(groups, "groups")
+    firsts = groups.groupBy("component").agg(F.min("first").alias("component_id"))
+    groups = scratch.cut(groups.join(firsts, "component").select(*KEYS, "component_id"), "named")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), own.cast("long").alias("component_id"))
+    return scratch.result(narrow.join(groups, KEYS, "left").select("doc_id", F.col("n").alias("n_shingles"), own.cast("long").alias("component_id")))
 
 
 def open_tokens(tokens: DataFrame, components: DataFrame) -> DataFrame:
@@ -313,3 +344,11 @@ def open_tokens(tokens: DataFrame, components: DataFrame) -> DataFrame:
     placed = tokens.join(components.withColumnRenamed("node", "id"), "id", "left").select("token", "n", "id", F.coalesce("component", "id").alias("c"))
     mixed = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
     return placed.join(mixed, "token")
+
+
+def across(rows: DataFrame, key: list[str], fits) -> DataFrame:
+    """``a, b, c, d``: pairs of classes of two components and fitting sizes that have a key in common."""
+    one = rows.select(*key, "n", F.col("id").alias("x"), "c")
+    two = rows.select(*key, F.col("n").alias("m"), F.col("id").alias("y"), F.col("c").alias("d"))
+    met = one.join(two, key).where((F.col("c") < F.col("d")) & fits(F.col("n"), F.col("m")))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "c", "d").distinct()

@@ -107,6 +107,54 @@ def test_ngram_components(spark, docs):
     assert root[8] == 6
 
 
+def brute_components(rows, n, percent):
+    """Sizes and component ids by comparing all rows; rows of one id count as linked."""
+    sets = []
+    for i, t in rows:
+        w = py_words(t)
+        sets.append((i, {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()))
+    root = {i: i for i, _ in sets}
+    for i, a in sets:
+        for j, b in sets:
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                x, y = root[i], root[j]
+                if x != y:
+                    root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+    return collections.Counter((i, len(s), root[i]) for i, s in sets)
+
+
+def test_ngram_components_of_repeated_ids(spark):
+    rng = random.Random(8)
+    a, b = prose(rng, 200), prose(rng, 200)
+    near = lambda t: t.replace(t.split()[50], "changed", 1)
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (4, prose(rng, 200)), (4, prose(rng, 90)), (5, "one two"), (6, "One  two"), (6, "One  two")]
+    got = ngram_components(spark, spark.createDataFrame(rows, "doc_id long, text string"), n=3, percent=90).collect()
+    by = collections.defaultdict(set)
+    for r in got:
+        by[r.doc_id].add(r.component_id)
+    assert by[1] == by[2] | by[3] == {1} and by[4] == {4} and by[5] == by[6] == {5} and len(got) == len(rows)
+
+
+def test_ngram_components_of_hot_members(spark, monkeypatch):
+    """Groups of edited copies that share most of their members, one of them large, with members above the limit."""
+    from quadrille.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "HOT", 3)
+    rng = random.Random(12)
+    rows = []
+    for size in (150, 20, 7, 2):
+        base = prose(rng, 60).split()
+        for _ in range(size):
+            w = list(base)
+            for k in rng.sample(range(60), rng.randint(0, 4)):
+                w[k] = prose(rng, 1)
+            rows.append((len(rows) * 3, " ".join(w)))
+    rows += [(2000 + i, prose(rng, 30)) for i in range(60)]
+    rng.shuffle(rows)
+    got = ngram_components(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(5), n=3, percent=80).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 3, 80)
+
+
 def test_quality(spark, docs):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(6, 1, 0), (None, 1, 0), (99, None, 0)], "doc_id long, quality int, toxic int")
     got = rank_quality(docs, labels, ~held_out())
