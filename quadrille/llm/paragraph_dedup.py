@@ -1,23 +1,31 @@
-"""Near-duplicate paragraphs: MinHash bands find candidates, exact checks link them.
-
-A paragraph is a line of at least ``min_words`` words: every line that has any, as registered. Equal
-ones (same words) form one class, named by a 64-bit hash of them. Each class of ``n`` words or more has a
-MinHash signature over its runs of ``n`` words, cut into bands whose number and width ``tune_bands``
-picks for a recall at the threshold; shorter lines have no run and are copies only if equal. Classes that collide in a band are sorted
-by it and neighbours are compared; then classes that still lie in different components are joined
-across components only, where parities of their sets allow the similarity, so a group of copies costs
-rows in proportion to its size.
-Candidates are verified on whole paragraphs by the exact Jaccard similarity of their word runs.
-Components of the links are the groups; the first paragraph of each (by document, then place) stays.
+"""Substring deduplication by paragraphs: MinHash banding finds near copies, exact checks link them.
+
+Paragraphs are of two kinds, each of at least ``min_words`` words. Lines are compared by similarity.
+Sections are cut by content: a boundary stands where a hash of two words is the least of the ``window``
+around it, and a section runs from a boundary to the first one at least ``min_words`` further on, over
+line ends too. So whatever adjoins a passage, two texts that share ``least_found(min_words, window)`` words (51 as
+registered) have a whole section in common. A text's begin and end are boundaries; a shorter text is one section.
+
+Equal paragraphs (same words) form one class, named by a 64-bit hash of them. Each class of lines has a
+MinHash signature over its runs of ``n`` words, cut into bands; candidates share two. ``tune_bands`` picks
+number and width of bands for a recall at the threshold. Bands are sorted and neighbours are compared, of
+each class the one that it meets in most bands; then classes that still lie in different components are
+joined across components only. Where more than ``HOT`` rows share a band, a second band joins the key, so
+a group of copies costs rows in proportion to its size. Candidates are verified on whole
+paragraphs by the exact Jaccard similarity of their word runs. Sections differ at their ends if they differ
+at all, so theirs are the classes alone. Components of the links are the groups; the first paragraph of each
+(by document, then place) stays.
 
 Defined results: null and empty texts have no paragraphs; equal rows are copies of each other;
-rows with null ids are left out; rows that repeat an id count as its further paragraphs; an
-empty table gives an empty result; further columns are ignored. Words are compared by 64-bit hashes.
+rows with null ids are left out; rows that repeat an id count as its further paragraphs; very long texts
+take part whole; an empty table gives an empty result; further columns are ignored. Words are compared by
+64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -26,24 +34,38 @@ from pyspark.sql import functions as F
 
 from quadrille.llm import wordhash
 from quadrille.llm.common import Scratch
-from quadrille.llm.components import connected_components, neighbours
-from quadrille.llm.ngram_join import PARITIES, ids_filter, near_parity, passes
+from quadrille.llm.components import merged, neighbours
+from quadrille.llm.ngram_join import ids_filter, ids_of, passes
+from quadrille.llm.sparse_suffix import minimisers
 
 U = np.uint64
+HOT = 64  # rows with one band that are joined on it alone
+WORDS = 100_000  # words whose signatures are made together
 
 
-def tune_bands(threshold: float, recall: float, background: float = 0.2, most_false: float = 0.05) -> tuple[int, int]:
+def shared_bands(similarity: float, bands: int, rows: int, shared: int) -> float:
+    """The chance that two sets of this similarity have at least ``shared`` bands in common."""
+    p = similarity**rows
+    return 1 - sum(comb(bands, k) * p**k * (1 - p) ** (bands - k) for k in range(shared))
+
+
+def tune_bands(threshold: float, recall: float, shared: int = 2, background: float = 0.15, most_false: float = 0.05) -> tuple[int, int]:
     """The fewest bands, and their width, with enough recall at the threshold, whose false candidates at
     the background similarity stay below ``most_false``."""
     for rows in range(1, 17):
-        for bands in range(1, 129):
-            if 1 - (1 - threshold**rows) ** bands >= recall:
-                if 1 - (1 - background**rows) ** bands <= most_false:
+        for bands in range(shared, 129):
+            if shared_bands(threshold, bands, rows, shared) >= recall:
+                if shared_bands(background, bands, rows, shared) <= most_false:
                     return bands, rows
                 break
     raise ValueError("no banding reaches this recall")
 
 
+def least_found(min_words: int, window: int) -> int:
+    """Any run of so many words that two texts share holds a whole section."""
+    return min_words + 3 * (window - 1)
+
+
 def signatures(members: np.ndarray, begin: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One hash for each band of each set's MinHashes; sets lie end to end and begin at ``begin``."""
     least = np.empty((len(begin), bands * rows), U)
@@ -59,15 +81,23 @@ def signature(members: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return signatures(members, np.zeros(1, np.int64), bands, rows)[0]
 
 
-def split(text: bytes, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the paragraphs that are long enough: word hashes end to end, first words and numbers of words."""
-    h, starts, _ = wordhash.words(text)
-    ends = np.append(np.flatnonzero(np.frombuffer(text, np.uint8) == 10), len(text))
-    upto = np.searchsorted(starts, ends)
+def lines(text: bytes, starts: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and numbers of words of the lines that are long enough."""
+    upto = np.searchsorted(starts, np.append(np.flatnonzero(np.frombuffer(text, np.uint8) == 10), len(text)))
     first = np.append(0, upto[:-1])
     size = upto - first
     keep = size >= max(1, min_words)
-    return h[np.repeat(keep, size)], first[keep], size[keep]
+    return first[keep], size[keep]
+
+
+def sections(h: np.ndarray, min_words: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and numbers of words of the sections."""
+    if len(h) <= min_words:
+        return np.zeros(min(1, len(h)), np.int64), np.full(min(1, len(h)), len(h))
+    edge = np.unique(np.concatenate([[0], minimisers(h, 2, window - 1)[0], [len(h)]]))
+    to = np.searchsorted(edge, edge + min_words)
+    there = to < len(edge)
+    return edge[there], edge[to[there]] - edge[there]
 
 
 def within(size: np.ndarray) -> np.ndarray:
@@ -75,81 +105,100 @@ def within(size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
 
 
-def paragraph_ids(h: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """For each paragraph a hash of its words in their order."""
+def paragraph_ids(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each paragraph a hash of its words in their order, from prefix sums."""
     if not len(size):
         return np.zeros(0, np.int64)
-    place = wordhash.mix((within(size) + 1).astype(U))
-    begin = np.cumsum(size) - size
-    one, two = (np.add.reduceat(wordhash.mix(x), begin) for x in (h * (place | U(1)), h ^ place))
-    return wordhash.mix(one + wordhash.mix(two) + size.astype(U)).view(np.int64)
+    power, inverse = wordhash.powers(len(h) + 1)
+    total = np.zeros(len(h) + 1, U)
+    np.cumsum(wordhash.mix(h) * power[: len(h)], dtype=U, out=total[1:])
+    return wordhash.mix((total[first + size] - total[first]) * inverse[first] + size.astype(U)).view(np.int64)
 
 
-def described(h: np.ndarray, size: np.ndarray, n: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bands (a row for each paragraph of ``n`` words or more), and size and parities of each set of runs."""
-    runs = np.maximum(size - n + 1, 0)
+def line_bands(h: np.ndarray, size: np.ndarray, n: int, bands: int, rows: int) -> np.ndarray:
+    """A row of bands for each line; their words lie end to end."""
+    runs = size - n + 1
     begin = np.cumsum(size) - size
-    members = wordhash.ngrams(h, n)[within(runs) + np.repeat(begin, runs)] if runs.any() else np.zeros(0, U)
-    long = runs > 0
-    starts = (np.cumsum(runs) - runs)[long]
-    found = signatures(members, starts, bands, rows).view(np.int64) if len(starts) else np.zeros((0, bands), np.int64)
-    of = np.repeat(np.arange(len(size)), runs)
-    order = np.lexsort((members, of))
-    members, of = members[order], of[order]
-    fresh = np.append(True, (members[1:] != members[:-1]) | (of[1:] != of[:-1])) if len(of) else np.zeros(0, bool)
-    members, of = members[fresh], of[fresh]
-    odd = np.bincount(of * 1024 + (members >> U(54)).astype(np.int64), minlength=len(size) * 1024) & 1
-    return found, np.bincount(of, minlength=len(size)), np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(size), -1)
+    members = wordhash.ngrams(h, n)[within(runs) + np.repeat(begin, runs)]
+    return signatures(members, np.cumsum(runs) - runs, bands, rows).view(np.int64)
 
 
 def texts(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
-def paragraphs(docs: DataFrame, n: int, min_words: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, first, words, id, bands, n, q0..``: each paragraph with its class, its bands, and the size
-    and parities of its set."""
-    names = ["doc_id", "first", "words", "id", "bands", "n", *PARITIES]
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32(), *[pa.int64()] * len(PARITIES))
+def paragraphs(docs: DataFrame, n: int, min_words: int, window: int, bands: int, rows: int) -> DataFrame:
+    """``doc_id, first, words, id, bands``: each paragraph with its class; lines have bands."""
+    names = ["doc_id", "first", "words", "id", "bands"]
+
+    def batch(doc: list, first: list, size: list, ids: list, found) -> pa.RecordBatch:
+        doc = np.repeat(np.array(doc, np.int64), [len(x) for x in first])
+        first, size, ids = (np.concatenate(x) for x in (first, size, ids))
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(ids), found(len(doc))], names)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, whole, cut, words, held = [], ([], [], []), ([], [], []), [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            if doc:
+                h, sizes = np.concatenate(words), np.concatenate(whole[1])
+                ends = np.cumsum(sizes)
+                parts = np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(ends // WORDS)) + 1)  # bounds memory
+                found = [line_bands(h[ends[p[0]] - sizes[p[0]] : ends[p[-1]]], sizes[p], n, bands, rows) for p in parts if len(p)]
+                flat = np.concatenate(found).ravel() if found else np.zeros(0, np.int64)
+                yield batch(doc, *whole, lambda k: pa.ListArray.from_arrays(pa.array(np.arange(0, k * bands + 1, bands, dtype=np.int32)), pa.array(flat)))
+                yield batch(doc, *cut, lambda k: pa.nulls(k, pa.list_(pa.int64())))
+            for x in (doc, words, *whole, *cut):
+                x.clear()
+            held = 0
+
         for b in batches:
             for at in range(0, b.num_rows, 1000):
-                part, out = b.slice(at, 1000), []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    h, first, size = split(text, min_words)
-                    ids, ends = paragraph_ids(h, size), np.cumsum(size)
-                    for i in range(0, len(size), 1000):  # bounds the parities of a text of very many lines
-                        k = slice(i, i + 1000)
-                        some = h[ends[i] - size[i] : ends[k][-1]]
-                        out.append((np.full(len(size[k]), doc), first[k], size[k], ids[k], *described(some, size[k], n, bands, rows)))
-                if not out:
-                    continue
-                doc, first, size, ids, found, sets, odd = (np.concatenate(x) for x in zip(*out, strict=True))
-                offsets = np.append(0, np.cumsum(np.where(size >= n, bands, 0))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))
-                columns = (doc, first, size, ids, lists, sets, *odd.T)
-                yield pa.RecordBatch.from_arrays([v if v is lists else pa.array(np.ascontiguousarray(v), t, safe=False) for v, t in zip(columns, kinds, strict=True)], names)
-
-    return texts(docs).mapInArrow(local, "doc_id long, first int, words int, id long, bands array<long>, n int, " + ", ".join(f"{q} long" for q in PARITIES))
-
-
-def words_of(docs: DataFrame, ids: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
-    """``id, tokens``: the word hashes of one paragraph of each of these classes."""
-    shared = docs.sparkSession.sparkContext.broadcast(ids_filter(ids, "id"))
+                part = b.slice(at, 1000)
+                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    h, starts, _ = wordhash.words(text)
+                    if not len(h):
+                        continue
+                    a, b_ = lines(text, starts, min_words), sections(h, min_words, window)
+                    fresh = ~np.isin(b_[0] << 32 | b_[1], a[0] << 32 | a[1])  # a line that is a section is a line
+                    b_ = b_[0][fresh], b_[1][fresh]
+                    ids = paragraph_ids(h, np.concatenate([a[0], b_[0]]), np.concatenate([a[1], b_[1]]))
+                    doc.append(i)
+                    for into, (first, size), own in ((whole, a, ids[: len(a[0])]), (cut, b_, ids[len(a[0]) :])):
+                        for x, y in zip(into, (first, size, own), strict=True):
+                            x.append(y)
+                    words.append(h[np.repeat(a[0], a[1]) + within(a[1])])
+                    held += len(h)
+                    if held > WORDS:
+                        yield from flush()
+        yield from flush()
+
+    return texts(docs).mapInArrow(local, "doc_id long, first int, words int, id long, bands array<long>")
+
+
+def words_of(docs: DataFrame, wanted: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
+    """``id, tokens``: the word hashes of the lines wanted, each by a document that has it."""
+    shared = docs.sparkSession.sparkContext.broadcast(ids_filter(wanted, "doc_id"))
+    classes = docs.sparkSession.sparkContext.broadcast(ids_filter(wanted, "id"))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.take(pa.array(np.flatnonzero(passes(shared.value, b.column(0).to_numpy()))))
             for at in range(0, b.num_rows, 1000):
                 found: dict[int, bytes] = {}
-                for text in b.column(0).slice(at, 1000).to_pylist():
-                    h, _, size = split(text, min_words)
-                    these, ends = paragraph_ids(h, size), np.cumsum(size)
-                    for i in np.flatnonzero(passes(shared.value, these)) if len(these) else ():
-                        found[int(these[i])] = h[ends[i] - size[i] : ends[i]].tobytes()
+                for text in b.column(1).slice(at, 1000).to_pylist():
+                    h, starts, _ = wordhash.words(text)
+                    first, size = lines(text, starts, min_words)
+                    these = paragraph_ids(h, first, size)
+                    for i in np.flatnonzero(passes(classes.value, these)) if len(these) else ():
+                        found[int(these[i])] = h[first[i] : first[i] + size[i]].tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["id", "tokens"])
 
-    return scratch.cut(texts(docs).select("text").mapInArrow(local, "id long, tokens binary").join(ids, "id", "left_semi").dropDuplicates(["id"]), "tokens")
+    out = scratch.cut(texts(docs).mapInArrow(local, "id long, tokens binary").dropDuplicates(["id"]).join(wanted, "id", "left_semi"), "tokens")
+    for x in (shared, classes):
+        x.unpersist()
+    return out
 
 
 def similar(x: np.ndarray, y: np.ndarray, n: int, percent: int) -> bool:
@@ -158,64 +207,73 @@ def similar(x: np.ndarray, y: np.ndarray, n: int, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def paragraph_groups(spark: SparkSession, docs: DataFrame, *, n: int = 5, percent: int = 80, recall: float = 0.9995, min_words: int = 1) -> DataFrame:
-    """``doc_id, first, words, component_id, of_doc, removed`` for every paragraph that has a near copy.
-
-    ``component_id`` is one number for a group, ``of_doc`` the document of the paragraph that stays.
-    """
-    scratch = Scratch(spark)
-    bands, rows = tune_bands(percent / 100, recall)
-    found = scratch.cut(paragraphs(docs, n, min_words, bands, rows), "paragraphs")
-    links, components = None, None
+def line_components(spark: SparkSession, docs: DataFrame, found: DataFrame, scratch: Scratch, n: int, percent: int, min_words: int) -> DataFrame:
+    """``node, component``: classes of lines that are near copies."""
+    components = None
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = [similar(np.frombuffer(x, U), np.frombuffer(y, U), n, percent) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def more(pairs: DataFrame) -> None:
-        nonlocal links, components
-        pairs = scratch.cut(pairs, "pairs")
-        if links is not None and pairs.isEmpty():
-            return
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        of = words_of(docs, scratch.cut(ids, "ids"), min_words, scratch)
-        both = pairs.join(of.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
-        sure = scratch.cut(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
-        links = sure if links is None else scratch.cut(sure.unionByName(links), "links")
-        scratch.release("pairs", "tokens", "ids", "components")
-        components = connected_components(spark, links, scratch)
-
-    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    exploded = found.select(F.explode("bands").alias("token"), "words", "id")
-    near = neighbours(exploded, ["token"], ["words", "id"], ["token", "id"], scratch).where("id_1 <> id_2")
+    def settle(pairs: DataFrame) -> None:
+        nonlocal components
+        both = pairs.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
+        links = scratch.cut(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
+        components = merged(spark, components, links, scratch)
+        scratch.release("links")
+
+    near = neighbours(found.where("bands is not null").select(F.explode("bands").alias("token"), "id"), ["token"], ["id"], ["token", "id"], scratch)
+    near = near.where("id_1 <> id_2")
     # Every member of a band that holds two classes has a neighbour of another class.
     members = near.select(F.col("token_1").alias("token"), F.col("id_1").alias("id")).union(near.select("token_2", "id_2")).distinct()
     members = scratch.cut(members, "members")
-    more(near.select(*pair("id_1", "id_2")).distinct())
+    pairs = scratch.cut(near.groupBy(F.col("id_1").alias("a"), F.col("id_2").alias("b")).agg(F.count("*").alias("same")), "pairs")
     scratch.release("neighbours")
-    sizes = found.select("id", "n", *PARITIES).dropDuplicates(["id"])
+    wanted = scratch.cut(found.where("bands is not null").join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id")), "wanted")
+    tokens = words_of(docs, wanted, min_words, scratch)
+    settle(pairs.groupBy("b").agg(F.max(F.struct("same", "a")).alias("p")).select("p.a", "b"))
+    scratch.release("pairs", "wanted")
     for last in (False, True):
         placed = members.join(components.withColumnRenamed("node", "id"), "id", "left").select("token", "id", F.coalesce("component", "id").alias("c"))
-        mixed = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
-        rest = scratch.cut(placed.join(mixed, "token", "left_semi").join(sizes, "id"), "open")
-        one = rest.select("token", "n", F.col("id").alias("a"), "c", *(F.col(q).alias("x" + q) for q in PARITIES))
-        other = rest.select("token", F.col("n").alias("m"), F.col("id").alias("b"), F.col("c").alias("d"), *(F.col(q).alias("y" + q) for q in PARITIES))
-        across = one.join(other, "token").where((F.col("c") < F.col("d")) & near_parity(percent, "n", "m", "x", "y"))
-        both = F.struct(*pair("a", "b"))
-        if not last:  # one pair for each two components settles most of them; the rest follow
-            across = across.groupBy("c", "d").agg(F.min_by(both, F.xxhash64("a", "b")).alias("p"))
-        else:
-            across = across.select(both.alias("p"))
-        more(across.select("p.a", "p.b").distinct())
-        scratch.release("open")
+        mixed = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("rows")).where("low <> high")
+        rest = scratch.cut(placed.join(mixed.select("token", (F.col("rows") > HOT).alias("hot")), "token"), "open")
+        second = rest.where("hot").join(members.select("id", F.col("token").alias("second")), "id").where("second <> token")
+        joined = across(rest.where("not hot"), ["token"]).union(across(second, ["token", "second"]))
+        pairs = scratch.cut(joined.groupBy("c", "d", "a", "b").agg(F.count("*").alias("same")), "pairs")
+        if pairs.isEmpty():
+            break
+        best = pairs.groupBy("c", "d").agg(F.max(F.struct("same", "a", "b")).alias("p")).select("p.a", "p.b")
+        settle(pairs.select("a", "b") if last else best)
+        scratch.release("open", "pairs")
+    return components
+
+
+def across(rows: DataFrame, key: list[str]) -> DataFrame:
+    """``a, b, c, d``: pairs of classes of two components that have a key in common."""
+    two = rows.select(*key, F.col("id").alias("y"), F.col("c").alias("d"))
+    met = rows.select(*key, F.col("id").alias("x"), "c").join(two, key).where("c < d")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "c", "d")
+
+
+def paragraph_groups(spark: SparkSession, docs: DataFrame, *, n: int = 5, percent: int = 80, recall: float = 0.9995, min_words: int = 24, window: int = 10) -> DataFrame:
+    """``doc_id, first, words, component_id, of_doc, removed`` for every paragraph that has a near copy.
+
+    ``component_id`` is one number for a group, ``of_doc`` the document of the paragraph that stays.
+    """
+    if min_words < n or window < 2:
+        raise ValueError("a paragraph must hold a run of words, a window two boundaries")
+    scratch = Scratch(spark)
+    found = scratch.cut(paragraphs(docs, n, min_words, window, *tune_bands(percent / 100, recall)), "paragraphs")
+    components = line_components(spark, docs, found, scratch, n, percent, min_words)
+    scratch.only(found, components)
     classes = found.groupBy("id").agg(F.min(F.struct("doc_id", "first")).alias("at"), F.count("*").alias("n"))
-    grouped = classes.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    grouped = scratch.cut(grouped, "grouped")
-    first = grouped.groupBy("component").agg(F.min("at").alias("kept"), F.sum("n").alias("size")).where("size > 1")
+    grouped = classes.join(components.withColumnRenamed("node", "id"), "id", "left").where("n > 1 or component is not null")
+    grouped = scratch.cut(grouped.withColumn("component", F.coalesce("component", "id")), "grouped")
+    first = grouped.groupBy("component").agg(F.min("at").alias("kept"))
     named = scratch.cut(grouped.select("id", "component").join(first, "component").select("id", "component", "kept"), "named")
-    out = found.select("doc_id", "first", "words", "id").join(named, "id")
-    return out.select(
+    out = found.select("doc_id", "first", "words", "id").join(named, "id").select(
         "doc_id", "first", "words", F.col("component").alias("component_id"), F.col("kept.doc_id").alias("of_doc"),
         ((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("first") != F.col("kept.first"))).alias("removed"),
     )
+    return scratch.result(out)

@@ -69,10 +69,7 @@ def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the runs of ``n`` words, from prefix sums, for long runs."""
     if len(h) < n:
         return np.zeros(0, U)
-    base = 0x9E3779B97F4A7C15
-    power, inverse = (np.full(len(h) + 1, x, U) for x in (base, pow(base, -1, 1 << 64)))
-    power[0] = inverse[0] = 1
-    power, inverse = np.multiply.accumulate(power), np.multiply.accumulate(inverse)
+    power, inverse = wordhash.powers(len(h) + 1)
     total = np.append(U(0), np.cumsum(wordhash.mix(h) * power[:-1], dtype=U))
     return wordhash.mix((total[n:] - total[:-n]) * inverse[: len(h) - n + 1])
 

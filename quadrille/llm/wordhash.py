@@ -46,6 +46,18 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd number and of its inverse, for hashes of runs by prefix sums."""
+    if n <= SEGMENT:
+        return tuple(x[:n] for x in _powers())
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        x = np.full(n, base, U)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
 def _segment(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     space = np.ones(len(buf) + 2, np.int8)
     space[1:-1] = SPACE[buf]

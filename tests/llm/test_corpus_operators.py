@@ -189,27 +189,68 @@ def test_warc(spark):
 
 
 def test_paragraphs(spark, docs):
-    got = paragraph_groups(spark, docs, min_words=20).collect()
+    got = paragraph_groups(spark, docs).collect()
     by = collections.defaultdict(set)
     for r in got:
-        by[r.component_id].add((r.doc_id, r.first, r.removed))
-    passage = next(v for v in by.values() if any(d == 12 for d, _, _ in v))
-    assert {d for d, _, _ in passage} == {12, 13, 14} and [d for d, _, x in passage if not x] == [12]
-    whole = next(v for v in by.values() if any(d == 6 for d, _, _ in v))
-    assert {d for d, _, _ in whole} == {6, 7, 8}
+        by[r.component_id].add((r.doc_id, r.first, r.words, r.removed))
+    passage = next(v for v in by.values() if any((d, n) == (12, 60) for d, _, n, _ in v))
+    assert {d for d, _, _, _ in passage} == {12, 13, 14} and [d for d, _, _, x in passage if not x] == [12]
+    whole = next(v for v in by.values() if any((d, n) == (6, 120) for d, _, n, _ in v))
+    assert {d for d, _, _, _ in whole} == {6, 7, 8}
     assert all(r.doc_id is not None for r in got) and not any(r.doc_id in (0, 1, 2, 5) for r in got)
 
 
-def test_paragraphs_of_few_words(spark):
+def test_paragraphs_against_brute_force(spark):
+    """Lines of similar word runs and passages within longer lines are found; a document without either is not."""
     rng = random.Random(5)
-    lines = {k: prose(rng, k) for k in (2, 4, 5, 9, 25, 39)}
-    near = prose(rng, 30)
-    rows = [(d, "\n".join([prose(rng, 12), *lines.values(), near + (" more" if d else "")])) for d in range(3)] + [(3, lines[2] + "\n" + lines[4] + " x")]
-    sf = spark.createDataFrame(rows, "doc_id long, text string")
-    got = collections.Counter((r.doc_id, r.words, r.of_doc, r.removed) for r in paragraph_groups(spark, sf).collect())
-    want = collections.Counter((d, k, 0, d > 0) for d in range(3) for k in lines)
-    want += collections.Counter([(0, 30, 0, False), (1, 31, 0, True), (2, 31, 0, True), (3, 2, 0, True)])
-    assert got == want
+    passages = [prose(rng, n) for n in (51, 55, 80, 200)]
+    near = prose(rng, 40).split()
+    rows = []
+    for d in range(60):
+        parts = [prose(rng, rng.randint(1, 90))]
+        if d % 3 == 1:
+            parts += [" ", passages[d % 4], " "]
+        if d % 5 == 0:
+            line = list(near)
+            if d:
+                line[rng.choice([0, 39])] = prose(rng, 1)
+            parts += ["\n", " ".join(line), "\n"]
+        rows.append((d, "".join([*parts, prose(rng, rng.randint(1, 90))])))
+    rows += [(100, "a short text"), (101, "A short  text"), (102, "another short text")]
+    got = {r.doc_id for r in paragraph_groups(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    must, may = set(), set()
+    lines = [(d, {tuple(w[k : k + 5]) for k in range(len(w) - 4)}) for d, t in rows for w in map(py_words, t.split("\n")) if len(w) >= 24]
+    for i, (d, a) in enumerate(lines):
+        for e, b in lines[i + 1 :]:
+            if 100 * len(a & b) >= 80 * len(a | b):
+                must |= {d, e}
+    for least, into in ((51, must), (24, may)):
+        places = collections.defaultdict(set)
+        for d, t in rows:
+            w = py_words(t)
+            for k in range(len(w) - least + 1):
+                places[tuple(w[k : k + least])].add(d)
+            if len(w) < 24:
+                places[tuple(w)].add(d)
+        for at in places.values():
+            if len(at) > 1:
+                into |= at
+    assert must <= got <= must | may and len(must) >= 30 and {100, 101} <= must and 102 not in got
+
+
+def test_paragraphs_of_hot_bands(spark, monkeypatch):
+    from quadrille.llm import paragraph_dedup
+
+    monkeypatch.setattr(paragraph_dedup, "HOT", 3)
+    rng = random.Random(7)
+    base = prose(rng, 150).split()
+    rows = []
+    for d in range(120):
+        w = list(base)
+        w[rng.randrange(150)] = prose(rng, 1)
+        rows.append((d, " ".join(w) + "\n" + prose(rng, 30)))
+    got = [r for r in paragraph_groups(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.words == 150]
+    assert len(got) == 120 and len({r.component_id for r in got}) == 1 and {r.of_doc for r in got} == {0} and sum(not r.removed for r in got) == 1
 
 
 def test_decontamination(spark, docs):
