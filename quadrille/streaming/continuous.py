@@ -1,12 +1,14 @@
 """Continuous queries as Structured Streaming graphs.
 
-A stateless plan is a filter on the stream. A plan with invalidations or idle eviction keeps keyed
-state. Rows of a key are handled in the order of ``version_ts`` and the columns after it. Output
-rows are ``kind, key, partner, version_ts``: TUPLE for a match, INVALIDATION when a key (or a join
-partner) no longer matches, IDLE_REMOVED when its state is dropped after so many watermarks.
+A stateless plan is a filter on the stream. A plan that receives invalidations keeps, for each key, its
+partners in the last result: the stored tuples it met, or itself where the plan has no join. Rows of a key
+are handled in the order of ``version_ts``; on a batch by windows, on a stream by keyed state. Output rows
+are ``kind, key, partner, version_ts``: TUPLE for a match, INVALIDATION when a key (or a join partner) no
+longer matches, also where the stream says so itself by a row of that kind, and IDLE_REMOVED, without a
+version, when the state of a key is dropped because it was silent for so many watermarks.
 
 The number of watermarks before a row, its generation, is a column ``generation`` of the stream; live
-streams may use the micro-batch number for it.
+streams may use the micro-batch number for it. On a stream it also drives the timers that drop silent keys.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quadrille.functions import boxes as B
 from quadrille.operators.filters import Filter, apply_filters, apply_pair_filters
@@ -49,13 +52,17 @@ def transformed(df: DataFrame, steps: tuple[Transformation, ...]) -> tuple[DataF
 
 
 def matched(stream: DataFrame, plan: ContinuousPlan) -> DataFrame:
-    """Tuples of the stream with ``matches``: whether a range plan reports them."""
-    live = stream.where((F.col("kind") == TUPLE) & B.meets_box(plan.range))
+    """Tuples of the stream with ``matches``: whether a range plan reports them.
+
+    Of a plan that receives invalidations, those of the stream stand among them; they never match.
+    """
+    is_tuple = F.col("kind") == TUPLE
+    live = stream.where((is_tuple & B.meets_box(plan.range)) | ((F.col("kind") == INVALIDATION) & F.lit(plan.invalidations)))
     out, kept = transformed(live, plan.stream_steps)
     for f in plan.stream_filters:
         kept = kept & F.coalesce(f.on_tuple(F.col("data"), F.col("key")), F.lit(False))
     met = B.meets_box(plan.compare, "x_")
-    return out.withColumn("matches", kept & (met if plan.positive else ~met))
+    return out.withColumn("matches", is_tuple & kept & (met if plan.positive else ~met))
 
 
 def watermark_rows(stream: DataFrame, plan: ContinuousPlan) -> DataFrame:
@@ -64,11 +71,12 @@ def watermark_rows(stream: DataFrame, plan: ContinuousPlan) -> DataFrame:
 
 
 def continuous_range(stream: DataFrame, plan: ContinuousPlan) -> DataFrame:
-    """Batch or streaming: matches, and with ``invalidations`` what stopped to match."""
+    """Batch or streaming: matches, and of a plan that receives invalidations what stopped to match."""
+    stream = with_generation(stream)
     flagged = matched(stream, plan)
-    if plan.invalidations or plan.idle_after:
-        out = flagged.withColumn("partners", F.array())
-        out = stateful(out.withColumn("partners", F.col("partners").cast("array<string>")), plan, joined=False)
+    if plan.invalidations:
+        seen = flagged.select("key", "version_ts", "generation", F.when(F.col("matches"), F.lit("")).alias("partner"))
+        out = stateful(seen, stream, plan, joined=False)
     else:
         out = flagged.where("matches").select(F.lit(TUPLE).alias("kind"), "key", F.lit(None).cast("string").alias("partner"), "version_ts")
     return out.unionByName(watermark_rows(stream, plan)) if plan.watermarks else out
@@ -78,8 +86,10 @@ def continuous_join(stream: DataFrame, stored: DataFrame, plan: ContinuousPlan,
     """Pairs of a stream tuple and the newest stored tuples that its transformed box meets.
 
     Columns are prefixed by ``l_`` and ``r_``. ``cell`` gives the grid on a stream, whose extents are
-    not known beforehand.
+    not known beforehand. Of a plan that receives invalidations or watermarks, rows as those of a range
+    plan, with the stored tuple's key as ``partner``.
     """
+    stream = with_generation(stream)
     live = apply_filters(stream.where(F.col("kind") == TUPLE), list(plan.stream_filters))
     left, kept = transformed(live, plan.stream_steps)
     left = left.where(kept & B.meets_box(plan.range, "x_"))
@@ -90,7 +100,20 @@ def continuous_join(stream: DataFrame, stored: DataFrame, plan: ContinuousPlan,
     pairs = overlap_join(_by_transformed(left), _by_transformed(right), cell=cell)
     pairs = pairs.select(*(F.col(c) for c in pairs.columns if c[2:5] not in ("lo_", "hi_")))
     pairs = pairs.withColumnsRenamed({c: c[0] + "_" + c[4:] for c in pairs.columns if c[2:4] == "o_"})
-    return apply_pair_filters(pairs, list(plan.join_filters), "l_", "r_")
+    pairs = apply_pair_filters(pairs, list(plan.join_filters), "l_", "r_")
+    if not (plan.invalidations or plan.watermarks):
+        return pairs
+    met = pairs.select(F.col("l_key").alias("key"), F.col("l_version_ts").alias("version_ts"), F.col("l_generation").alias("generation"), F.col("r_key").alias("partner"))
+    if plan.invalidations:  # a tuple without partners counts too, and so does an invalidation of the stream
+        every = stream.where(F.col("kind").isin(TUPLE, INVALIDATION)).select("key", "version_ts", "generation", F.lit(None).cast("string").alias("partner"))
+        out = stateful(met.unionByName(every), stream, plan, joined=True)
+    else:
+        out = met.select(F.lit(TUPLE).alias("kind"), "key", "partner", "version_ts")
+    return out.unionByName(watermark_rows(stream, plan)) if plan.watermarks else out
+
+
+def with_generation(stream: DataFrame) -> DataFrame:
+    return stream.withColumn("generation", (F.col("generation") if "generation" in stream.columns else F.lit(0)).cast("long"))
 
 
 def _by_transformed(df: DataFrame) -> DataFrame:
@@ -101,35 +124,18 @@ def _by_transformed(df: DataFrame) -> DataFrame:
     return df.select(*rest, *(F.col(c).alias("o_" + c) for c in names), *(F.col("x_" + c).alias(c) for c in names))
 
 
-def join_matches(pairs: DataFrame, stream: DataFrame) -> DataFrame:
-    """Each stream tuple of a batch with the set of its partners' keys, as input of ``stateful``."""
-    ids = ["key", "version_ts"]
-    got = pairs.groupBy(F.col("l_key").alias("key"), F.col("l_version_ts").alias("version_ts")).agg(F.sort_array(F.collect_set("r_key")).alias("partners"))
-    all_ = stream.where(F.col("kind") == TUPLE).join(got, ids, "left")
-    empty = F.array().cast("array<string>")
-    return all_.withColumn("partners", F.coalesce("partners", empty)).withColumn("matches", F.size("partners") > 0)
-
-
-def advance(state: tuple, rows: list[tuple], idle_after: int, invalidations: bool, joined: bool) -> tuple[tuple, list[tuple]]:
-    """One key's state machine. ``state``: inside, last generation, partners. ``rows``: version,
-    generation, matches, partners, in order."""
-    inside, last, partners = state
+def advance(state: tuple[int, set], rows: list[tuple[int, int, set]], idle_after: int) -> tuple[tuple[int, set], list[tuple]]:
+    """One key's state machine. ``state``: generation of the last match, partners in the last result.
+    ``rows``: version, generation and partners, in order."""
+    last, partners = state
     out: list[tuple] = []
-    for version, generation, matches, now in rows:
-        if idle_after and inside and generation - last > idle_after:
-            out += [(IDLE_REMOVED, p, version) for p in (sorted(partners) if joined else [None])]
-            inside, partners = False, set()
-        if joined:
-            out += [(TUPLE, p, version) for p in sorted(now)]
-            if invalidations:
-                out += [(INVALIDATION, p, version) for p in sorted(partners - set(now))]
-            partners = set(now)
-        elif matches:
-            out.append((TUPLE, None, version))
-        elif inside and invalidations:
-            out.append((INVALIDATION, None, version))
-        inside, last = bool(matches), generation
-    return (inside, last, partners), out
+    for version, generation, now in rows:
+        if idle_after and partners and generation - last > idle_after:
+            out += [(IDLE_REMOVED, p, None) for p in sorted(partners)]
+            partners = set()
+        out += [(TUPLE, p, version) for p in sorted(now)] + [(INVALIDATION, p, version) for p in sorted(partners - now)]
+        last, partners = generation, now
+    return (last, partners), out
 
 
 def is_idle(last: int, now: int, idle_after: int) -> bool:
@@ -137,31 +143,75 @@ def is_idle(last: int, now: int, idle_after: int) -> bool:
     return idle_after > 0 and last <= now - idle_after
 
 
-def stateful(flagged: DataFrame, plan: ContinuousPlan, joined: bool) -> DataFrame:
-    """Invalidations and evictions: keyed state on streams; the same machine over whole keys on batches."""
-    if "generation" not in flagged.columns:
-        flagged = flagged.withColumn("generation", F.lit(0))
-    rows = flagged.select("key", "version_ts", F.col("generation").cast("long").alias("generation"), "matches", "partners")
+def stateful(seen: DataFrame, stream: DataFrame, plan: ContinuousPlan, joined: bool) -> DataFrame:
+    """What each key's rows ``key, version_ts, generation, partner`` add to the results and take from them.
+
+    ``partner`` is NULL where a row has none. All of ``stream`` tells how many watermarks there were.
+    """
+    out = _on_stream(seen, stream, plan, joined) if stream.isStreaming else _on_batch(seen, stream, plan, joined)
+    return out if joined else out.withColumn("partner", F.lit(None).cast("string"))
 
-    def run(key, pdf: pd.DataFrame, state):
-        pdf = pdf.sort_values(["version_ts", "generation", "matches"], kind="stable")
-        events = [(int(v), int(g), bool(m), list(p)) for v, g, m, p in zip(pdf.version_ts, pdf.generation, pdf.matches, pdf.partners, strict=True)]
-        state, out = advance(state, events, plan.idle_after, plan.invalidations, joined)
-        return state, pd.DataFrame([(k, key[0], p, v) for k, p, v in out], columns=["kind", "key", "partner", "version_ts"])
 
-    if not flagged.isStreaming:
-        return rows.groupBy("key").applyInPandas(lambda key, pdf: run(key, pdf, (False, 0, set()))[1], OUTPUT)
+def _on_batch(seen: DataFrame, stream: DataFrame, plan: ContinuousPlan, joined: bool) -> DataFrame:
+    """The state machine as windows over the rows of a key."""
+    none = F.array().cast("array<string>")
+    if joined:
+        rows = seen.groupBy("key", "version_ts", "generation").agg(F.collect_set("partner").alias("now"))
+    else:
+        rows = seen.select("key", "version_ts", "generation", F.when(F.col("partner").isNull(), none).otherwise(F.array("partner")).alias("now"))
+    w = W.partitionBy("key").orderBy("version_ts", "generation", F.size("now"))
+    rows = rows.withColumns({"before": F.coalesce(F.lag("now").over(w), none), "last": F.lag("generation").over(w), "next": F.lead("generation").over(w)})
+    gone = F.lit(False)
+    silent = F.lit(False)
+    if plan.idle_after:
+        marks = stream.agg(F.max(F.col("generation") + (F.col("kind") == WATERMARK).cast("long"))).first()[0] or 0
+        gone = F.coalesce(F.col("generation") - F.col("last") > plan.idle_after, F.lit(False))
+        silent = F.col("next").isNull() & (F.lit(marks) - F.col("generation") > plan.idle_after)
+    say = lambda kind, some, version: F.transform(some, lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("partner"), version.alias("version_ts")))
+    version, never = F.col("version_ts"), F.lit(None).cast("long")
+    said = F.concat(
+        say(IDLE_REMOVED, F.when(gone, F.col("before")).otherwise(none), never), say(TUPLE, F.col("now"), version),
+        say(INVALIDATION, F.when(gone, none).otherwise(F.array_except("before", "now")), version), say(IDLE_REMOVED, F.when(silent, F.col("now")).otherwise(none), never),
+    )
+    return rows.select("key", F.explode(said).alias("s")).select("s.kind", "key", "s.partner", "s.version_ts")
+
+
+def _on_stream(seen: DataFrame, stream: DataFrame, plan: ContinuousPlan, joined: bool) -> DataFrame:
+    """The state machine on keyed state.
+
+    Generations are the stream's event time, in seconds: a row stands at the half of its own, a
+    watermark at the begin of the next. The timer of a key ends when the watermark comes that drops it.
+    """
+    marks = stream.where(F.col("kind") == WATERMARK).select("key", "version_ts", "generation", F.lit(None).cast("string").alias("partner"), F.lit(True).alias("mark"))
+    rows = seen.withColumn("mark", F.lit(False)).unionByName(marks)
+    rows = rows.withColumn("clock", F.timestamp_millis(F.col("generation") * 1000 + F.when(F.col("mark"), 1000).otherwise(500)))
+    if plan.idle_after:
+        rows = rows.withWatermark("clock", "600 milliseconds")
+    rows = rows.where(F.when(F.col("clock").isNotNull(), ~F.col("mark")))  # on the clock, else marks are dropped before they are seen
 
     def on_batch(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        before = (state.get[0], state.get[1], set(state.get[2])) if state.exists else (False, 0, set())
-        after, out = run(key, pd.concat(list(frames)), before)
-        if after[0] or after[2]:
-            state.update((after[0], after[1], sorted(after[2])))
+        before = (state.get[0], set(state.get[1])) if state.exists else (0, set())
+        if state.hasTimedOut:
+            after, out = (0, set()), [(IDLE_REMOVED, p, None) for p in sorted(before[1])]
+        else:
+            pdf = pd.concat(list(frames))
+            pdf = pdf.assign(none=pdf.partner.notna()).sort_values(["version_ts", "generation", "none"], kind="stable")
+            parts = (x for _, x in pdf.groupby(["version_ts", "generation"])) if joined else (pdf.iloc[i : i + 1] for i in range(len(pdf)))
+            after, out = advance(before, [(int(x.version_ts.iloc[0]), int(x.generation.iloc[0]), set(x.partner.dropna())) for x in parts], plan.idle_after)
+        at = int((after[0] + plan.idle_after) * 1000 + 350)
+        if plan.idle_after and after[1] and at <= state.getCurrentWatermarkMs():
+            out += [(IDLE_REMOVED, p, None) for p in sorted(after[1])]
+            after = (0, set())
+        if after[1]:
+            state.update((after[0], sorted(after[1])))
+            if plan.idle_after:
+                state.setTimeoutTimestamp(at)
         elif state.exists:
             state.remove()
-        yield out
+        yield pd.DataFrame({"kind": [k for k, _, _ in out], "key": [key[0]] * len(out), "partner": [p for _, p, _ in out], "version_ts": pd.array([v for _, _, v in out], dtype="Int64")})
 
-    return rows.groupBy("key").applyInPandasWithState(on_batch, OUTPUT, "inside boolean, last long, partners array<string>", "append", "NoTimeout")
+    timeout = "EventTimeTimeout" if plan.idle_after else "NoTimeout"
+    return rows.select("key", "version_ts", "generation", "partner", "clock").groupBy("key").applyInPandasWithState(on_batch, OUTPUT, "last long, partners array<string>", "append", timeout)
 
 
 def read_stream(spark, schema, path: str, name: str, files_per_trigger: int = 1) -> DataFrame:
