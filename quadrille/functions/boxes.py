@@ -242,10 +242,13 @@ def _every(parts: list[Column]) -> Column:
 
 
 def meets_box(box: Box, prefix: str = "") -> Column:
-    """Whether the row's box meets a given one; a full space on either side does."""
+    """Whether the row's box, which is closed, meets a given one; a full space on either side does. An open
+    end of the given box does not meet what only touches it."""
     if box.full:
         return F.lit(True)
-    inside = _every([(_c(f"lo_{d}", prefix) <= s.hi) & (_c(f"hi_{d}", prefix) >= s.lo) for d, s in enumerate(box.sides)])
+    below = lambda d, s: _c(f"lo_{d}", prefix) <= s.hi if s.hi_in else _c(f"lo_{d}", prefix) < s.hi
+    above = lambda d, s: _c(f"hi_{d}", prefix) >= s.lo if s.lo_in else _c(f"hi_{d}", prefix) > s.lo
+    inside = _every([below(d, s) & above(d, s) for d, s in enumerate(box.sides)])
     return inside | is_full(prefix)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrille.functions.boxes import Box, Interval, dimensions_of, is_full
+from quadrille.functions.boxes import Box, Interval, dimensions_of, is_full, meets_box
 
 MOST_SAMPLES = 100_000
 
@@ -116,6 +116,16 @@ class StaticGrid:
         slabs = [_slabs(s, step) for s, step in zip(self.box.sides, self.steps, strict=True)]
         return [Region(i, Box(c)) for i, c in enumerate(itertools.product(*slabs))]
 
+    def assign(self, df: DataFrame) -> DataFrame:
+        """Tuples with the id of each cell that their box meets, by arithmetic alone; a full space meets all."""
+        out, number = df.where(meets_box(self.box)), F.lit(0).cast("long")
+        for d, (side, step) in enumerate(zip(self.box.sides, self.steps, strict=True)):
+            n = len(_slabs(side, step))
+            at = lambda c, else_: F.coalesce(F.least(F.greatest(F.floor((F.col(c) - side.lo) / step), F.lit(0)), F.lit(n - 1)), F.lit(else_))  # noqa: B023, E731
+            out = out.withColumn(f"_cell_{d}", F.explode(F.sequence(at(f"lo_{d}", 0), at(f"hi_{d}", n - 1))))
+            number = number * n + F.col(f"_cell_{d}")
+        return out.select(*df.columns, number.alias("region_id"))
+
 
 @dataclass(frozen=True)
 class DynamicGrid:
@@ -175,17 +185,19 @@ def as_table(spark: SparkSession, regions: list[Region]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def assign(df: DataFrame, regions: list[Region]) -> DataFrame:
+def assign(df: DataFrame, regions: list[Region], enlargement: float = 0.0) -> DataFrame:
     """Tuples with each region that their box meets, as ``region_id``; a full space meets all.
 
-    The list of regions is on the driver already, so its broadcast has its size.
+    With ``enlargement`` a tuple also goes to the regions that its box meets when it is padded so much; the
+    tuple keeps its box. The list of regions is on the driver already, so its broadcast has its size.
     """
     t = as_table(df.sparkSession, regions)
     n = regions[0].box.dimensions
     on = F.lit(True)
     for d in range(n):
-        low = (F.col(f"lo_{d}") < F.col(f"region_hi_{d}")) | (F.col(f"hi_in_{d}") & (F.col(f"lo_{d}") == F.col(f"region_hi_{d}")))
-        high = (F.col(f"hi_{d}") > F.col(f"region_lo_{d}")) | (F.col(f"lo_in_{d}") & (F.col(f"hi_{d}") == F.col(f"region_lo_{d}")))
+        lo, hi = F.col(f"lo_{d}") - enlargement, F.col(f"hi_{d}") + enlargement
+        low = (lo < F.col(f"region_hi_{d}")) | (F.col(f"hi_in_{d}") & (lo == F.col(f"region_hi_{d}")))
+        high = (hi > F.col(f"region_lo_{d}")) | (F.col(f"lo_in_{d}") & (hi == F.col(f"region_lo_{d}")))
         on = on & low & high
     return df.join(F.broadcast(t), on | is_full(), "inner").select(*df.columns, "region_id")
 

@@ -57,9 +57,9 @@ def resolve(df: DataFrame, config: TableConfig = TableConfig(), *, now: Column |
     return out if include_deleted or "kind" not in out.columns else out.where(F.col("kind") != DELETE)
 
 
-def compact(spark: SparkSession, df: DataFrame, path: str, config: TableConfig = TableConfig(), *, major: bool = True) -> DataFrame:
+def compact(spark: SparkSession, df: DataFrame, path: str, config: TableConfig = TableConfig(), *, major: bool = True, ties: list[str] | None = None) -> DataFrame:
     """Write what resolution keeps; a major compaction of a table without duplicates drops deletions."""
-    out = resolve(df, config, include_deleted=not major or config.duplicates)
+    out = resolve(df, config, ties=ties, include_deleted=not major or config.duplicates)
     out.sortWithinPartitions("key", "version_ts").write.mode("overwrite").parquet(path)
     return spark.read.schema(out.schema).parquet(path)
 

@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from quadrille.functions import boxes as B
 from quadrille.functions.boxes import Box
@@ -17,6 +15,7 @@ from quadrille.operators.filters import Filter
 from quadrille.operators.versions import TableConfig
 from quadrille.plans.continuous import QueryPlanBuilder
 from quadrille.sources import formats
+from quadrille.sources.tables import working_folder
 from quadrille.streaming import continuous
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -199,21 +198,11 @@ def spatial_join_udf(spark, d):
 
 
 @query(f"""SELECT lk AS t1_key, rk AS t2_key, event_id AS t3_event_id, least(least(a0, c0), e0)::DOUBLE AS lo_0, greatest(greatest(a1, c1), e0 + 1)::DOUBLE AS hi_0
-FROM {JOIN_FROM} JOIN (SELECT event_id, user_id * 5 AS e0, 8036 + event_id % 2400 AS e1 FROM events WHERE event_id % 4 = 0) e
+FROM {JOIN_FROM} JOIN (SELECT event_id, user_id * 5 AS e0, 8036 + event_id % 2400 AS e1 FROM events) e
 ON least(a0, c0) <= e0 + 1 AND e0 <= greatest(a1, c1) AND least(b0, d0) <= e1 AND e1 <= greatest(b1, d1)""")
 def spatial_join_3way(spark, d):
-    return join_three(spark, d, read(spark, d, "events").where("event_id % 4 = 0"))
-
-
-@query(None)
-def spatial_join_3way_all(spark, d):
-    """The join with the whole events table; the SQL above has a quarter of it."""
-    return join_three(spark, d, read(spark, d, "events"))
-
-
-def join_three(spark: SparkSession, d: str, e: DataFrame) -> DataFrame:
     day = F.lit(8036) + F.col("event_id") % 2400
-    third = tuples.to_tuples(e, "user_id", [(F.col("user_id") * 5, F.col("user_id") * 5 + 1), day], us("ts"), keep=("event_id",))
+    third = tuples.to_tuples(read(spark, d, "events"), "user_id", [(F.col("user_id") * 5, F.col("user_id") * 5 + 1), day], us("ts"), keep=("event_id",))
     return joins.multi_join([orders(spark, d), lines(spark, d), third]).select("t1_key", "t2_key", "t3_event_id", "lo_0", "hi_0")
 
 
@@ -222,23 +211,13 @@ def join_dedup(spark, d):
     return joins.distinct_pairs(joins.spatial_join(orders(spark, d), lines(spark, d)), "keys").select("l_key", "r_key")
 
 
-@query(f"""WITH b AS (SELECT o_orderkey AS k, min(least({ODAY}, {LDAY})) AS lo, max(greatest({ODAY}, {LDAY})) AS hi FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 50 = 0 GROUP BY 1)
-SELECT x.k AS a, y.k AS b FROM b x JOIN b y ON x.k < y.k AND x.lo <= y.hi AND y.lo <= x.hi""")
+@query("""SELECT o_orderkey AS a, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS b FROM orders JOIN lineitem
+ON o_totalprice <= l_extendedprice + 0.5 AND l_extendedprice <= o_totalprice + 0.5""")
 def interval_join_orders_lineitem(spark, d):
-    return overlapping_orders(read(spark, d, "orders").where("o_orderkey % 50 = 0"), read(spark, d, "lineitem"))
-
-
-@query(None)
-def interval_join_orders_lineitem_all(spark, d):
-    """The join over all orders; the SQL above has one of 50."""
-    return overlapping_orders(read(spark, d, "orders"), read(spark, d, "lineitem"))
-
-
-def overlapping_orders(o: DataFrame, li: DataFrame) -> DataFrame:
-    both = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", days("o_orderdate").alias("x"), days("l_shipdate").alias("y"))
-    ranges = both.groupBy("o_orderkey").agg(F.min(F.least("x", "y")).alias("lo"), F.max(F.greatest("x", "y")).alias("hi"))
-    t = tuples.to_tuples(ranges, "o_orderkey", [("lo", "hi")], F.lit(0), keep=("o_orderkey",))
-    return joins.overlap_join(t, t).where("l_o_orderkey < r_o_orderkey").select(F.col("l_o_orderkey").alias("a"), F.col("r_o_orderkey").alias("b"))
+    """Intervals of prices: each order with the line items that cost about as much."""
+    o = tuples.to_tuples(read(spark, d, "orders"), "o_orderkey", [("o_totalprice", F.col("o_totalprice") + 0.5)], F.lit(0), keep=("o_orderkey",))
+    li = tuples.to_tuples(read(spark, d, "lineitem"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), [("l_extendedprice", F.col("l_extendedprice") + 0.5)], F.lit(0))
+    return joins.overlap_join(o, li).select(F.col("l_o_orderkey").alias("a"), F.col("r_key").alias("b"))
 
 
 # Box algebra ----------------------------------------------------------------------------------------
@@ -313,7 +292,7 @@ def cell_balance(spark, d):
 def static_grid_assign(spark, d):
     grid = partition.StaticGrid.parse("[[0,500]:[0,100]];25;20")
     t = tuples.to_tuples(read(spark, d, "events").where("value <= 500"), "user_id", ["value", F.col("event_id") % 100], us("ts"))
-    return partition.assign(t, grid.regions()).groupBy("region_id").agg(F.count("*").alias("n"))
+    return grid.assign(t).groupBy("region_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT region_id, count(*) AS n FROM (SELECT (CASE WHEN value >= 256 THEN 8 ELSE 0 END + CASE WHEN y >= 64 THEN 4 ELSE 0 END + CASE WHEN value % 256 >= 128 THEN 2 ELSE 0 END + CASE WHEN y % 64 >= 32 THEN 1 ELSE 0 END)::BIGINT AS region_id FROM (SELECT value, event_id % 128 AS y FROM events WHERE value < 512)) GROUP BY 1")
@@ -322,15 +301,6 @@ def quad_assign(spark, d):
     return partition.assign(t, partition.QuadTree(2).regions([], Box.of(0, 512, 0, 128))).groupBy("region_id").agg(F.count("*").alias("n"))
 
 
-@query("WITH m AS (SELECT quantile_disc(value, 0.5) AS v FROM events) SELECT (value > v)::INT::BIGINT AS region_id, count(*) AS n FROM events, m GROUP BY 1")
-def kd_assign(spark, d):
-    """Split at the exact median, which Spark computes over all tuples."""
-    e = events(spark, d)
-    middle = e.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)")).first()[0]
-    left, right = Box.of(-1e9, 1e9).split(middle, 0)
-    return partition.assign(e, [partition.Region(0, left), partition.Region(1, right)]).groupBy("region_id").agg(F.count("*").alias("n"))
-
-
 @query(None)
 def kd_sampled_balance(spark, d):
     t = lineitem(spark, d)
@@ -394,27 +364,13 @@ def format_tpch_lineitem(spark, d):
     return out.select("key", day("lo_0").alias("first_day"), day("hi_0").alias("last_day"))
 
 
-@query("SELECT * FROM (SELECT event_id, least(value, lag(value) OVER w) AS lo, greatest(value, lag(value) OVER w) AS hi, lag(event_id) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE before IS NOT NULL")
-def range_box_trajectory(spark, d):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    e = read(spark, d, "events").withColumns({"p": F.lag("value").over(w), "before": F.lag("event_id").over(w)})
-    return e.where("before is not null").select("event_id", F.least("value", "p").alias("lo"), F.greatest("value", "p").alias("hi"), "before")
-
-
-@query("""SELECT event_id, a, b FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'click' THEN value END IGNORE NULLS) OVER w AS a, last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER w AS b
-FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) WHERE event_type = 'purchase' AND a IS NOT NULL AND b IS NOT NULL""")
-def last_known_merge(spark, d):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    last = lambda t: F.last(F.when(F.col("event_type") == t, F.col("value")), ignorenulls=True).over(w)
-    return read(spark, d, "events").withColumns({"a": last("click"), "b": last("view")}).where("event_type = 'purchase' and a is not null and b is not null").select("event_id", "a", "b")
-
-
 @query(f"SELECT {KEYS} FROM ({NEWEST} = 1) WHERE l_orderkey % 10 <> 3")
 def compact_table(spark, d):
     """Deletions of some keys, newer than all versions, hide them."""
     t = lineitem(spark, d)
     gone = tuples.tombstones(t.where("cast(key as long) % 10 = 3").select("key").distinct(), 3, F.lit(2**60))
-    return versions.resolve(t.unionByName(gone, allowMissingColumns=True), ties=TIES).select(SHOW)
+    with_gone = t.unionByName(gone, allowMissingColumns=True)
+    return versions.compact(spark, with_gone, working_folder(spark, "compact"), ties=TIES).select(SHOW)
 
 
 # Continuous queries ---------------------------------------------------------------------------------
@@ -455,21 +411,5 @@ def continuous_join(spark, d):
     return continuous.continuous_join(t, orders(spark, d), plan, UNIQUE).select(F.col("l_event_id").alias("event_id"), "r_key")
 
 
-@query("""WITH e AS (SELECT user_id, event_id, ts, value, sum(CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END) OVER (ORDER BY event_id) AS g FROM events),
-f AS (SELECT *, lag(value BETWEEN 100 AND 200) OVER w AS before, lag(g) OVER w AS last FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, g, value BETWEEN 100 AND 200))
-SELECT user_id::VARCHAR AS key, count(*) AS n FROM f WHERE before AND g - last > 3 GROUP BY 1""")
-def idle_eviction(spark, d):
-    e = events(spark, d)
-    mark = F.when(F.col("event_id") % 50 == 0, 1).otherwise(0)
-    e = e.withColumn("generation", generations(e, mark))
-    plan = QueryPlanBuilder("events").compare_with(Box.of(100, 200)).invalidate_after_watermarks(3).build()
-    return continuous.continuous_range(e, plan).where("kind = 'IDLE_REMOVED'").groupBy("key").agg(F.count("*").alias("n"))
-
-
-def generations(e: DataFrame, mark: Column) -> Column:
-    """Watermarks up to each event: here every fiftieth event is one, so its number tells."""
-    return (F.floor(F.col("event_id") / 50) + F.lit(0)).cast("long")
-
-
 def entry(spark: SparkSession, d: str) -> DataFrame:
     return range_lineitem_3d(spark, d)

@@ -182,7 +182,9 @@ def forex_1d(lines: DataFrame) -> DataFrame:
 
 
 def forex_2d(lines: DataFrame) -> DataFrame:
-    at = F.unix_seconds(_time(_field(0), "yyyyMMdd HHmmss"))
+    """All digits after the minutes count as seconds, those of the milliseconds in real files too."""
+    digits = F.regexp_extract(_field(0), r"^(\d{8} \d{4})\d+$", 1)
+    at = F.unix_seconds(_time(digits, "yyyyMMdd HHmm")) + F.substring(_field(0), 14, 20).try_cast("long")
     return _tuples(lines, [at, _number(_field(1))], ok=F.size(F.split("value", ",")) == 4)
 
 

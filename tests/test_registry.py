@@ -1,4 +1,4 @@
-"""Registered joins without SQL, against brute force over whole tables."""
+"""Registered joins against brute force over whole tables."""
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -26,25 +26,10 @@ def test_three_way_join_of_all_events(spark):
         for j in np.flatnonzero((a0[i] <= c0 + 1) & (c0 <= a0[i] + 3) & (b0[i] <= d0 + 1) & (d0 <= b0[i] + 2)):
             x0, x1, y0, y1 = min(a0[i], c0[j]), max(a0[i] + 3, c0[j] + 1), min(b0[i], d0[j]), max(b0[i] + 2, d0[j] + 1)
             want += [(str(o.o_orderkey[i]), int(k)) for k in e.event_id[(x0 <= e0 + 1) & (e0 <= x1) & (y0 <= e1) & (e1 <= y1)]]
-    got = registry.spatial_join_3way_all(spark, SF).collect()
+    got = registry.spatial_join_3way(spark, SF).collect()
     assert any(k % 4 for _, k in want) and sorted((r.t1_key, r.t3_event_id) for r in got) == sorted(want)
 
 
-def test_interval_join_of_all_orders(spark, tmp_path):
-    o, li = table("orders").head(600), table("lineitem")
-    li = li[li.l_orderkey.isin(o.o_orderkey)]
-    for name, some in (("orders", o), ("lineitem", li)):
-        spark.read.parquet(f"{SF}/{name}.parquet").where(f"{name[0]}_orderkey <= {o.o_orderkey.max()}").write.parquet(f"{tmp_path}/{name}.parquet")
-    start = dict(zip(o.o_orderkey.tolist(), day(o.o_orderdate).tolist(), strict=True))
-    ranges = {}
-    for k, ship in zip(li.l_orderkey.tolist(), day(li.l_shipdate).tolist(), strict=True):
-        lo, hi = ranges.get(k, (start[k], start[k]))
-        ranges[k] = (min(lo, ship), max(hi, ship))
-    want = [(a, b) for a, (x, y) in ranges.items() for b, (v, w) in ranges.items() if a < b and x <= w and v <= y]
-    got = registry.interval_join_orders_lineitem_all(spark, str(tmp_path)).collect()
-    assert any(a % 50 for a, _ in want) and sorted((r.a, r.b) for r in got) == sorted(want)
-
-
 def test_samples_over_the_bound_come_from_the_whole_table(spark):
     t = tuples.to_tuples(spark.range(0, 20_000, 1, 8), "id", ["id"], "id")
     got = [s[0] for s in partition.samples_of(t, 0.5, most=1000)]

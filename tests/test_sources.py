@@ -30,6 +30,8 @@ def test_separated_formats(spark):
     assert one(spark, "nari_dynamic", "245257000,0,0,0.1,13.1,36,-4.4657183,48.38249,1443650402")[0].lo_1 == -4.4657183
     assert one(spark, "nari_dynamic", "1,2") == []
     assert one(spark, "forex_2d", "20151201 000005,1.05,1.06,0")[0].lo_0 == 1448928005.0
+    line = "20151201 010000000,1.057520,1.057560,0"
+    assert [(r.lo_0, r.lo_1) for r in one(spark, "forex_2d", line)] == [(1448931600.0, 1.05752)] and one(spark, "forex_1d", line)[0].lo_0 == 1.05752
     assert len(one(spark, "forex_1d", "20151201 000005,1.05,1.06,0", "x,y,z,0")) == 1
 
 
