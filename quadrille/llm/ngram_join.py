@@ -15,11 +15,10 @@ Links are found up to components, and no group is ever gathered or multiplied ou
    slots than their sizes allow cannot link. Of each class the nearest neighbour is verified, after
    the tests under the other orders. This is repeated with another order inside equal members. It
    links most groups of copies in as many rows as they have.
-3. Members whose classes still lie in different components are joined, across components only; where
-   more than ``HOT`` rows share a member, the orders are intersected in the join itself, by a member of the second
-   order's prefix besides. Candidates that pass all filters are verified: first the nearest for each two
-   components, then all that are left. That is exact: any pair that was not verified is in one
-   component already, or failed a test that links must pass.
+3. Members whose classes still lie in different components are joined, across components only and
+   where sizes and parities allow a link: first one class of each component that has the member, of which
+   the nearest for each two components is verified, then all that are left. That is exact: any pair that
+   was not verified is in one component already, or failed a test that links must pass.
 
 Defined results: a text without words, null or empty, has an empty set and no links; with fewer
 words than n the whole sequence is one n-gram; equal rows are one class; rows that repeat an id with
@@ -44,7 +43,6 @@ from quadrille.llm.components import merged, neighbours
 U = np.uint64
 FREQUENT = 200_000  # words whose counts are broadcast: 16 bytes each
 FLUSH = 2_000_000  # words counted at once by a task
-HOT = 64  # rows with one member that are joined on it alone
 SEEDS = (U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D0))
 
 
@@ -299,10 +297,6 @@ def ngram_components(spark: SparkSession, docs: DataFrame, *, n: int = 5, percen
         met = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
         return met.where(near_parity(percent, "xn", "yn", "x", "y")).select("a", "b", differing("x", "y").alias("far"))
 
-    def nearest(pairs: DataFrame, of: list[str]) -> DataFrame:
-        best = pairs.groupBy(*of).agg(F.min(F.struct("far", "a", "b")).alias("p"))
-        return best.select("p.a", "p.b")
-
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
     ordered = (F.least("id_1", "id_2").alias("a"), F.greatest("id_1", "id_2").alias("b"))
     for again in (False, True):
@@ -316,21 +310,14 @@ def ngram_components(spark: SparkSession, docs: DataFrame, *, n: int = 5, percen
         scratch.release("neighbours")
         settle(nearest(scored(pairs), ["b"]))
         scratch.release("near", "few")
-    for last in (False, True):
-        rest = scratch.cut(open_tokens(tokens, components), "open")
-        hot = scratch.cut(rest.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT).select("token"), "hot")
-        cold = across(rest.join(hot, "token", "left_anti"), ["token"], fits)
-        many = scratch.cut(rest.join(hot, "token", "left_semi"), "many")
-        if not many.isEmpty():
-            own = members_of(docs, named.join(many.select("id").distinct(), "id", "left_semi"), sets, scratch).select("id", F.explode("p1").alias("second"))
-            cold = cold.union(across(many.join(own, "id"), ["token", "second"], fits))
-        pairs = scratch.cut(cold.distinct(), "across")
-        scratch.release("open", "hot", "many", "sets", "wanted")
-        if pairs.isEmpty():
-            break
-        near = scored(pairs.select("a", "b")).join(pairs, ["a", "b"])
-        settle(near.select("a", "b") if last else nearest(near, ["c", "d"]))
-        scratch.release("across", "few")
+    sets_ = reps.select("id", "n", *PARITIES)
+    for salt in (1, 2, None):  # twice one class of each component that has a member, then all
+        rest = scratch.cut(open_tokens(tokens, components, salt), "open")
+        pairs = scratch.cut(across(rest.select("token", "id", "c"), ["token"], sets_, percent), "across")
+        if salt:
+            pairs = nearest(pairs, ["c", "d"])
+        settle(pairs.select("a", "b"))
+        scratch.release("open", "across")
     groups = classes.join(components.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     groups = scratch.cut(groups, "groups")
     firsts = groups.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -339,16 +326,27 @@ def ngram_components(spark: SparkSession, docs: DataFrame, *, n: int = 5, percen
     return scratch.result(narrow.join(groups, KEYS, "left").select("doc_id", F.col("n").alias("n_shingles"), own.cast("long").alias("component_id")))
 
 
-def open_tokens(tokens: DataFrame, components: DataFrame) -> DataFrame:
-    """The members that occur in more than one component, with the component of each class as ``c``."""
+def open_tokens(tokens: DataFrame, components: DataFrame, salt: int | None = None) -> DataFrame:
+    """The members that occur in more than one component, with the component of each class as ``c``; with a
+    salt, one class of each component."""
     placed = tokens.join(components.withColumnRenamed("node", "id"), "id", "left").select("token", "n", "id", F.coalesce("component", "id").alias("c"))
     mixed = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
-    return placed.join(mixed, "token")
+    rest = placed.join(mixed, "token", "left_semi")
+    if salt is None:
+        return rest
+    return rest.groupBy("token", "c").agg(F.min_by(F.struct("id", "n"), F.xxhash64(F.lit(salt), "id")).alias("p")).select("token", "p.n", "p.id", "c")
+
+
+def across(rows: DataFrame, key: list[str], sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b, c, d, far``: pairs of classes of two components that have a key in common and may link, by
+    sizes and parities; ``far`` is the number of slots in which these differ. ``sets`` has ``id, n, q0..``."""
+    rows = rows.join(sets, "id")
+    side = lambda of, c, p: rows.select(*key, F.col("id").alias(of), F.col("c").alias(c), *(F.col(x).alias(p + x) for x in ("n", *PARITIES)))
+    fits = 100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")
+    met = side("x", "c", "x").join(side("y", "d", "y"), key).where((F.col("c") < F.col("d")) & fits & near_parity(percent, "xn", "yn", "x", "y"))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "c", "d", differing("x", "y").alias("far")).distinct()
 
 
-def across(rows: DataFrame, key: list[str], fits) -> DataFrame:
-    """``a, b, c, d``: pairs of classes of two components and fitting sizes that have a key in common."""
-    one = rows.select(*key, "n", F.col("id").alias("x"), "c")
-    two = rows.select(*key, F.col("n").alias("m"), F.col("id").alias("y"), F.col("c").alias("d"))
-    met = one.join(two, key).where((F.col("c") < F.col("d")) & fits(F.col("n"), F.col("m")))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "c", "d").distinct()
+def nearest(pairs: DataFrame, of: list[str]) -> DataFrame:
+    """Of the pairs ``a, b, far`` the nearest of each group."""
+    return pairs.groupBy(*of).agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b")

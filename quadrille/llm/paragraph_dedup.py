@@ -1,20 +1,20 @@
 """Substring deduplication by paragraphs: MinHash banding finds near copies, exact checks link them.
 
-Paragraphs are of two kinds, each of at least ``min_words`` words. Lines are compared by similarity.
-Sections are cut by content: a boundary stands where a hash of two words is the least of the ``window``
-around it, and a section runs from a boundary to the first one at least ``min_words`` further on, over
-line ends too. So whatever adjoins a passage, two texts that share ``least_found(min_words, window)`` words (51 as
-registered) have a whole section in common. A text's begin and end are boundaries; a shorter text is one section.
+Paragraphs are of two kinds. Lines of at least ``min_words`` words are compared by similarity. Sections
+are runs of ``min_words`` words that begin where the content says so, over line ends too: at the text's
+first word, and wherever a hash of two words is the least of the ``window`` words that begin around it. So
+whatever adjoins a passage, two texts that share ``min_words + window - 1`` words (51 as registered) have
+a section in common. A shorter text is one section.
 
 Equal paragraphs (same words) form one class, named by a 64-bit hash of them. Each class of lines has a
-MinHash signature over its runs of ``n`` words, cut into bands; candidates share two. ``tune_bands`` picks
-number and width of bands for a recall at the threshold. Bands are sorted and neighbours are compared, of
-each class the one that it meets in most bands; then classes that still lie in different components are
-joined across components only. Where more than ``HOT`` rows share a band, a second band joins the key, so
-a group of copies costs rows in proportion to its size. Candidates are verified on whole
-paragraphs by the exact Jaccard similarity of their word runs. Sections differ at their ends if they differ
-at all, so theirs are the classes alone. Components of the links are the groups; the first paragraph of each
-(by document, then place) stays.
+MinHash signature over its runs of ``n`` words, cut into bands, whose number and width ``tune_bands`` picks for a
+recall at the threshold. Bands are sorted and neighbours are compared; of each class the nearest is verified,
+by a bound on the symmetric difference from parities of the sets. Then classes that still lie in different
+components are joined across components only, where that bound allows the similarity: first one class of
+each component in a band, then all that are left. So a group of copies costs rows in proportion to its size.
+Candidates are verified on whole paragraphs by the exact Jaccard similarity of their word runs. Sections are
+copies only if equal: of so few words, one changed inside leaves less than the similarity. Components of the links are the
+groups; the first paragraph of each (by document, then place) stays.
 
 Defined results: null and empty texts have no paragraphs; equal rows are copies of each other;
 rows with null ids are left out; rows that repeat an id count as its further paragraphs; very long texts
@@ -25,7 +25,6 @@ take part whole; an empty table gives an empty result; further columns are ignor
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -35,27 +34,20 @@ from pyspark.sql import functions as F
 from quadrille.llm import wordhash
 from quadrille.llm.common import Scratch
 from quadrille.llm.components import merged, neighbours
-from quadrille.llm.ngram_join import ids_filter, ids_of, passes
+from quadrille.llm.ngram_join import PARITIES, across, differing, ids_filter, near_parity, nearest, parities, passes
 from quadrille.llm.sparse_suffix import minimisers
 
 U = np.uint64
-HOT = 64  # rows with one band that are joined on it alone
 WORDS = 100_000  # words whose signatures are made together
 
 
-def shared_bands(similarity: float, bands: int, rows: int, shared: int) -> float:
-    """The chance that two sets of this similarity have at least ``shared`` bands in common."""
-    p = similarity**rows
-    return 1 - sum(comb(bands, k) * p**k * (1 - p) ** (bands - k) for k in range(shared))
-
-
-def tune_bands(threshold: float, recall: float, shared: int = 2, background: float = 0.15, most_false: float = 0.05) -> tuple[int, int]:
+def tune_bands(threshold: float, recall: float, background: float = 0.1, most_false: float = 0.05) -> tuple[int, int]:
     """The fewest bands, and their width, with enough recall at the threshold, whose false candidates at
     the background similarity stay below ``most_false``."""
     for rows in range(1, 17):
-        for bands in range(shared, 129):
-            if shared_bands(threshold, bands, rows, shared) >= recall:
-                if shared_bands(background, bands, rows, shared) <= most_false:
+        for bands in range(1, 129):
+            if 1 - (1 - threshold**rows) ** bands >= recall:
+                if 1 - (1 - background**rows) ** bands <= most_false:
                     return bands, rows
                 break
     raise ValueError("no banding reaches this recall")
@@ -63,7 +55,7 @@ def tune_bands(threshold: float, recall: float, shared: int = 2, background: flo
 
 def least_found(min_words: int, window: int) -> int:
     """Any run of so many words that two texts share holds a whole section."""
-    return min_words + 3 * (window - 1)
+    return min_words + window - 1
 
 
 def signatures(members: np.ndarray, begin: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -94,10 +86,9 @@ def sections(h: np.ndarray, min_words: int, window: int) -> tuple[np.ndarray, np
     """First words and numbers of words of the sections."""
     if len(h) <= min_words:
         return np.zeros(min(1, len(h)), np.int64), np.full(min(1, len(h)), len(h))
-    edge = np.unique(np.concatenate([[0], minimisers(h, 2, window - 1)[0], [len(h)]]))
-    to = np.searchsorted(edge, edge + min_words)
-    there = to < len(edge)
-    return edge[there], edge[to[there]] - edge[there]
+    at, _ = minimisers(h, 2, window)
+    first = np.append(0, at[(at > 0) & (at <= len(h) - min_words)])
+    return first, np.full(len(first), min_words)
 
 
 def within(size: np.ndarray) -> np.ndarray:
@@ -177,8 +168,8 @@ def paragraphs(docs: DataFrame, n: int, min_words: int, window: int, bands: int,
     return texts(docs).mapInArrow(local, "doc_id long, first int, words int, id long, bands array<long>")
 
 
-def words_of(docs: DataFrame, wanted: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
-    """``id, tokens``: the word hashes of the lines wanted, each by a document that has it."""
+def words_of(docs: DataFrame, wanted: DataFrame, n: int, min_words: int, scratch: Scratch) -> DataFrame:
+    """``id, tokens, n, q0..``: word hashes of the lines wanted, size and parities of their sets of runs."""
     shared = docs.sparkSession.sparkContext.broadcast(ids_filter(wanted, "doc_id"))
     classes = docs.sparkSession.sparkContext.broadcast(ids_filter(wanted, "id"))
 
@@ -193,9 +184,13 @@ def words_of(docs: DataFrame, wanted: DataFrame, min_words: int, scratch: Scratc
                     these = paragraph_ids(h, first, size)
                     for i in np.flatnonzero(passes(classes.value, these)) if len(these) else ():
                         found[int(these[i])] = h[first[i] : first[i] + size[i]].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["id", "tokens"])
+                sets = [wordhash.shingles(np.frombuffer(x, U), n) for x in found.values()]
+                odd = np.array([parities(x) for x in sets], np.int64).reshape(-1, len(PARITIES))
+                columns = [pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary()), pa.array([len(x) for x in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(q)) for q in odd.T)], ["id", "tokens", "n", *PARITIES])
 
-    out = scratch.cut(texts(docs).mapInArrow(local, "id long, tokens binary").dropDuplicates(["id"]).join(wanted, "id", "left_semi"), "tokens")
+    schema = "id long, tokens binary, n long, " + ", ".join(f"{q} long" for q in PARITIES)
+    out = scratch.cut(texts(docs).mapInArrow(local, schema).dropDuplicates(["id"]).join(wanted, "id", "left_semi"), "tokens")
     for x in (shared, classes):
         x.unpersist()
     return out
@@ -228,35 +223,33 @@ def line_components(spark: SparkSession, docs: DataFrame, found: DataFrame, scra
     # Every member of a band that holds two classes has a neighbour of another class.
     members = near.select(F.col("token_1").alias("token"), F.col("id_1").alias("id")).union(near.select("token_2", "id_2")).distinct()
     members = scratch.cut(members, "members")
-    pairs = scratch.cut(near.groupBy(F.col("id_1").alias("a"), F.col("id_2").alias("b")).agg(F.count("*").alias("same")), "pairs")
+    pairs = scratch.cut(near.select(F.least("id_1", "id_2").alias("a"), F.greatest("id_1", "id_2").alias("b")).distinct(), "pairs")
     scratch.release("neighbours")
     wanted = scratch.cut(found.where("bands is not null").join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id")), "wanted")
-    tokens = words_of(docs, wanted, min_words, scratch)
-    settle(pairs.groupBy("b").agg(F.max(F.struct("same", "a")).alias("p")).select("p.a", "b"))
+    tokens = words_of(docs, wanted, n, min_words, scratch)
+    side = lambda of, p: tokens.select(F.col("id").alias(of), *(F.col(c).alias(p + c) for c in ("n", *PARITIES)))
+    met = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(near_parity(percent, "xn", "yn", "x", "y"))
+    settle(met.groupBy("b").agg(F.min(F.struct(differing("x", "y"), "a")).alias("p")).select("p.a", "b"))
     scratch.release("pairs", "wanted")
-    for last in (False, True):
-        placed = members.join(components.withColumnRenamed("node", "id"), "id", "left").select("token", "id", F.coalesce("component", "id").alias("c"))
-        mixed = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("rows")).where("low <> high")
-        rest = scratch.cut(placed.join(mixed.select("token", (F.col("rows") > HOT).alias("hot")), "token"), "open")
-        second = rest.where("hot").join(members.select("id", F.col("token").alias("second")), "id").where("second <> token")
-        joined = across(rest.where("not hot"), ["token"]).union(across(second, ["token", "second"]))
-        pairs = scratch.cut(joined.groupBy("c", "d", "a", "b").agg(F.count("*").alias("same")), "pairs")
-        if pairs.isEmpty():
-            break
-        best = pairs.groupBy("c", "d").agg(F.max(F.struct("same", "a", "b")).alias("p")).select("p.a", "p.b")
-        settle(pairs.select("a", "b") if last else best)
+    for salt in (1, 2, None):  # twice one class of each component in a band, then all
+        rest = scratch.cut(open_members(members, components, salt), "open")
+        pairs = scratch.cut(across(rest, ["token"], tokens.select("id", "n", *PARITIES), percent), "pairs")
+        if salt:
+            pairs = nearest(pairs, ["c", "d"])
+        settle(pairs.select("a", "b"))
         scratch.release("open", "pairs")
     return components
 
 
-def across(rows: DataFrame, key: list[str]) -> DataFrame:
-    """``a, b, c, d``: pairs of classes of two components that have a key in common."""
-    two = rows.select(*key, F.col("id").alias("y"), F.col("c").alias("d"))
-    met = rows.select(*key, F.col("id").alias("x"), "c").join(two, key).where("c < d")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "c", "d")
+def open_members(members: DataFrame, components: DataFrame, salt: int | None) -> DataFrame:
+    """Members ``token, id`` of bands with several components, as ``c``; with a salt one of each component."""
+    placed = members.join(components.withColumnRenamed("node", "id"), "id", "left").select("token", "id", F.coalesce("component", "id").alias("c"))
+    mixed = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
+    rest = placed.join(mixed, "token", "left_semi")
+    return rest.groupBy("token", "c").agg(F.min_by("id", F.xxhash64(F.lit(salt), "id")).alias("id")) if salt else rest
 
 
-def paragraph_groups(spark: SparkSession, docs: DataFrame, *, n: int = 5, percent: int = 80, recall: float = 0.9995, min_words: int = 24, window: int = 10) -> DataFrame:
+def paragraph_groups(spark: SparkSession, docs: DataFrame, *, n: int = 5, percent: int = 80, recall: float = 0.9995, min_words: int = 24, window: int = 28) -> DataFrame:
     """``doc_id, first, words, component_id, of_doc, removed`` for every paragraph that has a near copy.
 
     ``component_id`` is one number for a group, ``of_doc`` the document of the paragraph that stays.

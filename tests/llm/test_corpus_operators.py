@@ -135,11 +135,8 @@ def test_ngram_components_of_repeated_ids(spark):
     assert by[1] == by[2] | by[3] == {1} and by[4] == {4} and by[5] == by[6] == {5} and len(got) == len(rows)
 
 
-def test_ngram_components_of_hot_members(spark, monkeypatch):
-    """Groups of edited copies that share most of their members, one of them large, with members above the limit."""
-    from quadrille.llm import ngram_join
-
-    monkeypatch.setattr(ngram_join, "HOT", 3)
+def test_ngram_components_of_hot_members(spark):
+    """Groups of edited copies that share most of their members, one of them large."""
     rng = random.Random(12)
     rows = []
     for size in (150, 20, 7, 2):
@@ -238,10 +235,7 @@ def test_paragraphs_against_brute_force(spark):
     assert must <= got <= must | may and len(must) >= 30 and {100, 101} <= must and 102 not in got
 
 
-def test_paragraphs_of_hot_bands(spark, monkeypatch):
-    from quadrille.llm import paragraph_dedup
-
-    monkeypatch.setattr(paragraph_dedup, "HOT", 3)
+def test_paragraphs_of_hot_bands(spark):
     rng = random.Random(7)
     base = prose(rng, 150).split()
     rows = []
