@@ -34,6 +34,9 @@ from quadrille.llm.common import Scratch, bound_batches
 
 U = np.uint64
 BLOCK = 256  # terms in a row of the summed sketch
+DENSE = 256  # terms, the benchmark's most frequent ones, whose counts are kept as a matrix
+SLOTS = 8192  # half passages that are handled together
+COSINES = 4_000_000  # cosines held at once
 FOUND = "doc_id long, item_id long, first int, words int, cosine double, lcs double, answer boolean"
 
 
@@ -82,31 +85,108 @@ class Items:
                 self._runs.append((n, r[order], item[order]))
         return self._runs
 
-    def named(self, h: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
-        """Passage and item of each run of an item that stands in the text."""
-        step = self.width // 2
-        last = max(1, -(-(len(h) - step) // step)) - 1
-        row, item = [], []
+    def named(self, h: np.ndarray, at: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+        """First word and item of each run of an item that stands in the words; ``at`` are places of terms."""
+        inside = np.zeros(len(h) + 1, np.int64)
+        inside[at + 1] = 1
+        inside = np.cumsum(inside)
+        place, item = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for n, r, of in self.runs(run):
-            here = wordhash.ngrams(h, n)
+            begin = np.flatnonzero(inside[n:] - inside[: max(0, len(h) - n + 1)] == n) if len(h) >= n else np.zeros(0, np.int64)
+            here = wordhash.ngrams_at(h, n, begin)
             low = np.searchsorted(r, here)
-            at = np.flatnonzero(r[np.minimum(low, len(r) - 1)] == here)
-            low, size = low[at], np.searchsorted(r, here[at], "right") - low[at]
-            row.append(np.repeat(np.minimum(at // step, last), size))
+            some = np.flatnonzero(r[np.minimum(low, len(r) - 1)] == here)
+            low, size = low[some], np.searchsorted(r, here[some], "right") - low[some]
+            place.append(np.repeat(begin[some], size))
             item.append(of[np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)])
-        return np.concatenate(row), np.concatenate(item)
-
-    def passages(self, h: np.ndarray, hits: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """Passage, term and count of each pair that occurs, by passage; and the number of passages."""
-        step = self.width // 2
-        n = max(1, -(-(len(h) - step) // step)) if len(h) else 0
-        at, k = hits or self.hits(h)
-        later = at // step
-        earlier = later - 1
-        p = np.concatenate([later[later < n], earlier[earlier >= 0]])
-        k = np.concatenate([k[later < n], k[earlier >= 0]])
-        pair, count = np.unique(p * len(self.terms) + k, return_counts=True)
-        return pair // len(self.terms), pair % len(self.terms), count, n
+        return np.concatenate(place), np.concatenate(item)
+
+    def dense(self) -> tuple[np.ndarray, np.ndarray]:
+        """The terms whose counts are kept as a matrix, and the place of each term among them (or -1)."""
+        if not hasattr(self, "_dense"):
+            own, times, _, _ = self.bags()
+            often = np.argsort(-np.bincount(own, times, len(self.terms)), kind="stable")[:DENSE]
+            place = np.full(len(self.terms), -1)
+            place[often] = np.arange(len(often))
+            self._dense = often, place
+        return self._dense
+
+
+def slots_of(n: int, step: int) -> int:
+    """Half passages of a text of ``n`` words; each but the last begins a passage."""
+    return max(2, -(-n // step)) if n else 0
+
+
+class Block:
+    """Texts, or parts of long ones, whose passages are handled together: their half passages are slots."""
+
+    def __init__(self, items: Items, parts: list[tuple[int, int, bool, np.ndarray]]):
+        """``parts``: number of the text, its first passage here, whether it has others, and the words."""
+        step = items.width // 2
+        self.items, self.parts = items, parts
+        self.h = np.concatenate([h for *_, h in parts])
+        sizes = np.array([len(h) for *_, h in parts])
+        slots = np.array([slots_of(n, step) for n in sizes.tolist()])
+        self.begin, self.base = np.cumsum(sizes) - sizes, np.cumsum(slots) - slots
+        self.slots = int(slots.sum())
+        self.passage = np.ones(self.slots, bool)
+        self.passage[self.base + slots - 1] = False
+        self.at, self.k = items.hits(self.h)
+        self.of = np.searchsorted(self.begin, self.at, "right") - 1
+        self.half = self.base[self.of] + (self.at - self.begin[self.of]) // step
+        often, place = items.dense()
+        where = place[self.k]
+        common = where >= 0
+        self.often = often
+        counts = np.bincount(self.half[common] * len(often) + where[common], minlength=self.slots * len(often))
+        self.counts = counts.astype(np.float32).reshape(self.slots, len(often))  # of the dense terms, by half
+        self.rare_half, self.rare = self.half[~common], self.k[~common]
+
+    def rare_pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Passage, term and count of each pair of a passage with one of the other terms."""
+        earlier = self.rare_half - 1
+        there = (earlier >= 0) & self.passage[earlier]
+        also = self.passage[self.rare_half]
+        p, k = np.concatenate([self.rare_half[also], earlier[there]]), np.concatenate([self.rare[also], self.rare[there]])
+        size = len(self.items.terms)
+        pair, count = np.unique(p * size + k, return_counts=True)
+        return pair // size, pair % size, count
+
+    def both(self, halves: np.ndarray) -> np.ndarray:
+        """Sums of each half and the next; 0 where no passage begins."""
+        out = halves.copy()
+        out[:-1] += halves[1:]
+        out[~self.passage] = 0
+        return out
+
+    def sums(self, rows: np.ndarray) -> np.ndarray:
+        """Sums of the terms' rows over each half passage."""
+        out = self.counts @ rows[self.often]
+        which, begin = rows_of(self.rare_half)
+        if len(which):
+            out[which] += np.add.reduceat(rows[self.rare], begin, axis=0)
+        return out
+
+
+def blocks(items: Items, each: Iterable[np.ndarray]) -> Iterator[tuple[list[np.ndarray], Block]]:
+    """The texts' words with blocks over them. A long text is cut where passages begin, with the half that two
+    share in both; its parts are blocks of the same text."""
+    step = items.width // 2
+    texts, parts, held = [], [], 0
+    for h in each:
+        if held and held + slots_of(len(h), step) > SLOTS:
+            yield texts, Block(items, parts)
+            texts, parts, held = [], [], 0
+        texts.append(h)
+        n = slots_of(len(h), step) - 1
+        for a in range(0, n, SLOTS):
+            if a:
+                yield texts, Block(items, parts)
+                parts = []
+            parts.append((len(texts) - 1, a, n > SLOTS, h[a * step : (a + SLOTS + 1) * step] if a + SLOTS < n else h[a * step :]))
+        held += n + 1
+    if parts:
+        yield texts, Block(items, parts)
 
 
 def rows_of(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,10 +222,10 @@ def weigh(docs: DataFrame, items: Items) -> np.ndarray:
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, sums = 0, np.zeros(size, np.int64)
         for b in batches:
-            for h in wordhash.many(b.column("text").to_pylist()):
-                _, k, _, n = shared.value.passages(h)
-                total += n
-                sums += np.bincount(k, minlength=size)
+            for _, block in blocks(shared.value, wordhash.many(b.column("text").to_pylist())):
+                total += int(block.passage.sum())
+                sums += np.bincount(block.rare_pairs()[1], minlength=size)
+                sums[block.often] += (block.both(block.counts) > 0).sum(axis=0)
         at = np.append(np.flatnonzero(sums), size)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(sums, total)[at])], ["term", "n"])
 
@@ -156,44 +236,21 @@ def weigh(docs: DataFrame, items: Items) -> np.ndarray:
     return np.log((2 + total) / (1 + df[:size]))
 
 
-def halves(k: np.ndarray, half: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the terms' rows over each of ``n`` half passages; ``half`` is sorted."""
-    out = np.zeros((n, rows.shape[1]), np.float32)
-    which, begin = rows_of(half)
-    if len(which):
-        out[which] = np.add.reduceat(rows[k], begin, axis=0)
-    return out
-
-
-def _gram(items: Items, h_all: Iterable[np.ndarray], omega: np.ndarray, scale: float, into: np.ndarray) -> None:
+def _gram(items: Items, each: Iterable[np.ndarray], omega: np.ndarray, scale: float, into: np.ndarray) -> None:
     """Add ``scale`` times the Gram matrix of these texts' passages, times ``omega``."""
     rows = (items.weight[:, None] * omega).astype(np.float32)
-    parts, base = [], 0
-    for h in h_all:
-        hits = items.hits(h)
-        p, k, count, n = items.passages(h, hits)
-        parts.append((np.bincount(p, (count * items.weight[k]) ** 2, n + 1), hits[0] // (items.width // 2) + base, hits[1]))
-        base += n + 1
-        if base > 20_000:
-            _add_gram(items, parts, rows, scale, into)
-            parts, base = [], 0
-    if parts:
-        _add_gram(items, parts, rows, scale, into)
-
-
-def _add_gram(items: Items, parts: list, rows: np.ndarray, scale: float, into: np.ndarray) -> None:
-    # Of each text the last slot begins no passage: its norm is 0. A passage is two halves, so sums over
-    # halves serve two passages each, in both products.
-    norm, half, k = (np.concatenate(x) for x in zip(*parts, strict=True))
-    if not len(k):
-        return
-    y = halves(k, half, rows, len(norm))
-    y[:-1] += y[1:]
-    y *= np.divide(1, norm, out=np.zeros(len(norm)), where=norm > 0).astype(np.float32)[:, None]
-    y[1:] += y[:-1].copy()
-    order = np.argsort(k, kind="stable")
-    terms, begin = rows_of(k[order])
-    into[terms] += scale * items.weight[terms, None] * np.add.reduceat(y[half[order]], begin, axis=0)
+    for _, block in blocks(items, each):
+        p, k, count = block.rare_pairs()
+        norm = np.bincount(p, (count * items.weight[k]) ** 2, block.slots) + block.both(block.counts) ** 2 @ items.weight[block.often] ** 2
+        # A passage is two halves, so sums over halves serve two passages each, in both products.
+        y = block.both(block.sums(rows))
+        y *= np.divide(1, norm, out=np.zeros(len(norm)), where=norm > 0).astype(np.float32)[:, None]
+        y[1:] += y[:-1].copy()
+        into[block.often] += scale * items.weight[block.often, None] * (block.counts.T @ y)
+        order = np.argsort(block.rare, kind="stable")
+        terms, begin = rows_of(block.rare[order])
+        if len(terms):
+            into[terms] += scale * items.weight[terms, None] * np.add.reduceat(y[block.rare_half[order]], begin, axis=0)
 
 
 def latent_space(docs: DataFrame, items: Items, rank: int, item_weight: float, seed: int = 11) -> np.ndarray:
@@ -223,8 +280,7 @@ def latent_space(docs: DataFrame, items: Items, rank: int, item_weight: float, s
     z = np.zeros((size, r))
     for i, raw in zip(rows["term"].to_pylist(), rows["z"].to_pylist(), strict=True):
         z[i : i + BLOCK] += np.frombuffer(raw).reshape(-1, r)
-    for w in items.words:
-        _gram(items, [w], omega, item_weight, z)
+    _gram(items, items.words, omega, item_weight, z)
     shift = 1e-9 * max(np.linalg.norm(z), 1e-12)
     z += shift * omega
     core = omega.T @ z
@@ -234,21 +290,18 @@ def latent_space(docs: DataFrame, items: Items, rank: int, item_weight: float, s
     return np.linalg.svd(b, full_matrices=False)[0]
 
 
-def project(items: Items, hits: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
-    """Latent vectors of length 1 of the ``n`` passages, or 0 without terms."""
-    at, k = hits
-    x = halves(k, at // (items.width // 2), items.latent, n + 1)
-    x = x[:-1] + x[1:]
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), np.float32(1e-30))
-
-
 def common_subsequence(x: np.ndarray, y: np.ndarray) -> int:
-    """Length of the longest common subsequence."""
-    y = y[np.isin(y, x)]
-    row = np.zeros(len(y) + 1, np.int64)
-    for w in x[np.isin(x, y)]:
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (y == w)))
-    return int(row[-1])
+    """Length of the longest common subsequence, with a row of the table in the bits of an integer."""
+    places: dict[int, int] = {}
+    of = set(x.tolist())
+    y = [w for w in y.tolist() if w in of]
+    for i, w in enumerate(y):
+        places[w] = places.get(w, 0) | 1 << i
+    every = row = (1 << len(y)) - 1
+    for w in x.tolist():
+        if same := row & places.get(w, 0):
+            row = ((row + same) | (row - same)) & every
+    return len(y) - row.bit_count()
 
 
 def holds(x: np.ndarray, y: np.ndarray) -> bool:
@@ -295,35 +348,115 @@ def possible(items: Items, hits: tuple[np.ndarray, np.ndarray], row: np.ndarray,
     return keep
 
 
-def search(items: Items, h: np.ndarray, cosine: float, share: float, weak_share: float, least_words: int, run: int) -> list[tuple]:
-    """``item, first, words, cosine, lcs, answer`` of each item that the text holds."""
-    hits = items.hits(h)
-    if not len(hits[0]):
-        return []
+def candidates(items: Items, block: Block, cosine: float, least: float, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Part, passage in it, item and cosine of each pair to be looked at: near by cosine or named by a run of
+    words, and with at least this share of the item's words around the passage."""
+    x = block.both(block.sums(items.latent))
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), np.float32(1e-30))
+    slot, item, near = [], [], []
+    for at in range(0, block.slots, max(1, COSINES // len(items.ids))):
+        c = x[at : at + max(1, COSINES // len(items.ids))] @ items.vectors.T
+        row, i = np.nonzero(c >= cosine)
+        slot, item, near = [*slot, row + at], [*item, i], [*near, c[row, i]]
+    place, i = items.named(block.h, block.at, run)
+    of = np.searchsorted(block.begin, place, "right") - 1
+    end = np.append(block.begin, len(block.h))[of + 1]
+    words = np.array([len(w) for w in items.words])
+    whole = place + np.minimum(run, words[i]) <= end  # a run does not reach into the next text
+    place, i, of = place[whole], i[whole], of[whole]
+    last = np.append(block.base, block.slots)[of + 1] - 2
+    row = np.minimum(block.base[of] + (place - block.begin[of]) // (items.width // 2), last)
+    slot, item, near = np.concatenate([*slot, row]), np.concatenate([*item, i]), np.concatenate([*near, (x[row] * items.vectors[i]).sum(axis=1)])
+    pair, first = np.unique(slot * len(items.ids) + item, return_index=True)
+    slot, item, near = pair // len(items.ids), pair % len(items.ids), near[first]
+    part = np.searchsorted(block.base, slot, "right") - 1
+    # Whether the text, and then the halves around the passage, have enough of the item's words; parts of long
+    # texts are looked at later.
+    own, times, begin, _ = items.bags()
+
+    def enough(i: np.ndarray, has) -> np.ndarray:
+        out = np.zeros(len(i), bool)
+        for at in range(0, len(i), 4096):
+            some = i[at : at + 4096]
+            n = begin[some + 1] - begin[some]
+            first = np.cumsum(n) - n
+            flat = np.arange(n.sum()) + np.repeat(begin[some] - first, n)
+            out[at : at + 4096] = np.add.reduceat(times[flat] * has(own[flat], slice(at, at + 4096), n), first) >= least * words[some]
+        return out
+
+    cut = np.array([x for _, _, x, _ in block.parts])[part]
+    names, number = np.unique(block.k, return_inverse=True)
+    place = np.full(len(items.terms), len(names))
+    place[names] = np.arange(len(names))
+    inside = np.zeros((len(block.parts), len(names) + 1), bool)
+    inside[block.of, number] = True
+    which, back = np.unique(part * len(items.ids) + item, return_inverse=True)
+    of = which // len(items.ids)
+    keep = enough(which % len(items.ids), lambda k, at, n: inside[np.repeat(of[at], n), place[k]])[back] | cut
+    part, slot, item, near, cut = (x[keep] for x in (part, slot, item, near, cut))
+    # Which of 64 slots have each term, as bits; a range of slots lies in two such groups, or is looked at later.
+    bits = np.zeros((block.slots // 64 + 2, len(names) + 1), np.uint64)
+    where = (block.half >> 6) * bits.shape[1] + number
+    order = np.argsort(where, kind="stable")
+    which, first = rows_of(where[order])
+    if len(which):
+        bits.ravel()[which] = np.bitwise_or.reduceat(U(1) << (block.half[order] & 63).astype(U), first)
+    reach = -(-words[item] // (items.width // 2))
+    low = np.maximum(slot - reach, block.base[part])
+    high = np.minimum(slot + 2 + reach, np.append(block.base, block.slots)[part + 1])
+    group, size = low >> 6, np.minimum(high - low, 64)
+    span = np.where(size == 64, ~U(0), (U(1) << (size.astype(U) & U(63))) - U(1))
+    from_ = (low & 63).astype(U)
+    one, two = span << from_, np.where(from_ > 0, span >> ((U(64) - from_) & U(63)), U(0))
+
+    def around(k: np.ndarray, at: slice, n: np.ndarray) -> np.ndarray:
+        g, c = np.repeat(group[at], n), place[k]
+        return ((bits[g, c] & np.repeat(one[at], n)) | (bits[g + 1, c] & np.repeat(two[at], n))) != 0
+
+    keep = cut | (high - low > 64) | enough(item, around)
+    return part[keep], slot[keep] - block.base[part[keep]], item[keep], near[keep]
+
+
+def search(items: Items, each: Iterable[np.ndarray], cosine: float, share: float, weak_share: float, least_words: int, run: int) -> Iterator[tuple]:
+    """``text, item, first, words, cosine, lcs, answer`` of each item that a text holds, by the texts' numbers."""
+    done, best, held, hits = 0, {}, [], None
     step = items.width // 2
-    near = project(items, hits, max(1, -(-(len(h) - step) // step))) @ items.vectors.T
-    chosen = near >= cosine
-    chosen[items.named(h, run)] = True
-    row, item = np.nonzero(chosen)
-    if not len(row):
-        return []
-    keep = possible(items, hits, row, item, min(share, weak_share))
-    row, item = row[keep], item[keep]
-    best: dict[int, tuple] = {}
-    last = {}
-    for r, i in sorted(zip(row.tolist(), item.tolist(), strict=True)):
-        words, start = items.words[i], r * step
-        low, high = max(0, start - len(words)), min(len(h), start + items.width + len(words))
-        if last.get(i, -1) >= start + items.width:
-            continue  # the region looked at before holds this passage
-        region = h[low:high]
-        last[i] = high
-        n = common_subsequence(words, region)
-        ratio, answer = n / len(words), holds(items.answers[i], region)
-        found = holds(words, region) if len(words) < least_words else ratio >= share or (ratio >= weak_share and answer)
-        if found and ratio > best.get(i, (0,) * 5)[4]:
-            best[i] = (i, low, high - low, float(near[r, i]), ratio, answer)
-    return list(best.values())
+
+    def found() -> Iterator[tuple]:
+        for (t, _), x in sorted(best.items()):
+            yield (done + t, *x)
+        best.clear()
+
+    last: dict[tuple[int, int], int] = {}
+    for texts, block in blocks(items, each):
+        if texts is not held:
+            yield from found()
+            done += len(held)
+            held, hits = texts, {}
+            last.clear()
+        part, row, item, near = candidates(items, block, cosine, min(share, weak_share), run)
+        for p in np.unique(part).tolist():
+            some = np.flatnonzero(part == p)
+            t, a, cut, _ = block.parts[p]
+            h = texts[t]
+            rows, which, keep = row[some] + a, item[some], slice(None)
+            if cut:
+                if t not in hits:
+                    hits[t] = items.hits(h)
+                keep = possible(items, hits[t], rows, which, min(share, weak_share))
+            for r, i, c in sorted(zip(rows[keep].tolist(), which[keep].tolist(), near[some][keep].tolist(), strict=True)):
+                words, start = items.words[i], r * step
+                low, high = max(0, start - len(words)), min(len(h), start + items.width + len(words))
+                if last.get((t, i), -1) >= start + items.width:
+                    continue  # the region looked at before holds this passage
+                region = h[low:high]
+                last[t, i] = high
+                n = common_subsequence(words, region)
+                ratio, answer = n / len(words), holds(items.answers[i], region)
+                match = holds(words, region) if len(words) < least_words else ratio >= share or (ratio >= weak_share and answer)
+                if match and ratio > best.get((t, i), (0,) * 5)[4]:
+                    best[t, i] = (i, low, high - low, c, ratio, answer)
+    yield from found()
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, answer: str | None = None, width: int = 32, rank: int = 64, cosine: float = 0.4, share: float = 0.7, weak_share: float = 0.5, answer_words: int = 8, least_words: int = 8, run: int = 5, item_weight: float = 100.0, most_items: int = 20_000, most_terms: int = 200_000) -> DataFrame:
@@ -347,10 +480,9 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it = shared.value
         for b in batches:
-            out = []
-            for doc, h in zip(b.column("doc_id").to_pylist(), wordhash.many(b.column("text").to_pylist()), strict=True):
-                for i, *rest in search(it, h, cosine, share, weak_share, least_words, run):
-                    out.append((doc, it.ids[i], *rest))
+            ids = b.column("doc_id").to_pylist()
+            found = search(it, wordhash.many(b.column("text").to_pylist()), cosine, share, weak_share, least_words, run)
+            out = [(ids[t], it.ids[i], *rest) for t, i, *rest in found]
             columns = list(zip(*out, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 

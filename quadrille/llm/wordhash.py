@@ -125,6 +125,16 @@ def ngrams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(total ^ U(n))
 
 
+def ngrams_at(h: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
+    """Those of the runs that begin at these words."""
+    total = np.zeros(len(at), U)
+    factor = 0x8EBC6AF09C88C6E3
+    for i in range(n):
+        total += h[at + i] * U(factor)
+        factor = factor * 0x589965CC75374CC3 & (1 << 64) - 1
+    return mix(total ^ U(n))
+
+
 def shingles(h: np.ndarray, n: int) -> np.ndarray:
     """The distinct runs of ``n`` words, sorted; with fewer words, the whole sequence as one."""
     if not len(h):

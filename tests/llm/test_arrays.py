@@ -213,3 +213,46 @@ def test_warc_parser_rejects_damage():
     for bad in (b"junk\r\n" + good, good[:-8]):
         with pytest.raises(ValueError):
             list(warc.parse(io.BytesIO(bad)))
+
+
+def test_search_does_not_depend_on_blocks(monkeypatch):
+    """Texts handled together, or a long one in parts, give what each gives alone."""
+    rng = np.random.default_rng(8)
+    vocabulary = rng.integers(0, 2**63, 300).astype(np.uint64)
+    draw = lambda n: vocabulary[np.minimum(rng.geometric(0.02, n), 300) - 1]
+    words = [draw(n) for n in (3, 7, 20, 37, 60)]
+    terms = np.unique(np.concatenate(words))
+    texts = [draw(n) for n in (0, 1, 15, 16, 17, 100, 3000, 33, 0, 700)]
+    texts[6][1000:1060] = words[4]
+    texts[6][2500:2537] = words[3]
+    texts[5][90:97] = words[1]
+    texts[9] = np.concatenate([texts[9], words[2]])
+
+    def run(slots, each):
+        monkeypatch.setattr(decontaminate, "SLOTS", slots)
+        items = decontaminate.Items(list(range(5)), words, [w[-8:] for w in words], terms, 32)
+        items.weight = np.linspace(1, 3, len(terms))
+        items.latent = np.random.default_rng(1).standard_normal((len(terms), 8)).astype(np.float32)
+        vectors = np.array([items.latent[np.searchsorted(terms, w)].sum(0) for w in words])
+        items.vectors = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+        z = np.zeros((len(terms), 4))
+        decontaminate._gram(items, each, np.linspace(-1, 1, len(terms) * 4).reshape(-1, 4), 1.0, z)
+        return [(t, i, first, n, round(lcs, 9), a) for t, i, first, n, _, lcs, a in decontaminate.search(items, each, 0.4, 0.7, 0.5, 8, 5)], z
+
+    whole, z = run(8192, texts)
+    assert {(6, 4), (6, 3), (5, 1), (9, 2)} <= {x[:2] for x in whole}
+    for slots in (2, 5, 64):
+        got, other = run(slots, texts)
+        assert got == whole and np.allclose(other, z, rtol=1e-4, atol=1e-3)
+    assert [(t, *x[1:]) for t, h in enumerate(texts) for x in run(8192, [h])[0]] == whole
+
+
+def test_common_subsequence():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        x, y = (rng.integers(0, 12, n).astype(np.uint64) for n in rng.integers(0, 40, 2))
+        table = np.zeros((len(x) + 1, len(y) + 1), int)
+        for i, a in enumerate(x):
+            for j, b in enumerate(y):
+                table[i + 1, j + 1] = table[i, j] + 1 if a == b else max(table[i, j + 1], table[i + 1, j])
+        assert decontaminate.common_subsequence(x, y) == table[-1, -1]
