@@ -45,6 +45,8 @@ SEQUENCE = 512  # words of a training sequence
 TOGETHER = 1024  # sequences trained side by side
 ROUNDS = (1, 4, 16)  # of 16 parts of the training texts, where each round ends
 BLOCK = 2_000_000  # words that a task scores together
+CHUNK = 16_384  # weights that are summed together
+CHUNKS = "chunk long, tokens long, weights binary"
 F4 = np.float32
 
 
@@ -337,23 +339,28 @@ def score_texts(net: Network, texts: list[np.ndarray], end: int) -> np.ndarray:
 
 
 def average(models: DataFrame) -> tuple[int, np.ndarray] | None:
-    """Weights of all tasks, averaged by tokens; a few tasks add them up first."""
+    """Weights of all tasks ``chunk, tokens, weights``, averaged by tokens. Each chunk of the weights is summed
+    apart, so a task holds a chunk and no model, however many tasks trained."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = 0, None
+        sums: dict[int, list] = {}
         for b in batches:
-            for tokens, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(raw, F4).astype(np.float64) * tokens
-                n, total = n + tokens, part if total is None else total + part
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(total / n).astype(F4).tobytes()], pa.binary())], ["tokens", "weights"])
-
-    schema = "tokens long, weights binary"
-    rows = models.repartition(8).mapInArrow(add, schema).toArrow().to_pylist()
+            for at in range(0, b.num_rows, 100):
+                for chunk, tokens, raw in zip(*(c.to_pylist() for c in b.slice(at, 100).columns), strict=True):
+                    part = np.frombuffer(raw, F4).astype(np.float64) * tokens
+                    if chunk in sums:
+                        sums[chunk][0] += tokens
+                        sums[chunk][1] += part
+                    else:
+                        sums[chunk] = [tokens, part]
+        out = [(k, n, (x / n).astype(F4).tobytes()) for k, (n, x) in sums.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 3, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["chunk", "tokens", "weights"])
+
+    rows = models.repartition("chunk").mapInArrow(add, CHUNKS).toArrow().to_pylist()
     if not rows:
         return None
-    n = sum(r["tokens"] for r in rows)
-    return n, sum(np.frombuffer(r["weights"], F4).astype(np.float64) * (r["tokens"] / n) for r in rows).astype(F4)
+    rows.sort(key=lambda r: r["chunk"])
+    return rows[0]["tokens"], np.concatenate([np.frombuffer(r["weights"], F4) for r in rows])
 
 
 def train(docs: DataFrame, training: Column, v: Vocabulary, rate: float = 0.1) -> Network:
@@ -378,10 +385,12 @@ def train(docs: DataFrame, training: Column, v: Vocabulary, rate: float = 0.1) -
             if held:
                 trainer.learn(held, vocab.end)
             if trainer.tokens:
-                yield pa.RecordBatch.from_arrays([pa.array([trainer.tokens]), pa.array([trainer.net.flat().tobytes()], pa.binary())], ["tokens", "weights"])
+                flat = trainer.net.flat()
+                chunks = [flat[i : i + CHUNK].tobytes() for i in range(0, len(flat), CHUNK)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int64()), pa.array([trainer.tokens] * len(chunks), pa.int64()), pa.array(chunks, pa.binary())], ["chunk", "tokens", "weights"])
 
         some = docs.where(training & (F.coalesce(part, F.lit(0)) >= begin) & (F.coalesce(part, F.lit(0)) < end))
-        if found := average(some.select(F.col("text").cast("binary").alias("text")).mapInArrow(local, "tokens long, weights binary")):
+        if found := average(some.select(F.col("text").cast("binary").alias("text")).mapInArrow(local, CHUNKS)):
             net.load(found[1])
         begin = end
     return net

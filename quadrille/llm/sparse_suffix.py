@@ -16,8 +16,9 @@ neighbours alone, so work stays in proportion to the repeated words. Of each mat
 
 Defined results: words are runs of other than ASCII space, compared with A-Z in lower case and by
 64-bit hashes; null and short texts have no matches; rows with equal texts match whole; rows
-with null ids, or repeating an id with the same text, are not compared with each other; an empty
-table gives an empty result; further columns are ignored.
+with null ids, or repeating an id with the same text, are not compared with each other; of an id with
+different texts the one with the greatest hash takes part, the others stay as they are; very long texts
+take part whole; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -171,22 +172,37 @@ def extended(pairs: DataFrame, words: DataFrame, least: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInArrow(local, "id long, first int, words int, of_doc long, of_first int")
 
 
+def disputed(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``of_id, hash``: ids with several texts, and the hash of the one that takes part."""
+    hashed = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("of_id"))
+    h = F.xxhash64(F.col("text").cast("string"))
+    return scratch.cut(hashed.agg(F.min(h).alias("low"), F.max(h).alias("hash")).where("low <> hash").select("of_id", "hash"), "disputed")
+
+
+def takes_part() -> Column:
+    return F.col("hash").isNull() | (F.col("hash") == F.xxhash64(F.col("text").cast("string")))
+
+
 def matches(spark: SparkSession, docs: DataFrame, *, least: int = 50, seed: int = 24, scratch: Scratch | None = None) -> DataFrame:
     """``id, first, words, of_doc, of_first``: repeated runs of words; the later place first."""
     if not 1 < seed <= least:
         raise ValueError("a seed must fit into the least match")
     scratch = scratch or Scratch(spark)
+    docs = docs.select("doc_id", "text")
+    several = disputed(docs, scratch)
+    docs = docs.join(several, docs["doc_id"].cast("long") == F.col("of_id"), "left").where(takes_part()).select("doc_id", "text")
     found = scratch.cut(suffixes(docs, seed, least), "suffixes")
     # seeds that occur once have no neighbours; partial counts drop them before anything is sorted
     often = scratch.cut(found.groupBy("seed_hash").agg(F.count("*").alias("n")).where("n > 1").select("seed_hash"), "often")
     kept = scratch.cut(found.join(often, "seed_hash", "left_semi"), "repeated")
-    scratch.drop(found)
+    scratch.drop(found, often)
     words = words_of(docs, kept.select("id").distinct(), scratch)
     firsts = scratch.cut(kept.groupBy("seed_hash", "context").agg(F.min(F.struct("id", "at")).alias("first")), "contexts")
-    several = firsts.groupBy("seed_hash").agg(F.count("*").alias("n")).where("n > 1")
-    places = firsts.join(several, "seed_hash", "left_semi").groupBy("first.id").agg(F.collect_set("first.at").alias("places"))
+    several_ = firsts.groupBy("seed_hash").agg(F.count("*").alias("n")).where("n > 1").select("seed_hash")
+    places = firsts.join(several_, "seed_hash", "left_semi").groupBy("first.id").agg(F.collect_set("first.at").alias("places"))
     runs = scratch.cut(runs_around(places, words, seed, least), "runs")
     near = [neighbours(t, [key], ["id", "at"], ["id", "at"], scratch) for t, key in ((kept, "context"), (runs, "run"))]
+    scratch.drop(firsts, kept, runs)
     both = near[0].unionByName(near[1])
     later = (F.col("id_1") > F.col("id_2")) | ((F.col("id_1") == F.col("id_2")) & (F.col("at_1") > F.col("at_2")))
     pick = lambda c, first: F.when(later == first, F.col(f"{c}_2")).otherwise(F.col(f"{c}_1"))
@@ -194,7 +210,10 @@ def matches(spark: SparkSession, docs: DataFrame, *, least: int = 50, seed: int
     pairs = pairs.where("a <> b or p <> q").select("a", "b", (F.col("q") - F.col("p")).alias("shift"), "p")
     # one row for two texts and a diagonal; its places are at most the minimisers of one text
     pairs = scratch.cut(pairs.groupBy("a", "b", "shift").agg(F.collect_set("p").alias("places")), "pairs")
-    return scratch.cut(extended(pairs, words, least), "matches")
+    scratch.release("neighbours")
+    out = scratch.cut(extended(pairs, words, least), "matches")
+    scratch.only(out, several)
+    return out
 
 
 def merged(found: DataFrame) -> DataFrame:
@@ -217,19 +236,23 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, *, least: int = 50, see
     ``removed`` marks the later place of a match, ``of_doc`` the document of the other place; the
     earlier place of each match is listed too, unmarked.
     """
-    found = matches(spark, docs, least=least, seed=seed)
+    scratch = Scratch(spark)
+    found = matches(spark, docs, least=least, seed=seed, scratch=scratch)
     later = found.select(F.col("id").alias("doc_id"), "first", "words", "of_doc", F.lit(True).alias("removed"))
     earlier = found.select(F.col("of_doc").alias("doc_id"), F.col("of_first").alias("first"), "words", F.col("id").alias("of_doc"), F.lit(False).alias("removed"))
     spans = later.unionByName(earlier).groupBy("doc_id", "first", "words").agg(F.max("removed").alias("removed"), F.min("of_doc").alias("of_doc"))
-    return spans.select("doc_id", "first", "words", "of_doc", "removed")
+    return scratch.result(spans.select("doc_id", "first", "words", "of_doc", "removed"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, *, least: int = 50, seed: int = 24) -> DataFrame:
     """``docs`` with the later places of repeated runs cut out of their texts; the columns stay.
 
-    A text that consists of repeats alone becomes empty. Rows with the same id are cut alike.
+    A text that consists of repeats alone becomes empty. Rows with the same id and text are cut alike.
     """
-    spans = Scratch(spark).cut(merged(matches(spark, docs, least=least, seed=seed)), "spans")
+    scratch = Scratch(spark)
+    spans = scratch.cut(merged(matches(spark, docs, least=least, seed=seed, scratch=scratch)), "spans")
+    several = disputed(docs, scratch)
+    spans = scratch.result(spans.join(several, spans["id"] == several["of_id"], "left").select(F.col("id").alias("__of_id"), F.col("spans").alias("__spans"), F.col("hash").alias("__hash")))
 
     @F.pandas_udf(T.StringType())
     def cut(texts, spans):
@@ -251,8 +274,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, *, least: int = 50, se
             out.append(b"".join([*parts, raw[at:]]).strip(b" \t\n\r\x0b\x0c").decode("utf-8"))
         return pd.Series(out)
 
-    renamed = spans.select(F.col("id").alias("__of_id"), F.col("spans").alias("__spans"))
-    joined = docs.join(renamed, docs["doc_id"] == F.col("__of_id"), "left")
-    marked = F.col("__spans").isNotNull()  # texts without spans stay out of Python
+    joined = docs.join(spans, docs["doc_id"] == F.col("__of_id"), "left")
+    own = F.col("__hash").isNull() | (F.col("__hash") == F.xxhash64(F.col("text").cast("string")))
+    marked = F.col("__spans").isNotNull() & own  # texts without spans stay out of Python
     text = F.when(marked, cut(F.when(marked, F.col("text").cast("string")), F.col("__spans"))).otherwise(F.col("text").cast("string"))
-    return joined.withColumn("text", text).drop("__of_id", "__spans")
+    return joined.withColumn("text", text).drop("__of_id", "__spans", "__hash")
