@@ -224,6 +224,14 @@ def socket_lines(spark, host: str, port: int) -> DataFrame:
     return spark.readStream.format("socket").option("host", host).option("port", port).load().withColumn("line_no", F.lit(0).cast("long"))
 
 
+def state_of(spark, checkpoint: str) -> DataFrame:
+    """What a stateful continuous query holds: each key with its partners, from the checkpoint of its stream."""
+    state = spark.read.format("statestore").load(checkpoint)
+    key, value = (state.select(f"{c}.*").columns for c in ("key", "value"))
+    held = "value.groupState" if "groupState" in value else "value"
+    return state.select(F.col(f"key.{key[0]}").alias("key"), f"{held}.last", f"{held}.partners")
+
+
 def run_available(out: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:
     """Run a stream over what is there and return its result from memory; for tests and small results."""
     writer = out.writeStream.format("memory").queryName(name).trigger(availableNow=True).outputMode("append")

@@ -73,8 +73,10 @@ def test_silent_keys_are_removed_by_watermarks(spark, tmp_path):
     plan = QueryPlanBuilder("e").compare_with(Box.of(0, 2)).receive_invalidations().invalidate_after_watermarks(3).build()
     got = C.continuous_range(marked(spark, ROWS), plan).select("kind", "key", "version_ts").collect()
     assert sorted(map(tuple, got), key=str) == WANT
-    live = C.run_available(C.continuous_range(replayed(spark, tmp_path, ROWS), plan), "idle").select("kind", "key", "version_ts").collect()
-    assert sorted(map(tuple, live), key=str) == WANT
+    rows = [*ROWS, ("kept", 1.0, 300, "TUPLE", 9)]
+    live = C.run_available(C.continuous_range(replayed(spark, tmp_path / "rows", rows), plan), "idle", str(tmp_path / "check")).select("kind", "key", "version_ts").collect()
+    assert sorted(map(tuple, live), key=str) == sorted([*WANT, ("TUPLE", "kept", 300)], key=str)
+    assert [(r.key, r["last"], r.partners) for r in C.state_of(spark, str(tmp_path / "check")).collect()] == [("kept", 9, [""])]
     # without invalidations there is no state
     stateless = QueryPlanBuilder("e").compare_with(Box.of(0, 2)).invalidate_after_watermarks(3).receive_watermarks().build()
     kinds = {(r.kind, r.n) for r in C.continuous_range(marked(spark, ROWS), stateless).groupBy("kind").agg(F.count("*").alias("n")).collect()}

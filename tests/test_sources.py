@@ -124,3 +124,33 @@ def test_command_line(spark, tmp_path):
     assert go("query_join", "--table", "g_t,g_t").count() == 2
     go("delete", "--table", "g_t", "--key", "k")
     assert go("query_time", "--table", "g_t", "--time", "0").count() == 1 and go("show_dgroup") == ["g"]
+
+
+def test_catalog_updates_and_streams(spark, tmp_path):
+    from quadrille.streaming.continuous import run_available
+
+    c = Catalog(spark, str(tmp_path / "db"))
+    c.create_group("g", 1)
+    c.create_table("g_t", TableConfig(duplicates=True))
+    row = lambda key, x, v: spark.createDataFrame([(key, x, x, "", v, v, "TUPLE")], "key string, lo_0 double, hi_0 double, data string, version_ts long, received_ts long, kind string")
+    c.put("g_t", row("a", 1.0, 10))
+    c.update("g_t", row("a", 2.0, 20))
+    c.update("g_t", row("b", 3.0, 5))
+    assert sorted((r.key, r.version_ts, r.kind) for r in c.table("g_t").collect()) == [("a", 10, "TUPLE"), ("a", 19, "DELETE"), ("a", 20, "TUPLE"), ("b", 5, "TUPLE")]
+    before = c._data("g_t")
+    c.compact("g_t")
+    assert c._data("g_t") != before and c.table("g_t").count() == 4
+    c.put_streaming_only("g_t", row("live", 4.0, 30))
+    assert c.table("g_t").where("key = 'live'").count() == 0
+    assert [r.key for r in run_available(c.stream("g_t"), "live").collect()] == ["live"]
+
+
+def test_routing_by_enlarged_boxes(spark):
+    from quadrille.functions.boxes import Box
+    from quadrille.operators import partition, tuples
+
+    regions = partition.StaticGrid(Box.of(0, 30), (10.0,)).regions()
+    t = tuples.to_tuples(spark.createDataFrame([(1, 9.5), (2, 15.0)], "id int, x double"), "id", ["x"], F.lit(0))
+    got = {(r.key, r.region_id, r.lo_0) for r in partition.assign(t, regions, 1.0).collect()}
+    assert got == {("1", 0, 9.5), ("1", 1, 9.5), ("2", 1, 15.0)}
+    assert {(r.key, r.region_id) for r in partition.StaticGrid(Box.of(0, 30), (10.0,)).assign(t).collect()} == {("1", 0), ("2", 1)}
