@@ -43,6 +43,8 @@ def merged(spark: SparkSession, components: DataFrame | None, links: DataFrame,
     """The components after further links, which are followed among the components they join alone."""
     if components is None:
         return connected_components(spark, links, scratch)
+    if links.isEmpty():
+        return components
     at = lambda side: components.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
     between = links.join(at("a"), "a", "left").join(at("b"), "b", "left")
     between = between.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).where("a <> b").distinct()

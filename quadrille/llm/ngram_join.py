@@ -311,7 +311,7 @@ def ngram_components(spark: SparkSession, docs: DataFrame, *, n: int = 5, percen
         settle(nearest(scored(pairs), ["b"]))
         scratch.release("near", "few")
     sets_ = reps.select("id", "n", *PARITIES)
-    for salt in (1, 2, None):  # twice one class of each component that has a member, then all
+    for salt in (1, None):  # one class of each component that has a member, then all
         rest = scratch.cut(open_tokens(tokens, components, salt), "open")
         pairs = scratch.cut(across(rest.select("token", "id", "c"), ["token"], sets_, percent), "across")
         if salt:

@@ -231,7 +231,7 @@ def line_components(spark: SparkSession, docs: DataFrame, found: DataFrame, scra
     met = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(near_parity(percent, "xn", "yn", "x", "y"))
     settle(met.groupBy("b").agg(F.min(F.struct(differing("x", "y"), "a")).alias("p")).select("p.a", "b"))
     scratch.release("pairs", "wanted")
-    for salt in (1, 2, None):  # twice one class of each component in a band, then all
+    for salt in (1, None):  # one class of each component in a band, then all
         rest = scratch.cut(open_members(members, components, salt), "open")
         pairs = scratch.cut(across(rest, ["token"], tokens.select("id", "n", *PARITIES), percent), "pairs")
         if salt:
