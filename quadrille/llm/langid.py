@@ -119,31 +119,78 @@ def path(scores: np.ndarray, penalty: float) -> np.ndarray:
     floor = np.minimum.accumulate(np.append(0.0, gain[:-1]))
     if float((gain - floor).max()) <= penalty:
         return np.full(n, best)
-    back = np.zeros((n, k), np.int64)
-    value = scores[0].astype(np.float64)
+    value, back = steps(None, scores, penalty)
+    return trace(int(value.argmax()), back)
+
+
+def steps(value: np.ndarray | None, scores: np.ndarray, penalty: float, keep: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The best sum for each label after these words, from that before them, and the label before each."""
+    n, k = scores.shape
+    back = np.zeros((n if keep else 1, k), np.int16)
     own = np.arange(k)
-    for t in range(1, n):
+    back[0] = own
+    for t in range(n):
+        if value is None:
+            value = scores[0].astype(np.float64)
+            continue
         top = int(value.argmax())
         switch = value[top] - penalty
         stay = value >= switch
-        back[t] = np.where(stay, own, top)
+        back[t if keep else 0] = np.where(stay, own, top)
         value = np.where(stay, value, switch) + scores[t]
-    out = np.empty(n, np.int64)
-    out[-1] = int(value.argmax())
-    for t in range(n - 1, 0, -1):
+    return value, back
+
+
+def trace(last: int, back: np.ndarray) -> np.ndarray:
+    """The labels of these words, from that of the last and the label before each."""
+    out = np.empty(len(back), np.int64)
+    out[-1] = last
+    for t in range(len(back) - 1, 0, -1):
         out[t - 1] = back[t, out[t]]
     return out
 
 
+def long_path(parts: list, penalty: float) -> list[np.ndarray]:
+    """``path`` over parts of a text, whose scores are made one part at a time by calling ``parts``."""
+    best = int(sum(p().sum(0, dtype=np.float64) for p in parts).argmax())
+    gain = floor = most = 0.0
+    for p in parts:
+        scores = p()
+        if scores.shape[1] > 1 and len(scores):
+            run = gain + np.cumsum(np.delete(scores, best, 1).max(1) - scores[:, best], dtype=np.float64)
+            low = np.minimum.accumulate(np.append(min(floor, gain), run[:-1]))
+            most, gain, floor = max(most, float((run - low).max())), float(run[-1]), float(low[-1])
+    if most <= penalty:
+        return [np.full(len(p()), best) for p in parts]
+    value, before = None, []
+    for p in parts:
+        before.append(value)
+        if len(scores := p()):
+            value, _ = steps(value, scores, penalty, keep=False)
+    last, out = int(value.argmax()), []
+    for p, start in zip(parts[::-1], before[::-1], strict=True):
+        scores = p()
+        if len(scores):
+            _, back = steps(start, scores, penalty)
+            labels = trace(last, back)
+            last = int(back[0, labels[0]])
+        out.append(labels if len(scores) else np.zeros(0, np.int64))
+    return out[::-1]
+
+
 def label(model: Model, text: str | None, penalty: float) -> tuple[str, float, list[tuple[int, int, str]]]:
     """Language, score, and the spans: first word, number of words, language."""
     if not model.names or not has_letter(text):
         return "und", 0.0, []
-    parts = [model.word_scores(buf) for buf in pieces(text)]
-    scores, length = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    if not len(scores):
+    bufs = list(pieces(text))
+    if len(bufs) == 1:
+        scores, length = model.word_scores(bufs[0])
+        labels = path(scores, penalty) if len(scores) else length
+    else:  # scores of one piece at a time, made again for each pass
+        length = np.concatenate([grams(buf)[2] for buf in bufs])
+        labels = np.concatenate(long_path([lambda buf=buf: model.word_scores(buf)[0] for buf in bufs], penalty)) if len(length) else length
+    if not len(labels):
         return "und", 0.0, []
-    labels = path(scores, penalty)
     weight = np.bincount(labels, weights=length, minlength=len(model.names))
     top = int(weight.argmax())
     edges = np.append(0, np.flatnonzero(np.diff(labels)) + 1)
@@ -154,11 +201,11 @@ def label(model: Model, text: str | None, penalty: float) -> tuple[str, float, l
 def fit(docs: DataFrame, training: Column, lang: str = "lang", most_languages: int = 200) -> Model:
     """Learn from the texts and languages of all rows where ``training`` holds."""
     bound_batches(docs.sparkSession)
-    sums = count(docs.where(training), lang)
-    rows = sums.toArrow()  # at most most_languages times BUCKETS rows, checked below
+    learned = docs.where(training)
+    if learned.where(F.col("text").isNotNull() & F.col(lang).isNotNull()).select(lang).distinct().limit(most_languages + 1).count() > most_languages:
+        raise ValueError(f"over {most_languages} languages; the model holds no more")
+    rows = count(learned, lang).toArrow()  # at most most_languages times BUCKETS rows
     names = sorted(set(rows["lang"].to_pylist()))
-    if len(names) > most_languages:
-        raise ValueError(f"{len(names)} languages; the model holds {most_languages}")
     table = np.zeros((len(names), BUCKETS + len(SCRIPTS)), np.int64)
     if names:
         place = np.searchsorted(np.array(names), np.array(rows["lang"].to_pylist()))

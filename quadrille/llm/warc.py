@@ -20,6 +20,7 @@ import gzip
 import hashlib
 import io
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,22 +55,25 @@ def _line(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
 
 
-def _urn(page_id: Column, kind: str) -> Column:
-    return F.concat(F.lit(f"<urn:x-{kind}:"), page_id.cast("string"), F.lit(">"))
+def _urn(page_id: Column, payload_digest: Column, kind: str) -> Column:
+    """A record's id: a UUID made from a hash of what names it, so that a task run again gives the same."""
+    h = F.md5(F.concat_ws("\x1f", F.lit(kind), F.coalesce(page_id.cast("string"), F.lit("none")), payload_digest).cast("binary"))
+    part = lambda at, n: F.substring(h, at, n)
+    return F.concat(F.lit("<urn:uuid:"), part(1, 8), F.lit("-"), part(9, 4), F.lit("-3"), part(14, 3), F.lit("-8"), part(18, 3), F.lit("-"), part(21, 12), F.lit(">"))
 
 
-def record(page_id: Column, url: Column, payload: Column, size: Column, payload_digest: Column, refers_to: Column, date: str, kind: str) -> Column:
-    """One WARC/1.1 record: a response, or a revisit where ``revisit`` says so; bytes as a string."""
+def record(page_id: Column, url: Column, payload: Column, size: Column, payload_digest: Column, refers_to: Column, date: str, kind: str, refers_to_url: Column | None = None) -> Column:
+    """One WARC/1.1 record: a response, or a revisit where there is no payload; bytes as a string."""
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size.cast("string"), F.lit(END))
     revisit = payload.isNull()
     return F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")), F.lit("\r\n"),
-        _line("WARC-Record-ID", F.coalesce(_urn(page_id, kind), F.lit(f"<urn:x-{kind}:none>"))),
+        _line("WARC-Record-ID", _urn(page_id, payload_digest, kind)),
         F.lit(f"WARC-Date: {date}\r\n"),
         _line("WARC-Target-URI", _uri(url)),
         _line("WARC-X-Page-Id", page_id.cast("string")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), payload_digest)),
-        F.when(revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\n"), _line("WARC-Refers-To", _urn(refers_to, kind)), _line("WARC-X-Refers-To-Page-Id", refers_to.cast("string")))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\n"), _line("WARC-Refers-To", _urn(refers_to, payload_digest, kind)), _line("WARC-Refers-To-Target-URI", _uri(F.lit(None).cast("string") if refers_to_url is None else refers_to_url)), F.lit(f"WARC-Refers-To-Date: {date}\r\n"), _line("WARC-X-Refers-To-Page-Id", refers_to.cast("string")))).otherwise(F.lit("")),
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "),
         (F.octet_length(http) + F.coalesce(F.octet_length(payload), F.lit(0))).cast("string"), F.lit(END),
         http, F.coalesce(payload.cast("string"), F.lit("")),
@@ -145,29 +149,33 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
 
 
 def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Revisits among headers of responses: ``page_id, payload_digest, refers_to``, once each.
+    """Revisits among headers of responses: ``page_id, payload_digest, refers_to, refers_to_url``, once each.
 
     Of equal payloads the largest id is the response. ``headers`` is read twice.
     """
     whole = headers.where(F.col("payload_bytes") >= min_bytes)
-    originals = whole.groupBy(F.col("payload_digest").alias("of_digest")).agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
+    originals = whole.groupBy(F.col("payload_digest").alias("of_digest")).agg(F.max("page_id").alias("refers_to"), F.max_by("target_uri", F.struct("page_id", "target_uri")).alias("refers_to_url"), F.count("*").alias("n")).where("n > 1")
     met = whole.join(originals, F.col("payload_digest") == F.col("of_digest")).where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
-    return met.select("page_id", "payload_digest", "refers_to").distinct()
+    return met.select("page_id", "payload_digest", "refers_to", "refers_to_url").distinct()
 
 
-def deduplicated_archives(spark: SparkSession, pages: DataFrame, *, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """Archive ``pages``, resolve repeated payloads, write archives with revisits and read them back."""
+def deduplicated_archives(spark: SparkSession, pages: DataFrame, *, min_bytes: int = 0, date: str | None = None) -> DataFrame:
+    """Archive ``pages``, resolve repeated payloads, write archives with revisits and read them back.
+
+    ``date`` stands in all records; where it is not given, the time of the call does.
+    """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     scratch = Scratch(spark)
     first, second = scratch.path("archive"), scratch.path("deduplicated")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     none = F.lit(None).cast("long")
     write_warc(p.select(record(F.col("page_id"), F.col("url"), F.col("payload"), F.octet_length("payload"), digest(F.col("payload")), none, date, "crawl")), first)
-    headers = scratch.cut(read_warc(spark, first).select("page_id", "payload_digest", "payload_bytes"), "headers")
+    headers = scratch.cut(read_warc(spark, first).select("page_id", "target_uri", "payload_digest", "payload_bytes"), "headers")
     revisits = scratch.cut(resolve(headers, min_bytes).withColumnsRenamed({"page_id": "of_page", "payload_digest": "of_digest"}), "revisits")
     bodies = read_warc(spark, first, payloads=True).drop("refers_to")
     joined = bodies.join(revisits, F.col("page_id").eqNullSafe(F.col("of_page")) & (F.col("payload_digest") == F.col("of_digest")), "left")
     kept = F.when(F.col("of_digest").isNull(), F.col("payload"))
-    write_warc(joined.select(record(F.col("page_id"), F.col("target_uri"), kept, F.col("payload_bytes"), F.col("payload_digest"), F.col("refers_to"), date, "deduplicated")), second)
+    write_warc(joined.select(record(F.col("page_id"), F.col("target_uri"), kept, F.col("payload_bytes"), F.col("payload_digest"), F.col("refers_to"), date, "deduplicated", F.col("refers_to_url"))), second)
     scratch.drop(headers, revisits)
     return read_warc(spark, second).select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")

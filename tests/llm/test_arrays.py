@@ -256,3 +256,20 @@ def test_common_subsequence():
             for j, b in enumerate(y):
                 table[i + 1, j + 1] = table[i, j] + 1 if a == b else max(table[i, j + 1], table[i + 1, j])
         assert decontaminate.common_subsequence(x, y) == table[-1, -1]
+
+
+def test_paths_of_long_texts(monkeypatch):
+    """A text in pieces has the labels, score and spans that it has in one."""
+    rng = random.Random(3)
+    counts = np.random.default_rng(4).integers(0, 50, (3, langid.BUCKETS + len(langid.SCRIPTS))) ** 3
+    model = langid.Model(["a", "b", "c"], counts)
+    for texts in (20, 400, 3000):
+        text = "   ".join("".join(rng.choice("abcdeé\u0431\u4e00") for _ in range(rng.randint(1, 9))) for _ in range(texts))
+        for penalty in (0.5, 12.0, 1e9):
+            monkeypatch.setattr(langid, "PIECE", 1 << 20)
+            whole = langid.label(model, text, penalty)
+            for piece in (64, 500):
+                monkeypatch.setattr(langid, "PIECE", piece)
+                assert langid.label(model, text, penalty) == whole
+    monkeypatch.setattr(langid, "PIECE", 4)
+    assert langid.label(model, "1 2 3 4 5 6 x", 1.0)[2] == [(0, 1, langid.label(model, "x", 1.0)[0])]
