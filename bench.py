@@ -12,14 +12,16 @@ sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 from quadrille.functions.boxes import Box  # noqa: E402
 from quadrille.operators import queries  # noqa: E402
-from quadrille.plans import registry  # noqa: E402
+from quadrille.plans import format_queries, registry  # noqa: E402, F401  the first adds its queries to the second
 from quadrille.plans.continuous import QueryPlanBuilder  # noqa: E402
 from quadrille.streaming import continuous  # noqa: E402
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+SMALL = os.path.join(os.path.dirname(SF.rstrip("/")), "sf0.001")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 NAMES = ["key_lookup", "newest_per_key", "range_lineitem_3d", "range_after_resolution", "spatial_join_2way", "spatial_join_3way", "cell_histogram", "kd_sampled_balance", "continuous_range_invalidation", "continuous_join", "compact_table"]
 
@@ -39,13 +41,25 @@ def streamed(s: SparkSession, d: str) -> DataFrame:
     return continuous.run_available(continuous.continuous_range(t, plan), f"bench{time.time_ns()}")
 
 
+def nested(s: SparkSession, d: str) -> DataFrame:
+    """The join without an index, every order against every line item: a baseline on the smallest tables."""
+    from quadrille.functions import boxes
+
+    one, two = (t.select(*(F.col(c).alias(p + c) for c in t.columns)) for t, p in ((registry.orders(s, SMALL), "l_"), (registry.lines(s, SMALL), "r_")))
+    return one.crossJoin(F.broadcast(two)).where(boxes.meets(2, "l_", "r_"))
+
+
+def gridded(s: SparkSession, d: str) -> DataFrame:
+    return registry.QUERIES["spatial_join_2way"](s, SMALL)
+
+
 def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]").config("spark.sql.shuffle.partitions", CPUS).config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    todo = {n: registry.QUERIES[n] for n in NAMES} | {f"range_share_{x:g}": ladder(x) for x in (0.001, 0.01, 0.1, 1.0)} | {"stream_range": streamed}
+    todo = {n: registry.QUERIES[n] for n in NAMES} | {f"range_share_{x:g}": ladder(x) for x in (0.001, 0.01, 0.1, 1.0)} | {"stream_range": streamed} | ({"small_join_nested": nested, "small_join_grid": gridded} if os.path.isdir(SMALL) else {})
     took = {}
     for name, q in todo.items():
         runs = []
