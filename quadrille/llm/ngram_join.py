@@ -308,7 +308,7 @@ def ngram_components(spark: SparkSession, docs: DataFrame, *, n: int = 5, percen
             tokens = scratch.cut(some.distinct(), "tokens")
         pairs = scratch.cut(near.where("c_1 <> c_2" if again else "true").select(*ordered).distinct(), "near")
         scratch.release("neighbours")
-        settle(nearest(scored(pairs), ["b"]))
+        settle(nearest_of_each(scratch.cut(scored(pairs), "near")))
         scratch.release("near", "few")
     sets_ = reps.select("id", "n", *PARITIES)
     for salt in (1, None):  # one class of each component that has a member, then all
@@ -350,3 +350,8 @@ def across(rows: DataFrame, key: list[str], sets: DataFrame, percent: int) -> Da
 def nearest(pairs: DataFrame, of: list[str]) -> DataFrame:
     """Of the pairs ``a, b, far`` the nearest of each group."""
     return pairs.groupBy(*of).agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b")
+
+
+def nearest_of_each(pairs: DataFrame) -> DataFrame:
+    """Of the pairs ``a, b, far`` the nearest of each class, whichever side it is on."""
+    return nearest(pairs, ["a"]).union(nearest(pairs, ["b"])).distinct()

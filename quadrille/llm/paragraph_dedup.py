@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from quadrille.llm import wordhash
 from quadrille.llm.common import Scratch
 from quadrille.llm.components import merged, neighbours
-from quadrille.llm.ngram_join import PARITIES, across, differing, ids_filter, near_parity, nearest, parities, passes
+from quadrille.llm.ngram_join import PARITIES, across, differing, ids_filter, near_parity, nearest, nearest_of_each, parities, passes
 from quadrille.llm.sparse_suffix import minimisers
 
 U = np.uint64
@@ -229,8 +229,8 @@ def line_components(spark: SparkSession, docs: DataFrame, found: DataFrame, scra
     tokens = words_of(docs, wanted, n, min_words, scratch)
     side = lambda of, p: tokens.select(F.col("id").alias(of), *(F.col(c).alias(p + c) for c in ("n", *PARITIES)))
     met = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(near_parity(percent, "xn", "yn", "x", "y"))
-    settle(met.groupBy("b").agg(F.min(F.struct(differing("x", "y"), "a")).alias("p")).select("p.a", "b"))
-    scratch.release("pairs", "wanted")
+    settle(nearest_of_each(scratch.cut(met.select("a", "b", differing("x", "y").alias("far")), "near")))
+    scratch.release("pairs", "wanted", "near")
     for salt in (1, None):  # one class of each component in a band, then all
         rest = scratch.cut(open_members(members, components, salt), "open")
         pairs = scratch.cut(across(rest, ["token"], tokens.select("id", "n", *PARITIES), percent), "pairs")
