@@ -7,7 +7,8 @@ under every order. All orders put n-grams with rare words first (by counts over
 corpus, which a bounded table of the most frequent words carries) and differ in how they rank the
 rest, so a passage that many documents share seldom reaches a prefix.
 
-Links are found up to components, and no group is ever gathered or multiplied out:
+Links are found up to components, and no group is ever gathered. Only the last join meets members pair
+by pair, of different components alone; a row comes out where a link is possible:
 
 1. Rows with equal sets become one class, named by the number of one of its rows.
 2. The prefixes' members are sorted by size; neighbours in that order that pass the size test are

@@ -11,7 +11,8 @@ MinHash signature over its runs of ``n`` words, cut into bands, whose number and
 recall at the threshold. Bands are sorted and neighbours are compared; of each class the nearest is verified,
 by a bound on the symmetric difference from parities of the sets. Then classes that still lie in different
 components are joined across components only, where that bound allows the similarity: first one class of
-each component in a band, then all that are left. So a group of copies costs rows in proportion to its size.
+each component in a band, then all that are left. Only that join meets classes pair by pair, of different
+components alone; a row comes out where a link is possible.
 Candidates are verified on whole paragraphs by the exact Jaccard similarity of their word runs. Sections are
 copies only if equal: of so few words, one changed inside leaves less than the similarity. Components of the links are the
 groups; the first paragraph of each (by document, then place) stays.
