@@ -300,6 +300,7 @@ def ngram_components(spark: SparkSession, docs: DataFrame, *, n: int = 5, percen
 
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
     ordered = (F.least("id_1", "id_2").alias("a"), F.greatest("id_1", "id_2").alias("b"))
+    possible: DataFrame | None = None
     for again in (False, True):
         # The second round sorts equal members by a hash, and leaves out those with one component.
         at, sort = (open_tokens(tokens, components).withColumn("mixed", F.xxhash64("id")), ["mixed", "id"]) if again else (tokens, ["n", "id"])
@@ -309,8 +310,19 @@ def ngram_components(spark: SparkSession, docs: DataFrame, *, n: int = 5, percen
             tokens = scratch.cut(some.distinct(), "tokens")
         pairs = scratch.cut(near.where("c_1 <> c_2" if again else "true").select(*ordered).distinct(), "near")
         scratch.release("neighbours")
-        settle(nearest_of_each(scratch.cut(scored(pairs), "near")))
+        near = scratch.cut(scored(pairs), "scored")
+        settle(nearest_of_each(near))
         scratch.release("near", "few")
+        if not again:
+            # Two classes that alone share a member were neighbours, so the member has no further pair to offer.
+            possible = near
+            several = tokens.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > 2).select("token")
+            tokens = scratch.cut(tokens.join(several, "token", "left_semi"), "several")
+            scratch.release("tokens")
+    at = lambda side, c: components.select(F.col("node").alias(side), F.col("component").alias(c))
+    pending = possible.join(at("a", "c"), "a", "left").join(at("b", "d"), "b", "left")
+    settle(pending.where(F.coalesce("c", "a") != F.coalesce("d", "b")).select("a", "b"))
+    scratch.release("scored")
     sets_ = reps.select("id", "n", *PARITIES)
     for salt in (1, None):  # one class of each component that has a member, then all
         rest = scratch.cut(open_tokens(tokens, components, salt), "open")
