@@ -12,8 +12,9 @@ by pair, of different components alone; a row comes out where a link is possible
 
 1. Rows with equal sets become one class, named by the number of one of its rows.
 2. The prefixes' members are sorted by size; neighbours in that order that pass the size test are
-   scored by a bound on the symmetric difference: sets whose parities differ in more of 1024 hash
-   slots than their sizes allow cannot link. Of each class the nearest neighbour is verified, after
+   scored by a bound on the symmetric difference: sets whose parities differ in more hash slots than
+   their sizes allow cannot link. The slots are 1024 at first; of pairs that pass, sets of more members
+   are held against each other on as many slots as they have members. Of each class the nearest neighbour is verified, after
    the tests under the other orders. This is repeated with another order inside equal members. It
    links most groups of copies in as many rows as they have.
 3. Members whose classes still lie in different components are joined, across components only and
@@ -90,6 +91,7 @@ def frequency(h: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndar
 
 
 PARITIES = [f"q{i}" for i in range(16)]
+SLOTS = 64 * len(PARITIES)
 
 
 def parities(members: np.ndarray) -> np.ndarray:
@@ -98,6 +100,24 @@ def parities(members: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
+def wide_parities(members: np.ndarray) -> bytes | None:
+    """For a set of more than 1024 members, on which 1024 slots fill up: the parities of at least as many slots
+    as it has members, a power of two."""
+    if len(members) <= SLOTS:
+        return None
+    width = (len(members) - 1).bit_length()
+    odd = np.bincount((members >> U(64 - width)).astype(np.int64), minlength=1 << width) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def wide_differing(one: bytes | pa.Buffer, two: bytes | pa.Buffer) -> int:
+    """In how many slots two sets' wide parities differ, on the slots of the one that has fewer."""
+    x, y = (np.unpackbits(np.frombuffer(q, np.uint8)) for q in sorted((one, two), key=len))
+    if len(x) < len(y):  # slots are leading bits of hashes, so neighbours make up a wider slot
+        y = np.bitwise_xor.reduce(y.reshape(len(x), -1), axis=1)
+    return int(np.count_nonzero(x != y))
+
+
 def differing(one: str, two: str):
     """In how many slots two sets' parities differ: at most as many as members that only one has."""
     return sum((F.bit_count(F.col(f"{one}{q}").bitwiseXOR(F.col(f"{two}{q}"))) for q in PARITIES[1:]), F.bit_count(F.col(f"{one}{PARITIES[0]}").bitwiseXOR(F.col(f"{two}{PARITIES[0]}"))))
@@ -153,8 +173,8 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, sets) -> DataFrame:
-    """``row, doc_id, n, key_1, key_2, q0.., p0``: size, fingerprint, parities and first prefix of each set."""
-    names = ["row", "doc_id", "n", "key_1", "key_2", *PARITIES, "p0"]
+    """``row, doc_id, n, key_1, key_2, q0.., wide, p0``: size, fingerprint, parities and first prefix of each set."""
+    names = ["row", "doc_id", "n", "key_1", "key_2", *PARITIES, "wide", "p0"]
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -165,16 +185,18 @@ def signatures(docs: DataFrame, sets) -> DataFrame:
                 part = b.slice(at, 500)
                 n = part.num_rows
                 sizes, keys, odd, prefixes = np.zeros(n, np.int64), np.zeros((2, n), U), np.zeros((n, len(PARITIES)), np.int64), []
+                wide = []
                 for i, h in enumerate(wordhash.many(part.column("text").to_pylist())):
                     members, (p,) = s.prefixes(h, SEEDS[:1])
                     sizes[i], keys[:, i], odd[i] = len(members), fingerprint(members), parities(members)
+                    wide.append(wide_parities(members))
                     prefixes.append(p.view(np.int64))
                 columns = [pa.array(np.arange(row, row + n)), part.column("doc_id"), pa.array(sizes), *(pa.array(k.view(np.int64)) for k in keys)]
                 columns += [pa.array(np.ascontiguousarray(q)) for q in odd.T]
                 row += n
-                yield pa.RecordBatch.from_arrays([*columns, lists(prefixes, pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(wide, pa.binary()), lists(prefixes, pa.int64())], names)
 
-    schema = "row long, doc_id long, n long, key_1 long, key_2 long, " + ", ".join(f"{q} long" for q in PARITIES) + ", p0 array<long>"
+    schema = "row long, doc_id long, n long, key_1 long, key_2 long, " + ", ".join(f"{q} long" for q in PARITIES) + ", wide binary, p0 array<long>"
     return texts(docs).mapInArrow(local, schema)
 
 
@@ -249,8 +271,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+            for x, y in zip(b.column("x"), b.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -261,6 +283,24 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", "x", "y").mapInArrow(local, "a long, b long")
 
 
+def allowed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs ``a, b, far, small`` whose wide parities allow a link, with these as ``far``; ``small`` is
+    the smaller set's size. Only pairs of which both sets have more than 1024 members are looked at."""
+    names = pairs.columns
+    schema = pairs.schema
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            far = np.array([wide_differing(x.as_buffer(), y.as_buffer()) for x, y in zip(b.column("x"), b.column("y"), strict=True)], np.int32)
+            keep = (100 + percent) * far.astype(np.int64) <= (100 - percent) * b.column("sizes").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(far) if c == "far" else b.column(c) for c in names], names).filter(pa.array(keep))
+
+    wide = sets.where(F.col("n") > SLOTS)
+    long = pairs.where(F.col("small") > SLOTS).join(wide.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("wide").alias("x")), "a")
+    long = long.join(wide.select(F.col("id").alias("b"), "n", F.col("wide").alias("y")), "b").select(*names, "x", "y", (F.col("m") + F.col("n")).alias("sizes"))
+    return pairs.where(F.col("small") <= SLOTS).unionByName(long.mapInArrow(local, schema))
+
+
 def ids_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
 
@@ -296,7 +336,9 @@ def ngram_components(spark: SparkSession, docs: DataFrame, *, n: int = 5, percen
         some = scratch.cut(reps.select("id", "n", *PARITIES).join(ids_of(pairs), "id", "left_semi"), "few")
         side = lambda of, p: some.select(F.col("id").alias(of), *(F.col(c).alias(p + c) for c in ("n", *PARITIES)))
         met = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-        return met.where(near_parity(percent, "xn", "yn", "x", "y")).select("a", "b", differing("x", "y").alias("far"))
+        met = met.where(near_parity(percent, "xn", "yn", "x", "y"))
+        met = scratch.cut(met.select("a", "b", differing("x", "y").alias("far"), F.least("xn", "yn").alias("small")), "met")
+        return allowed(met, reps, percent)
 
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
     ordered = (F.least("id_1", "id_2").alias("a"), F.greatest("id_1", "id_2").alias("b"))
@@ -312,7 +354,7 @@ def ngram_components(spark: SparkSession, docs: DataFrame, *, n: int = 5, percen
         scratch.release("neighbours")
         near = scratch.cut(scored(pairs), "scored")
         settle(nearest_of_each(near))
-        scratch.release("near", "few")
+        scratch.release("near", "few", "met")
         if not again:
             # Two classes that alone share a member were neighbours, so the member has no further pair to offer.
             possible = near
@@ -326,11 +368,12 @@ def ngram_components(spark: SparkSession, docs: DataFrame, *, n: int = 5, percen
     sets_ = reps.select("id", "n", *PARITIES)
     for salt in (1, None):  # one class of each component that has a member, then all
         rest = scratch.cut(open_tokens(tokens, components, salt), "open")
-        pairs = scratch.cut(across(rest.select("token", "id", "c"), ["token"], sets_, percent), "across")
+        pairs = scratch.cut(across(rest.select("token", "id", "c"), ["token"], sets_, percent), "met")
+        pairs = scratch.cut(allowed(pairs, reps, percent), "across")
         if salt:
             pairs = nearest(pairs, ["c", "d"])
         settle(pairs.select("a", "b"))
-        scratch.release("open", "across")
+        scratch.release("open", "met", "across")
     groups = classes.join(components.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     groups = scratch.cut(groups, "groups")
     firsts = groups.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -351,13 +394,13 @@ def open_tokens(tokens: DataFrame, components: DataFrame, salt: int | None = Non
 
 
 def across(rows: DataFrame, key: list[str], sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b, c, d, far``: pairs of classes of two components that have a key in common and may link, by
-    sizes and parities; ``far`` is the number of slots in which these differ. ``sets`` has ``id, n, q0..``."""
+    """``a, b, c, d, far, small``: pairs of classes of two components that have a key in common and may link, by
+    sizes and parities; ``far`` is the number of slots in which these differ, ``small`` the smaller size. ``sets`` has ``id, n, q0..``."""
     rows = rows.join(sets, "id")
     side = lambda of, c, p: rows.select(*key, F.col("id").alias(of), F.col("c").alias(c), *(F.col(x).alias(p + x) for x in ("n", *PARITIES)))
     fits = 100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")
     met = side("x", "c", "x").join(side("y", "d", "y"), key).where((F.col("c") < F.col("d")) & fits & near_parity(percent, "xn", "yn", "x", "y"))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "c", "d", differing("x", "y").alias("far")).distinct()
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "c", "d", differing("x", "y").alias("far"), F.least("xn", "yn").alias("small")).distinct()
 
 
 def nearest(pairs: DataFrame, of: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from quadrille.llm import decontaminate, langid, packing, paragraph_dedup, quality_rank, recurrent_lm, sparse_suffix, warc, wordhash
-from quadrille.llm.ngram_join import Sets, prefix_size
+from quadrille.llm.ngram_join import Sets, parities, prefix_size, wide_differing, wide_parities
 
 TOKENIZER = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 
@@ -53,6 +53,21 @@ def test_prefixes_of_linked_sets_meet():
             assert all(len(np.intersect1d(a, b)) for a, b in zip(p, q))
 
 
+def test_wide_parities_bound_the_difference():
+    rng = np.random.default_rng(3)
+    draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+    assert wide_parities(draw(1024)) is None
+    for n in (1025, 2040, 4090, 9000):
+        x = draw(n)
+        y = np.concatenate([x[n // 10 :], draw(n // 6)])  # the sizes' powers of two differ for some
+        for other, same in ((y, True), (draw(n), False)):
+            far = wide_differing(wide_parities(x), wide_parities(other))
+            assert far <= len(np.setxor1d(x, other))
+            assert (180 * far <= 20 * (n + len(other))) == same or same
+        if n > 4000:  # 1024 slots say nothing here
+            assert 180 * np.unpackbits((parities(x) ^ parities(draw(n))).view(np.uint8)).sum() <= 20 * 2 * n
+
+
 def test_minimisers_against_windows():
     h = wordhash.mix(np.random.default_rng(1).integers(0, 40, 400).astype(np.uint64))
     runs = wordhash.ngrams(h, 5)

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quadrille.llm import queries
+from quadrille.llm import ngram_join, queries
 from quadrille.llm.adaptive_rules import adaptive_rules
 from quadrille.llm.components import connected_components, neighbours
 from quadrille.llm.common import Scratch
@@ -152,6 +152,24 @@ def test_ngram_components_of_hot_members(spark):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 3, 80)
 
 
+def test_ngram_components_of_long_texts(spark, monkeypatch):
+    """Long texts that share a rare passage alone are told apart before their whole sets are fetched."""
+    rng = random.Random(21)
+    passage = " ".join(f"rare{i}" for i in range(8))
+    rows = [(i, " ".join([prose(rng, 1500), passage, prose(rng, 1500)])) for i in range(8)]
+    for i in (2, 5):
+        w = rows[i][1].split()
+        for k in rng.sample(range(1400), 50):
+            w[k] = "changed"
+        rows.append((20 + i, " ".join(w)))
+    fetched = []
+    real = ngram_join.members_of
+    monkeypatch.setattr(ngram_join, "members_of", lambda docs, wanted, *a: fetched.extend(r.doc_id for r in wanted.collect()) or real(docs, wanted, *a))
+    got = ngram_components(spark, spark.createDataFrame(rows, "doc_id long, text string"), n=3, percent=80).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 3, 80)
+    assert set(fetched) == {2, 5, 22, 25}
+
+
 def test_quality(spark, docs):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(6, 1, 0), (None, 1, 0), (99, None, 0)], "doc_id long, quality int, toxic int")
     got = rank_quality(docs, labels, ~held_out())
