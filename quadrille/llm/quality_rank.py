@@ -2,21 +2,24 @@
 
 Preference pairs join a document marked good with one marked bad; the model learns weights by the
 logistic loss on differences of their features, so that the better one gets the higher utility. A
-quantile of the training utilities becomes the threshold, which the score maps to ``cut``.
+threshold on the utilities, the one that sets good and bad rows apart best, is mapped to ``cut`` by the
+score.
 
-The pairs come from at most ``most_labels`` labelled training rows, those with the smallest hashes
-of their ids; this bounds the fit, whose features are gathered on the driver. Scoring reads every
-text whole.
+All labelled training rows take part, each in pairs with every row of the other mark. How a row fares against
+all of them depends on its own utility and on the histogram of theirs, so Newton's steps need no table of
+pairs: two passes over the features a step, of which sums of fixed size reach the driver. Features
+are made once from whole texts and written; the fit and the scoring read them.
 
 Defined results: a null or empty text has the features of no words and gets a score like any other;
-rows without a label are only scored; repeated rows are scored each; without labels of both kinds
+rows without a label are only scored; repeated rows are scored each, and all texts of a labelled id have its label; without labels of both kinds
 every score is 0.5; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm import wordhash
-from quadrille.llm.common import bound_batches
+from quadrille.llm.common import Scratch
 
 HASHED = 64  # slots of hashed words
 NAMES = ("log_words", "log_bytes", "word_bytes", "upper", "digit", "sign", "space", "line", "high", "distinct", "distinct_lines", "repeat", "sign_end", "single_sign", "log_longest")
 WIDTH = len(NAMES) + HASHED
 PART = 1 << 20
+REACH = 64.0  # utilities beyond it count as this
+FINE, COARSE = 4096, 256  # bins of utilities for gradients and for the terms of pairs in the curvature
+LEVELS = 1 << 14  # bins for the threshold
+SLOTS = 32  # sums that reach the driver
 
 _UPPER, _DIGIT, _SIGN, _HIGH = (np.zeros(256, bool) for _ in range(4))
 _UPPER[65:91] = True
@@ -70,24 +77,51 @@ def features(text: bytes | None) -> np.ndarray:
     return out
 
 
-def labelled(docs: DataFrame, labels: DataFrame, training, label: str, most_labels: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the bounded sample, on the driver.
+def featured(docs: DataFrame) -> DataFrame:
+    """``doc_id, x``: the features of each row's text, as 32-bit floats."""
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [features(t).astype(np.float32).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(x, pa.binary())], ["doc_id", "x"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(local, "doc_id long, x binary")
+
+
+def labelled(rows: DataFrame, labels: DataFrame, training, label: str) -> DataFrame:
+    """``x, y`` of every row that has a label where ``training`` holds; of several labels the greatest counts."""
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(training)
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    return rows.join(known, "doc_id").select("x", "y")
 
-    Only the sample's ids, at most ``most_labels``, are broadcast to find its texts.
-    """
-    some = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(training).select("doc_id", F.col(label).cast("int").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
+
+def vectors(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, WIDTH).astype(np.float64)
+
+
+def summed(rows: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray | None:
+    """The sum over all rows ``x, y`` of a function of blocks of them; None without rows."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, total = TaskContext.get().partitionId(), None
         for b in batches:
-            x = [features(t).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(x, pa.binary())], ["doc_id", "y", "x"])
+            if b.num_rows:
+                found = of(vectors(b.column("x")), b.column("y").to_numpy())
+                total = found if total is None else total + found
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part % SLOTS], pa.int32()), pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slot", "part", "total"])
+
+    def together(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted(((r["slot"], r["part"], r["total"]) for b in parts for r in b.to_pylist()), key=lambda r: r[1])
+        total = sum(np.frombuffer(r[2], np.float64) for r in held)
+        yield pa.RecordBatch.from_arrays([pa.array([held[0][0]], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slot", "total"])
 
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(some), "doc_id")
-    # Of an id with several texts the one with the greatest features counts, so the sample keeps its bound.
-    found = texts.select("doc_id", "y", "text").mapInArrow(local, "doc_id long, y int, x binary").groupBy("doc_id").agg(F.max("x").alias("x"), F.max("y").alias("y"))
-    rows = found.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float64).reshape(-1, WIDTH)
-    return x, rows["y"].to_numpy().astype(np.int64)
+    whole = lambda t: pa.Table.from_batches(together(t.to_batches()))
+    found = rows.select("x", "y").mapInArrow(local, "slot int, part int, total binary").groupBy("slot").applyInArrow(whole, "slot int, total binary").toArrow()
+    held = sorted(zip(found["slot"].to_pylist(), found["total"].to_pylist(), strict=True))
+    return sum(np.frombuffer(t, np.float64) for _, t in held) if held else None
 
 
 class Ranker:
@@ -98,56 +132,115 @@ class Ranker:
         self.threshold, self.slope, self.shift = threshold, slope, math.log(cut / (1 - cut))
 
     def utility(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.centre) / self.scale, -8, 8) @ self.weights
+        return scaled(x, self.centre, self.scale) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = np.clip(self.slope * (self.utility(x) - self.threshold) + self.shift, -40, 40)
         return 1 / (1 + np.exp(-z))
 
 
-def fit(x: np.ndarray, y: np.ndarray, *, cut: float = 0.7, rounds: int = 400, pairs: int = 4096, penalty: float = 1e-4, seed: int = 7) -> Ranker | None:
-    """Learn from preference pairs drawn anew each round; the threshold is the quantile of training
-    utilities that sets good and bad rows apart best."""
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    if not len(good) or not len(bad):
+def moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Rows, good rows, and sums of the features and of their squares."""
+    return np.concatenate([[len(y), (y == 1).sum()], x.sum(0), (x * x).sum(0)])
+
+
+def scaled(x: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.clip((x - centre) / scale, -8, 8)
+
+
+def histogram(x: np.ndarray, y: np.ndarray, *, weights: np.ndarray, centre: np.ndarray, scale: np.ndarray, low: float = -REACH, high: float = REACH, bins: int = FINE) -> np.ndarray:
+    """How many bad rows, then good ones, have their utility in each bin; those outside are in the outermost."""
+    at = np.clip((scaled(x, centre, scale) @ weights - low) * (bins / (high - low)), 0, bins - 1).astype(np.int64)
+    return np.bincount(at + bins * (y == 1), minlength=2 * bins).astype(np.float64)
+
+
+def _against(others: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """For each bin, the kernel of the distance to the others' bins, summed over them."""
+    n = len(others)
+    return np.fft.irfft(np.fft.rfft(others, 4 * n) * np.fft.rfft(kernel, 4 * n), 4 * n)[n - 1 : 2 * n - 1]
+
+
+def _distances(bins: int) -> np.ndarray:
+    return np.arange(1 - bins, bins) * (2 * REACH / bins)
+
+
+def steepness(x: np.ndarray, y: np.ndarray, *, weights: np.ndarray, centre: np.ndarray, scale: np.ndarray, slope: np.ndarray, bend: np.ndarray) -> np.ndarray:
+    """The gradient's sum, the rows' own part of the curvature, and sums of scaled features by class and bin.
+
+    ``slope`` and ``bend`` have the loss's derivatives for a bad and a good row of each bin.
+    """
+    z, good = scaled(x, centre, scale), (y == 1).astype(np.int64)
+    at = np.clip((z @ weights + REACH) * (FINE / (2 * REACH)), 0, FINE - 1).astype(np.int64)
+    wide = at // (FINE // COARSE)
+    g = slope[good, at] @ z
+    own = (z * bend[good, wide][:, None]).T @ z
+    sums = np.zeros((2 * COARSE, z.shape[1]))
+    np.add.at(sums, wide + COARSE * good, z)
+    return np.concatenate([g, own.ravel(), sums.ravel()])
+
+
+def solve(total: Callable[[Callable], np.ndarray | None], *, cut: float = 0.7, rounds: int = 12, penalty: float = 1e-4) -> Ranker | None:
+    """Learn from the sums over all labelled rows that ``total`` gives: of all pairs of a good and a bad one, the
+    mean logistic loss is brought to its least by Newton's steps."""
+    m = total(moments)
+    if m is None or not 0 < m[1] < m[0]:
         return None
-    centre, scale = x.mean(0), x.std(0) + 1e-3
-    z = np.clip((x - centre) / scale, -8, 8)
-    rng = np.random.default_rng(seed)
-    w, first, second = (np.zeros(x.shape[1]) for _ in range(3))
-    for t in range(1, rounds + 1):
-        d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
-        p = 1 / (1 + np.exp(np.clip(d @ w, -40, 40)))  # the loss's slope: chance that the worse wins
-        g = -(p @ d) / pairs + penalty * w
-        first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
-        w -= 0.05 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
-    u = z @ w
-    levels = np.unique(np.quantile(u, np.arange(1, 400) / 400, method="midpoint"))
-    u_good, u_bad = np.sort(u[good]), np.sort(u[bad])
-    kept = 1 - np.searchsorted(u_good, levels) / len(good)
-    caught = np.searchsorted(u_bad, levels) / len(bad)
-    both = kept + caught
+    width, good, bad = (len(m) - 2) // 2, m[1], m[0] - m[1]
+    centre = m[2 : 2 + width] / m[0]
+    at = {"centre": centre, "scale": np.sqrt(np.maximum(0, m[2 + width :] / m[0] - centre**2)) + 1e-3}
+    chance = lambda d: 1 / (1 + np.exp(np.clip(d, -40, 40)))  # noqa: E731  that the worse wins, by the better one's lead
+    fine, far = chance(_distances(FINE)), _distances(COARSE)
+    curve = chance(far) * chance(-far)
+    pairs = curve[np.arange(COARSE)[:, None] - np.arange(COARSE) + COARSE - 1]
+    w = np.zeros(width)
+    for _ in range(rounds):
+        seen = total(partial(histogram, weights=w, **at)).reshape(2, FINE) / [[bad], [good]]
+        wide = seen.reshape(2, COARSE, -1).sum(2)
+        # A good row leads a bad one by the difference of their bins; for the bad row the sign is the other way.
+        slope = np.stack([_against(seen[1], fine[::-1]) / bad, -_against(seen[0], fine) / good])
+        bend = np.stack([_against(wide[1], curve) / bad, _against(wide[0], curve) / good])
+        found = total(partial(steepness, weights=w, slope=slope, bend=bend, **at))
+        g, own, sums = np.split(found, [width, width + width * width])
+        low, high = sums.reshape(2, COARSE, width) / np.array([bad, good])[:, None, None]
+        both = high.T @ pairs @ low
+        step = np.linalg.solve(own.reshape(width, width) - both - both.T + penalty * np.eye(width), g + penalty * w)
+        w = w - step * min(1, 4 / (np.linalg.norm(step) + 1e-12))
+        if np.abs(step).max() < 1e-3:
+            break
+    seen = np.flatnonzero(total(partial(histogram, weights=w, **at)).reshape(2, FINE).sum(0))
+    low, high = (float(k * (2 * REACH / FINE) - REACH) for k in (seen[0], seen[-1] + 1))
+    counts = total(partial(histogram, weights=w, low=low, high=high, bins=LEVELS, **at)).reshape(2, LEVELS)
+    below = np.cumsum(counts, 1) / [[bad], [good]]
+    both = below[0] - below[1]  # bad rows caught and good ones kept, below and above each bin's end
     best = np.flatnonzero(both >= both.max() - 1e-12)
-    threshold = float((levels[best[0]] + levels[best[-1]]) / 2)
-    spread = float(np.median(u_good) - np.median(u_bad)) or 1.0
-    return Ranker(w, centre, scale, threshold, 6 / abs(spread), cut)
+    level = lambda k: low + (k + 1) * (high - low) / LEVELS
+    threshold = (level(best[0]) + level(best[-1])) / 2
+    spread = level(np.searchsorted(below[1], 0.5)) - level(np.searchsorted(below[0], 0.5)) or 1.0
+    return Ranker(w, at["centre"], at["scale"], float(threshold), 6 / abs(float(spread)), cut)
+
+
+def fit(x: np.ndarray, y: np.ndarray, *, cut: float = 0.7) -> Ranker | None:
+    """Learn from arrays of features and labels."""
+    return solve(lambda of: of(x, y), cut=cut)
 
 
-def score(docs: DataFrame, model: Ranker | None, cut: float = 0.7) -> DataFrame:
-    """``doc_id, score, predicted`` of every text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score(rows: DataFrame, model: Ranker | None, cut: float = 0.7) -> DataFrame:
+    """``doc_id, score, predicted`` of every row ``doc_id, x``."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            x = [features(t) for t in b.column("text").to_pylist()]
-            s = m.score(np.stack(x)) if m is not None and x else np.full(len(x), 0.5)
+            s = m.score(vectors(b.column("x"))) if m is not None else np.full(b.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64()), pa.array((s >= cut).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(local, "doc_id long, score double, predicted int")
+    return rows.mapInArrow(local, "doc_id long, score double, predicted int")
 
 
-def rank_quality(docs: DataFrame, labels: DataFrame, training, *, label: str = "quality", cut: float = 0.7, most_labels: int = 20_000) -> DataFrame:
-    """Fit on labels where ``training`` holds and score all documents."""
-    bound_batches(docs.sparkSession)
-    return score(docs, fit(*labelled(docs, labels, training, label, most_labels), cut=cut), cut)
+def rank_quality(docs: DataFrame, labels: DataFrame, training, *, label: str = "quality", cut: float = 0.7) -> DataFrame:
+    """Fit on all labels where ``training`` holds and score all documents."""
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.cut(featured(docs), "features")
+    known = scratch.cut(labelled(rows, labels, training, label), "labelled")
+    model = solve(partial(summed, known), cut=cut)
+    return scratch.result(score(rows, model, cut))

@@ -166,6 +166,20 @@ def test_ranker_orders_and_thresholds():
     assert np.isfinite(quality_rank.features(None)).all() and np.isfinite(quality_rank.features(b"\n\n x" * 50_000)).all()
 
 
+def test_ranker_against_all_pairs():
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 2, 300)
+    x = rng.normal(0, 1, (300, 4)) + np.outer(y, [1, 0.5, 0, 0])
+    m = quality_rank.fit(x, y)
+    z = quality_rank.scaled(x, m.centre, m.scale)
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, 4)
+    w = np.zeros(4)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(d @ w))
+        w -= np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + 1e-4 * np.eye(4), 1e-4 * w - p @ d / len(d))
+    assert np.abs(m.weights - w).max() < 0.02
+
+
 def test_subsequence_and_answers():
     rng = random.Random(1)
     for _ in range(50):

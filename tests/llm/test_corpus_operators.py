@@ -184,6 +184,16 @@ def test_quality_held_out_accuracy(spark):
     assert got.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0] > 0.9
 
 
+def test_quality_learns_from_every_label(spark):
+    """The few good rows come last by any order of hashed ids, behind more bad ones than a sample would hold."""
+    ids = spark.range(20_100).withColumnRenamed("id", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()["doc_id"].to_pylist()
+    good = set(ids[20_000:])
+    rows = [(i, "A plain line of prose." if i in good else "$$ ## 12 %%") for i in ids]
+    labels = spark.createDataFrame([(i, int(i in good)) for i in ids], "doc_id long, quality int")
+    got = rank_quality(spark.createDataFrame(rows, "doc_id long, text string"), labels, F.lit(True)).collect()
+    assert {r.doc_id for r in got if r.predicted} == good
+
+
 def test_warc(spark):
     rows = [(i, f"http://h/{i}", f"<p>{i % 5}</p>" * (i % 5)) for i in range(20)] + [(30, None, None), (31, "a b\r\nX-Header: y", ""), (None, "u", "\r\n\r\nWARC/1.1\r\n\r\né"), (7, "http://h/7", "<p>2</p><p>2</p>")]
     pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, payload string")
