@@ -451,3 +451,12 @@ def test_near_duplicates_of_repeated_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = collections.Counter(map(tuple, corpus_pipeline.near_duplicates(spark, docs, "").collect()))
     assert got == collections.Counter([(1, a), (3, b), (3, c), (None, b)])
+
+
+def test_batches_of_long_rows_hold_few_bytes(spark):
+    import pyarrow as pa
+
+    Scratch(spark)
+    most = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    rows = spark.range(40, numPartitions=1).select(F.repeat(F.lit("word "), 200_000).cast("binary").alias("text"))
+    assert rows.mapInArrow(most, "n long").agg(F.max("n")).first()[0] < 10 << 20
