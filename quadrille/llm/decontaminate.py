@@ -10,6 +10,8 @@ subsequence of words, which tolerates inserted, dropped and changed words. A doc
 if the subsequence covers ``share`` of it, or ``weak_share`` and the item's answer stands there word for
 word: the answer column if there is one, else the item's last ``answer_words`` words.
 
+Texts are hashed once; all passes read a table of their words as numbers of the benchmark's words.
+
 The benchmark is bounded: at most ``most_items`` items and ``most_terms`` words, else ValueError.
 Everything that is broadcast has that bound times the rank. Whole documents are searched.
 
@@ -30,11 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm import wordhash
-from quadrille.llm.common import Scratch, bound_batches
+from quadrille.llm.common import Scratch
 
 U = np.uint64
 BLOCK = 256  # terms in a row of the summed sketch
-DENSE = 256  # terms, the benchmark's most frequent ones, whose counts are kept as a matrix
+DENSE = 128  # terms, the benchmark's most frequent ones, whose counts are kept as a matrix
 SLOTS = 8192  # half passages that are handled together
 COSINES = 4_000_000  # cosines held at once
 FOUND = "doc_id long, item_id long, first int, words int, cosine double, lcs double, answer boolean"
@@ -53,8 +55,36 @@ class Items:
     latent: np.ndarray | None = None  # a row for each term, times its weight
     vectors: np.ndarray | None = None  # a row for each item, of length 1
 
+    def table(self) -> np.ndarray:
+        """Hashes by number: 0 for all words that neither items nor answers have, the terms, other words of answers."""
+        if not hasattr(self, "_table"):
+            other = np.setdiff1d(np.concatenate([*self.answers, np.zeros(0, U)]), self.terms)
+            self._table = np.concatenate([np.zeros(1, U), self.terms, other])
+            self._order = np.argsort(self._table[1:], kind="stable") + 1
+            self._sorted = self._table[self._order]
+        return self._table
+
+    def numbers(self, h: np.ndarray) -> np.ndarray:
+        """The words' numbers in the table, in few bytes."""
+        table = self.table()
+        if not hasattr(self, "_any"):
+            self._any = np.zeros(1 << 16, bool)
+            self._any[(table[1:] >> U(48)).astype(np.int64)] = True
+        out = np.zeros(len(h), np.uint16 if len(table) <= 1 << 16 else np.uint32)
+        at = np.flatnonzero(self._any[(h >> U(48)).astype(np.int64)])
+        k = np.minimum(np.searchsorted(self._sorted, h[at]), len(self._sorted) - 1)
+        out[at] = np.where(self._sorted[k] == h[at], self._order[k], 0)
+        return out
+
+    def hashes(self, h: np.ndarray) -> np.ndarray:
+        """Hashes of words that are given as hashes or as numbers."""
+        return h if h.dtype == U else self.table()[h]
+
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of words that are terms, and which."""
+        """Places of words that are terms, and which; words are hashes or numbers."""
+        if h.dtype != U:
+            at = np.flatnonzero((h > 0) & (h <= len(self.terms)))
+            return at, h[at].astype(np.int64) - 1
         if not hasattr(self, "_door"):
             self._door = np.zeros(1 << 16, bool)
             self._door[(self.terms >> U(48)).astype(np.int64)] = True
@@ -91,6 +121,7 @@ class Items:
         inside[at + 1] = 1
         inside = np.cumsum(inside)
         place, item = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        h = self.hashes(h)
         for n, r, of in self.runs(run):
             begin = np.flatnonzero(inside[n:] - inside[: max(0, len(h) - n + 1)] == n) if len(h) >= n else np.zeros(0, np.int64)
             here = wordhash.ngrams_at(h, n, begin)
@@ -164,7 +195,7 @@ class Block:
         out = self.counts @ rows[self.often]
         which, begin = rows_of(self.rare_half)
         if len(which):
-            out[which] += np.add.reduceat(rows[self.rare], begin, axis=0)
+            out[which] += run_sums(rows, self.rare, begin)
         return out
 
 
@@ -195,6 +226,25 @@ def rows_of(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return p[begin], begin
 
 
+def run_sums(rows: np.ndarray, pick: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of ``rows[pick]`` over the runs that begin at these places: the first rows of all runs are added, then
+    the second ones of those that have them. A few long runs are summed by themselves."""
+    size = np.diff(np.append(begin, len(pick)))
+    order = np.argsort(-size, kind="stable")
+    first, size = begin[order], size[order]
+    out = rows[pick[first]]
+    j, m = 1, int(np.searchsorted(-size, -1))  # runs that go on at row j
+    while m >= 32:
+        out[:m] += rows[pick[first[:m] + j]]
+        j += 1
+        m = int(np.searchsorted(-size, -j))
+    for i in range(m):
+        out[i] += rows[pick[first[i] + j : first[i] + size[i]]].sum(axis=0)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
 def read_items(benchmark: DataFrame, answer: str | None, width: int, answer_words: int, most_items: int, most_terms: int) -> Items:
     columns = ["item_id", F.col("text").cast("binary").alias("text"), (F.col(answer).cast("binary") if answer else F.lit(None).cast("binary")).alias("answer")]
     rows = benchmark.select(*columns).where("text is not null").limit(most_items + 1).toArrow().to_pylist()
@@ -210,26 +260,43 @@ def read_items(benchmark: DataFrame, answer: str | None, width: int, answer_word
     return Items([rows[i]["item_id"] for i in keep], [words[i] for i in keep], [answers[i] for i in keep], terms, width)
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+def numbered(docs: DataFrame, items: Items, scratch: Scratch) -> DataFrame:
+    """``doc_id, words``: the words of each text as numbers, which all passes read."""
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = list(wordhash.many(b.column("text").to_pylist()))
+            k = shared.value.numbers(np.concatenate([*words, np.zeros(0, U)]))
+            ends = np.append(0, np.cumsum([len(h) for h in words]) * k.itemsize)
+            words = pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(k)])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), words.cast(pa.binary())], ["doc_id", "words"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return scratch.cut(texts.mapInArrow(local, "doc_id long, words binary"), "numbers")
+
+
+def words_of(items: Items, b: pa.RecordBatch) -> Iterator[np.ndarray]:
+    kind = np.uint16 if len(items.table()) <= 1 << 16 else np.uint32
+    return (np.frombuffer(x.as_buffer(), kind) for x in b.column("words"))
 
 
 def weigh(docs: DataFrame, items: Items) -> np.ndarray:
-    """Inverse document frequencies over all passages."""
+    """Inverse document frequencies over all passages of the numbered texts."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
     size = len(items.terms)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, sums = 0, np.zeros(size, np.int64)
         for b in batches:
-            for _, block in blocks(shared.value, wordhash.many(b.column("text").to_pylist())):
+            for _, block in blocks(shared.value, words_of(shared.value, b)):
                 total += int(block.passage.sum())
                 sums += np.bincount(block.rare_pairs()[1], minlength=size)
                 sums[block.often] += (block.both(block.counts) > 0).sum(axis=0)
         at = np.append(np.flatnonzero(sums), size)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(sums, total)[at])], ["term", "n"])
 
-    rows = texts(docs).mapInArrow(local, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.mapInArrow(local, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(size + 1, np.int64)
     df[rows["term"].to_numpy()] = rows["n"].to_numpy()
     total = max(1, int(df[size]))
@@ -250,7 +317,7 @@ def _gram(items: Items, each: Iterable[np.ndarray], omega: np.ndarray, scale: fl
         order = np.argsort(block.rare, kind="stable")
         terms, begin = rows_of(block.rare[order])
         if len(terms):
-            into[terms] += scale * items.weight[terms, None] * np.add.reduceat(y[block.rare_half[order]], begin, axis=0)
+            into[terms] += scale * items.weight[terms, None] * run_sums(y, block.rare_half[order], begin)
 
 
 def latent_space(docs: DataFrame, items: Items, rank: int, item_weight: float, seed: int = 11) -> np.ndarray:
@@ -264,7 +331,7 @@ def latent_space(docs: DataFrame, items: Items, rank: int, item_weight: float, s
         it, om = shared.value
         z = np.zeros((size, r))
         for b in batches:
-            _gram(it, wordhash.many(b.column("text").to_pylist()), om, 1.0, z)
+            _gram(it, words_of(it, b), om, 1.0, z)
         at = [i for i in range(0, size, BLOCK) if z[i : i + BLOCK].any()]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([z[i : i + BLOCK].tobytes() for i in at], pa.binary())], ["term", "z"])
 
@@ -276,7 +343,7 @@ def latent_space(docs: DataFrame, items: Items, rank: int, item_weight: float, s
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["term", "z"])
 
     schema = "term long, z binary"
-    rows = texts(docs).mapInArrow(local, schema).repartition("term").mapInArrow(add, schema).toArrow()
+    rows = docs.mapInArrow(local, schema).repartition("term").mapInArrow(add, schema).toArrow()
     z = np.zeros((size, r))
     for i, raw in zip(rows["term"].to_pylist(), rows["z"].to_pylist(), strict=True):
         z[i : i + BLOCK] += np.frombuffer(raw).reshape(-1, r)
@@ -356,8 +423,9 @@ def candidates(items: Items, block: Block, cosine: float, least: float, run: int
     slot, item, near = [], [], []
     for at in range(0, block.slots, max(1, COSINES // len(items.ids))):
         c = x[at : at + max(1, COSINES // len(items.ids))] @ items.vectors.T
-        row, i = np.nonzero(c >= cosine)
-        slot, item, near = [*slot, row + at], [*item, i], [*near, c[row, i]]
+        flat = np.flatnonzero((c >= cosine).ravel())
+        row, i = np.divmod(flat, len(items.ids))
+        slot, item, near = [*slot, row + at], [*item, i], [*near, c.ravel()[flat]]
     place, i = items.named(block.h, block.at, run)
     of = np.searchsorted(block.begin, place, "right") - 1
     end = np.append(block.begin, len(block.h))[of + 1]
@@ -401,6 +469,7 @@ def candidates(items: Items, block: Block, cosine: float, least: float, run: int
     which, first = rows_of(where[order])
     if len(which):
         bits.ravel()[which] = np.bitwise_or.reduceat(U(1) << (block.half[order] & 63).astype(U), first)
+    flat = bits.ravel()
     reach = -(-words[item] // (items.width // 2))
     low = np.maximum(slot - reach, block.base[part])
     high = np.minimum(slot + 2 + reach, np.append(block.base, block.slots)[part + 1])
@@ -410,8 +479,11 @@ def candidates(items: Items, block: Block, cosine: float, least: float, run: int
     one, two = span << from_, np.where(from_ > 0, span >> ((U(64) - from_) & U(63)), U(0))
 
     def around(k: np.ndarray, at: slice, n: np.ndarray) -> np.ndarray:
-        g, c = np.repeat(group[at], n), place[k]
-        return ((bits[g, c] & np.repeat(one[at], n)) | (bits[g + 1, c] & np.repeat(two[at], n))) != 0
+        g = np.repeat(group[at] * bits.shape[1], n) + place[k]
+        there = (flat[g] & np.repeat(one[at], n)) != 0
+        over = np.flatnonzero(np.repeat(two[at] > 0, n))
+        there[over] |= (flat[g[over] + bits.shape[1]] & np.repeat(two[at], n)[over]) != 0
+        return there
 
     keep = cut | (high - low > 64) | enough(item, around)
     return part[keep], slot[keep] - block.base[part[keep]], item[keep], near[keep]
@@ -449,7 +521,7 @@ def search(items: Items, each: Iterable[np.ndarray], cosine: float, share: float
                 low, high = max(0, start - len(words)), min(len(h), start + items.width + len(words))
                 if last.get((t, i), -1) >= start + items.width:
                     continue  # the region looked at before holds this passage
-                region = h[low:high]
+                region = items.hashes(h[low:high])
                 last[t, i] = high
                 n = common_subsequence(words, region)
                 ratio, answer = n / len(words), holds(items.answers[i], region)
@@ -464,8 +536,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
     items = read_items(benchmark, answer, width, answer_words, most_items, most_terms)
     if not items.ids:
         return spark.createDataFrame([], FOUND)
-    bound_batches(spark)
-    docs = docs.select("doc_id", "text")
+    docs = numbered(docs, items, Scratch(spark))
     items.weight = weigh(docs, items)
     items.latent = (items.weight[:, None] * latent_space(docs, items, rank, item_weight)).astype(np.float32)
     vectors = np.zeros((len(items.ids), items.latent.shape[1]))
@@ -481,12 +552,12 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
         it = shared.value
         for b in batches:
             ids = b.column("doc_id").to_pylist()
-            found = search(it, wordhash.many(b.column("text").to_pylist()), cosine, share, weak_share, least_words, run)
+            found = search(it, words_of(it, b), cosine, share, weak_share, least_words, run)
             out = [(ids[t], it.ids[i], *rest) for t, i, *rest in found]
             columns = list(zip(*out, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    return texts(docs).mapInArrow(local, FOUND)
+    return docs.mapInArrow(local, FOUND)
 
 
 def without_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

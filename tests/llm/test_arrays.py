@@ -302,3 +302,29 @@ def test_paths_of_long_texts(monkeypatch):
                 assert langid.label(model, text, penalty) == whole
     monkeypatch.setattr(langid, "PIECE", 4)
     assert langid.label(model, "1 2 3 4 5 6 x", 1.0)[2] == [(0, 1, langid.label(model, "x", 1.0)[0])]
+
+
+def test_numbered_words_are_searched_like_hashes():
+    rng = np.random.default_rng(3)
+    vocabulary = rng.integers(0, 2**63, 400).astype(np.uint64)
+    words = [rng.choice(vocabulary[:200], n) for n in (9, 30, 50)]
+    answers = [words[0][-3:], vocabulary[300:303], words[2][-8:]]  # the second has words that no item has
+    items = decontaminate.Items([0, 1, 2], words, answers, np.unique(np.concatenate(words)), 32)
+    texts = [rng.choice(vocabulary, n) for n in (0, 40, 900)]
+    texts += [np.concatenate([texts[1], words[0], words[1][:17], answers[1], texts[2]])]
+    items.weight = np.ones(len(items.terms))
+    items.latent = rng.standard_normal((len(items.terms), 8)).astype(np.float32)
+    items.vectors = np.full((3, 8), 8**-0.5, np.float32)
+    numbers = [items.numbers(h) for h in texts]
+    assert all((items.hashes(k) == np.where(np.isin(h, items.table()), h, 0)).all() for k, h in zip(numbers, texts, strict=True))
+    assert all((a == b).all() for k, h in zip(numbers, texts, strict=True) for a, b in zip(items.hits(k), items.hits(h), strict=True))
+    one, two = (list(decontaminate.search(items, iter(x), 0.4, 0.7, 0.5, 8, 5)) for x in (texts, numbers))
+    assert one == two and {x[:2] for x in one} == {(3, 0), (3, 1)}
+
+
+def test_run_sums_against_reduceat():
+    rng = np.random.default_rng(4)
+    rows = rng.standard_normal((50, 4))
+    begin = np.append(0, np.cumsum(np.append(rng.integers(1, 6, 200), [300, 40])))
+    pick = rng.integers(0, 50, begin[-1])
+    assert np.allclose(decontaminate.run_sums(rows, pick, begin[:-1]), np.add.reduceat(rows[pick], begin[:-1], axis=0))
