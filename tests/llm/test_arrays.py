@@ -328,3 +328,11 @@ def test_run_sums_against_reduceat():
     begin = np.append(0, np.cumsum(np.append(rng.integers(1, 6, 200), [300, 40])))
     pick = rng.integers(0, 50, begin[-1])
     assert np.allclose(decontaminate.run_sums(rows, pick, begin[:-1]), np.add.reduceat(rows[pick], begin[:-1], axis=0))
+
+
+def test_scoring_steps_equal_training_steps():
+    rng = np.random.default_rng(6)
+    net = recurrent_lm.Network(np.sort(rng.integers(1, 100, 150))[::-1])
+    net.b += rng.standard_normal(net.b.shape).astype(np.float32)
+    ids, h = rng.integers(0, 150, 40), rng.uniform(-1, 1, (40, recurrent_lm.HIDDEN)).astype(np.float32)
+    assert np.allclose(net.stepper()(ids, h), net.step(ids, h)[0], atol=1e-5)
