@@ -5,18 +5,22 @@ Two documents link when their sets of n-grams have a Jaccard similarity of at le
 ``size - ceil(percent * size / 100) + 1`` of each set share a member. Candidates must pass that test
 under every order. All orders put n-grams with rare words first (by counts over the whole
 corpus, which a bounded table of the most frequent words carries) and differ in how they rank the
-rest, so a passage that many documents share seldom reaches a prefix.
+rest, so a passage that many documents share seldom reaches a prefix. Prefixes are kept in the first
+order: all that a pair shares stands behind its first shared member, so where that stands bounds the
+size of a partner (``reach``), and two sets need only meet at members that reach both sizes.
 
 Links are found up to components, and no group is ever gathered. Only the last join meets members pair
 by pair, of different components alone; a row comes out where a link is possible:
 
 1. Rows with equal sets become one class, named by the number of one of its rows.
-2. The prefixes' members are sorted by size; neighbours in that order that pass the size test are
-   scored by a bound on the symmetric difference: sets whose parities differ in more hash slots than
+2. The prefixes' members are sorted by size. Where a chain of rows with one member, each of a size that fits the
+   next, is short, all of its pairs that the member reaches are candidates, and the chain is done with. Of longer chains
+   neighbours are, and their rows stay for later steps. Candidates are scored by a bound on the symmetric
+   difference: sets whose parities differ in more hash slots than
    their sizes allow cannot link. The slots are 1024 at first; of pairs that pass, sets of more members
-   are held against each other on as many slots as they have members. Of each class the nearest neighbour is verified, after
-   the tests under the other orders. This is repeated with another order inside equal members. It
-   links most groups of copies in as many rows as they have.
+   are held against each other on as many slots as they have members. Of each class the nearest candidate is verified, after
+   the tests under the other orders. This is repeated on the rows that stayed, with another order inside equal
+   members. It links most groups of copies in as many rows as they have.
 3. Members whose classes still lie in different components are joined, across components only and
    where sizes and parities allow a link: first one class of each component that has the member, of which
    the nearest for each two components is verified, then all that are left. That is exact: any pair that
@@ -39,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm import wordhash
-from quadrille.llm.common import Scratch
+from quadrille.llm.common import Scratch, tasks
 from quadrille.llm.components import merged, neighbours
 
 U = np.uint64
@@ -73,9 +77,10 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("binary")).mapInArrow(local, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(docs: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+def frequent_words(docs: DataFrame, scratch: Scratch, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, and frequency classes (logarithms of counts) of at most ``most`` words."""
-    rows = count_words(docs).where("n > 1").orderBy(F.desc("n"), "word").limit(most).toArrow()
+    rows = scratch.cut(count_words(docs).where("n > 1").orderBy(F.desc("n"), "word").limit(most), "words").toArrow()
+    scratch.release("words")
     w = rows["word"].to_numpy().view(U)
     order = np.argsort(w)
     return w[order], np.minimum(255, 8 * np.log2(rows["n"].to_numpy()[order] + 1)).astype(np.uint8)
@@ -132,6 +137,63 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def reach(n, at, percent: int):
+    """The largest size of a set that a set of ``n`` members can be similar to, if ``at`` of its members come before the
+    first that both have: the others, at most, are shared."""
+    return F.floor((100 * n - (100 + percent) * at) / percent)
+
+
+CHAIN = 8  # rows of a member of which all pairs are formed at once
+
+
+def chained(tokens: DataFrame, percent: int) -> DataFrame:
+    """``token, n, reach, id, other``: candidates, and the rows of ``token, n, reach, id`` that stay, with -1 as ``other``.
+
+    A chain is a run of rows with one token, by size, each of a size that fits the next. Of at most ``CHAIN`` rows all
+    pairs whose sizes both rows reach are formed, and no row stays. Of longer chains, and of those at the border of a
+    partition, such neighbours are formed and all rows stay.
+    """
+    names = ["token", "n", "reach", "id"]
+    ranged = tokens.select(*names).repartitionByRange(tasks(tokens.sparkSession), "token", "n", "id").sortWithinPartitions("token", "n", "id")
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit(rows: list[np.ndarray], other: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in (*rows, other)], [*names, "other"])
+
+        held: list[np.ndarray] | None = None  # the last chain, as long as it is short, or its last row
+        border = True  # it is the first of the partition
+        gone = False  # it is that row, and has been emitted
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = [b.column(i).to_numpy() for i in range(len(names))]
+            if held is not None:
+                rows = [np.concatenate(v) for v in zip(held, rows, strict=True)]
+            token, n, most, i = rows
+            same = (token[1:] == token[:-1]) & (percent * n[1:] <= 100 * n[:-1])
+            chain = np.append(0, np.cumsum(~same))
+            length = np.bincount(chain)
+            long = length > CHAIN
+            long[0] |= border or gone
+            stays = long[chain]
+            open_ = chain == chain[-1]  # may go on in the next batch
+            for d in range(1, min(CHAIN, len(i))):
+                met = (chain[d:] == chain[:-d]) & (n[d:] <= most[:-d]) & (n[:-d] <= most[d:])
+                at = np.flatnonzero(met & (stays[d:] if d == 1 else False) | met & ~stays[d:] & ~open_[d:])
+                if len(at):
+                    yield emit([v[at] for v in rows], i[at + d])
+            stays[0] &= not gone
+            if stays.any():
+                yield emit([v[stays] for v in rows], np.full(int(stays.sum()), -1))
+            gone = bool(long[-1])
+            held = [v[-1:] if gone else v[open_] for v in rows]
+            border = border and len(length) == 1
+        if held is not None and not gone:
+            yield emit(held, np.full(len(held[0]), -1))
+
+    return ranged.mapInArrow(local, "token long, n long, reach long, id long, other long")
+
+
 class Sets:
     """A text's set of n-grams and its prefixes under each order."""
 
@@ -139,7 +201,7 @@ class Sets:
         self.n, self.percent, self.frequent = n, percent, frequent
 
     def prefixes(self, h: np.ndarray, seeds: tuple = SEEDS) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The sorted set of the words' n-grams, and its prefix under each seed's order."""
+        """The sorted set of the words' n-grams, and its prefix under each seed's order, in that order."""
         if not len(h):
             return h, [h] * len(seeds)
         k = min(self.n, len(h))
@@ -154,7 +216,8 @@ class Sets:
         out = []
         for seed in seeds:
             rank = (wordhash.mix(s ^ seed) >> U(8)) | rarest
-            out.append(s[np.argpartition(rank, size - 1)[:size]] if size < len(s) else s)
+            first = np.argpartition(rank, size - 1)[:size] if size < len(s) else np.arange(len(s))
+            out.append(s[first[np.argsort(rank[first], kind="stable")]])
         return s, out
 
 
@@ -203,6 +266,21 @@ def signatures(docs: DataFrame, sets) -> DataFrame:
 KEYS = ["n", "key_1", "key_2"]
 
 
+def standing(signed: DataFrame, classes: DataFrame, others: DataFrame) -> DataFrame:
+    """The rows of ``signed`` that name one of the ``classes``; ``others`` has the ``row`` of those that do not. A bit array of
+    fixed size tells most of the first by themselves, so these wide rows need no shuffle."""
+    shared = signed.sparkSession.sparkContext.broadcast(ids_filter(others, "row"))
+
+    def local(sure: bool):
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(passes(shared.value, b.column("row").to_numpy()) != sure))
+
+        return signed.mapInArrow(rows, signed.schema)
+
+    return local(True).unionByName(local(False).join(classes.select(F.col("id").alias("row")), "row", "left_semi"))
+
+
 def members_of(docs: DataFrame, wanted: DataFrame, sets, scratch: Scratch) -> DataFrame:
     """``id, members, p1, p2``: whole sets, as sorted 64-bit hashes, and the other orders' prefixes.
 
@@ -309,15 +387,18 @@ def ngram_components(spark: SparkSession, docs: DataFrame, *, n: int = 5, percen
     """``doc_id, n_shingles, component_id`` for each row of ``docs``."""
     scratch = Scratch(spark)
     docs = docs.select("doc_id", "text")
-    sets = spark.sparkContext.broadcast(Sets(n, percent, frequent_words(docs)))
+    sets = spark.sparkContext.broadcast(Sets(n, percent, frequent_words(docs, scratch)))
     signed = scratch.cut(signatures(docs, sets), "signatures")
     narrow = scratch.cut(signed.select("row", "doc_id", *KEYS), "narrow")
     classes = narrow.where("n > 0 and doc_id is not null").groupBy(*KEYS).agg(F.min("row").alias("id"), F.min("doc_id").alias("first"))
     classes = scratch.cut(classes, "classes")
-    reps = scratch.cut(signed.join(classes.select(F.col("id").alias("row")), "row", "left_semi").withColumnRenamed("row", "id"), "reps")
-    scratch.drop(signed)
+    others = scratch.cut(narrow.select("row").join(classes.select(F.col("id").alias("row")), "row", "left_anti"), "others")
+    reps = scratch.cut(standing(signed, classes, others).withColumnRenamed("row", "id"), "reps")
+    scratch.drop(signed, others)
     named = reps.select("id", "doc_id", *KEYS)
-    tokens = reps.select(F.explode("p0").alias("token"), "n", "id")
+    tokens = reps.select(F.posexplode("p0").alias("at", "token"), "n", "id")
+    tokens = scratch.cut(chained(tokens.withColumn("reach", reach(F.col("n"), F.col("at").cast("long"), percent)), percent), "chains")
+    candidates, tokens = tokens.where("other >= 0"), tokens.where("other < 0").drop("other")
     components: DataFrame | None = None
 
     def settle(pairs: DataFrame) -> None:
@@ -340,35 +421,25 @@ def ngram_components(spark: SparkSession, docs: DataFrame, *, n: int = 5, percen
         met = scratch.cut(met.select("a", "b", differing("x", "y").alias("far"), F.least("xn", "yn").alias("small")), "met")
         return allowed(met, reps, percent)
 
-    fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
-    ordered = (F.least("id_1", "id_2").alias("a"), F.greatest("id_1", "id_2").alias("b"))
-    possible: DataFrame | None = None
-    for again in (False, True):
-        # The second round sorts equal members by a hash, and leaves out those with one component.
-        at, sort = (open_tokens(tokens, components).withColumn("mixed", F.xxhash64("id")), ["mixed", "id"]) if again else (tokens, ["n", "id"])
-        near = neighbours(at, ["token"], sort, ["token", "n", "id"] + ["c"] * again, scratch).where(fits(F.col("n_1"), F.col("n_2")))
-        if not again:  # only members that have a neighbour of fitting size matter from here on
-            some = near.select(*(F.col(f"{c}_1").alias(c) for c in ("token", "n", "id"))).union(near.select("token_2", "n_2", "id_2"))
-            tokens = scratch.cut(some.distinct(), "tokens")
-        pairs = scratch.cut(near.where("c_1 <> c_2" if again else "true").select(*ordered).distinct(), "near")
-        scratch.release("neighbours")
-        near = scratch.cut(scored(pairs), "scored")
-        settle(nearest_of_each(near))
-        scratch.release("near", "few", "met")
-        if not again:
-            # Two classes that alone share a member were neighbours, so the member has no further pair to offer.
-            possible = near
-            several = tokens.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > 2).select("token")
-            tokens = scratch.cut(tokens.join(several, "token", "left_semi"), "several")
-            scratch.release("tokens")
+    pairs = candidates.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    possible = scratch.cut(scored(scratch.cut(pairs, "near")), "possible")
+    settle(nearest_of_each(possible))
+    scratch.release("near", "few", "met")
+    # The second round sorts equal members by a hash, and leaves out those with one component.
+    again = open_tokens(tokens, components).withColumn("mixed", F.xxhash64("id"))
+    near = neighbours(again, ["token"], ["mixed", "id"], ["n", "reach", "id", "c"], scratch).where("c_1 <> c_2 and n_1 <= reach_2 and n_2 <= reach_1")
+    pairs = scratch.cut(near.select(F.least("id_1", "id_2").alias("a"), F.greatest("id_1", "id_2").alias("b")).distinct(), "near")
+    scratch.release("neighbours")
+    settle(nearest_of_each(scratch.cut(scored(pairs), "scored")))
+    scratch.release("near", "few", "met", "scored")
     at = lambda side, c: components.select(F.col("node").alias(side), F.col("component").alias(c))
     pending = possible.join(at("a", "c"), "a", "left").join(at("b", "d"), "b", "left")
     settle(pending.where(F.coalesce("c", "a") != F.coalesce("d", "b")).select("a", "b"))
-    scratch.release("scored")
+    scratch.release("possible")
     sets_ = reps.select("id", "n", *PARITIES)
     for salt in (1, None):  # one class of each component that has a member, then all
         rest = scratch.cut(open_tokens(tokens, components, salt), "open")
-        pairs = scratch.cut(across(rest.select("token", "id", "c"), ["token"], sets_, percent), "met")
+        pairs = scratch.cut(across(rest.select("token", "id", "c", "reach"), ["token"], sets_, percent), "met")
         pairs = scratch.cut(allowed(pairs, reps, percent), "across")
         if salt:
             pairs = nearest(pairs, ["c", "d"])
@@ -385,20 +456,24 @@ def ngram_components(spark: SparkSession, docs: DataFrame, *, n: int = 5, percen
 def open_tokens(tokens: DataFrame, components: DataFrame, salt: int | None = None) -> DataFrame:
     """The members that occur in more than one component, with the component of each class as ``c``; with a
     salt, one class of each component."""
-    placed = tokens.join(components.withColumnRenamed("node", "id"), "id", "left").select("token", "n", "id", F.coalesce("component", "id").alias("c"))
+    placed = tokens.join(components.withColumnRenamed("node", "id"), "id", "left").select("token", "n", "reach", "id", F.coalesce("component", "id").alias("c"))
     mixed = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
     rest = placed.join(mixed, "token", "left_semi")
     if salt is None:
         return rest
-    return rest.groupBy("token", "c").agg(F.min_by(F.struct("id", "n"), F.xxhash64(F.lit(salt), "id")).alias("p")).select("token", "p.n", "p.id", "c")
+    return rest.groupBy("token", "c").agg(F.min_by(F.struct("id", "n", "reach"), F.xxhash64(F.lit(salt), "id")).alias("p")).select("token", "p.n", "p.reach", "p.id", "c")
 
 
 def across(rows: DataFrame, key: list[str], sets: DataFrame, percent: int) -> DataFrame:
     """``a, b, c, d, far, small``: pairs of classes of two components that have a key in common and may link, by
-    sizes and parities; ``far`` is the number of slots in which these differ, ``small`` the smaller size. ``sets`` has ``id, n, q0..``."""
+    sizes and parities; ``far`` is the number of slots in which these differ, ``small`` the smaller size. ``sets`` has ``id, n, q0..``.
+    Where rows have a ``reach``, each is to reach the other's size."""
+    reaches = ["reach"] * ("reach" in rows.columns)
     rows = rows.join(sets, "id")
-    side = lambda of, c, p: rows.select(*key, F.col("id").alias(of), F.col("c").alias(c), *(F.col(x).alias(p + x) for x in ("n", *PARITIES)))
+    side = lambda of, c, p: rows.select(*key, F.col("id").alias(of), F.col("c").alias(c), *(F.col(x).alias(p + x) for x in ("n", *reaches, *PARITIES)))
     fits = 100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")
+    if reaches:
+        fits &= (F.col("xn") <= F.col("yreach")) & (F.col("yn") <= F.col("xreach"))
     met = side("x", "c", "x").join(side("y", "d", "y"), key).where((F.col("c") < F.col("d")) & fits & near_parity(percent, "xn", "yn", "x", "y"))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "c", "d", differing("x", "y").alias("far"), F.least("xn", "yn").alias("small")).distinct()
 

@@ -170,6 +170,61 @@ def test_ngram_components_of_long_texts(spark, monkeypatch):
     assert set(fetched) == {2, 5, 22, 25}
 
 
+def test_ngram_components_near_the_limit(spark):
+    """Sets of all sizes that are just or just not similar enough."""
+    rng = random.Random(31)
+    vocabulary = [f"w{i}" for i in range(60)]
+    rows = []
+    for _ in range(45):
+        base = rng.sample(vocabulary, rng.randint(1, 30))
+        rows.append(base)
+        for _ in range(3):
+            drop = round(len(base) * rng.uniform(0, 0.22))
+            rows.append(rng.sample(base, len(base) - drop) + [f"x{rng.randint(0, 99)}" for _ in range(rng.choice([0, drop, round(len(base) * 0.2)]))])
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    got = ngram_components(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n=1, percent=80).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 1, 80)
+
+
+def test_ngram_components_of_chance_members(spark, monkeypatch):
+    """Unrelated texts of which a few each share a rare passage are settled before the last joins, which carry parities."""
+    rng = random.Random(32)
+    rows = []
+    for g in range(40):
+        passage = " ".join(f"rare{g}x{i}" for i in range(5))
+        for _ in range(rng.randint(3, 6)):
+            w = [f"w{rng.randint(0, 400)}" for _ in range(rng.randint(45, 55))]
+            w.insert(rng.randint(0, 45), passage)
+            rows.append((len(rows), " ".join(w)))
+    carried = []
+    real = ngram_join.across
+    monkeypatch.setattr(ngram_join, "across", lambda r, *a: carried.append(r.count()) or real(r, *a))
+    got = ngram_components(spark, spark.createDataFrame(rows, "doc_id long, text string"), n=3, percent=80).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 3, 80)
+    assert sum(carried) < 200  # the members at partitions' borders alone
+
+
+@pytest.mark.parametrize("batch", [3, 1000])
+def test_chains_form_every_pair_or_stay(spark, batch):
+    rng = random.Random(33)
+    rows = []
+    for token in range(60):
+        for _ in range(rng.choice([1, 2, 3, 8, 9, 30])):
+            n = rng.randint(1, 100)
+            rows.append((token, n, (100 * n - 180 * rng.randint(0, n // 5)) // 80, len(rows)))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, batch)
+    got = ngram_join.chained(spark.createDataFrame(rows, "token long, n long, reach long, id long"), 80).collect()
+    spark.conf.set(name, before)
+    stay = [tuple(r)[:4] for r in got if r.other < 0]
+    pairs = {(min(r.id, r.other), max(r.id, r.other)) for r in got if r.other >= 0}
+    meet = {(x[3], y[3]) for x in rows for y in rows if x[0] == y[0] and x[3] < y[3] and x[1] <= y[2] and y[1] <= x[2]}
+    kept = {r[3] for r in stay}
+    assert len(stay) == len(kept) < len(rows) and set(stay) <= set(rows)
+    assert pairs <= meet and all(a in kept and b in kept for a, b in meet - pairs)
+
+
 def test_quality(spark, docs):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(6, 1, 0), (None, 1, 0), (99, None, 0)], "doc_id long, quality int, toxic int")
     got = rank_quality(docs, labels, ~held_out())
