@@ -276,12 +276,14 @@ def merge_runs(spark, d):
 @query("""SELECT lk AS l_key, rk AS r_key FROM (SELECT o_orderkey::VARCHAR AS lk, o_custkey AS a0, o_custkey + 3 AS a1, {0} AS b0, {0} + 2 AS b1 FROM orders) o
 JOIN (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS rk, l_partkey AS c0, l_partkey + 1 AS c1, {1} AS d0, {1} + 1 AS d1 FROM lineitem) l ON a0 <= c1 AND c0 <= a1 AND b0 <= d1 AND d0 <= b1""".format(ODAY, ODAY.replace("o_orderdate", "l_shipdate")))
 def region_join(spark, d):
-    """Both sides lie in the same regions and are joined region by region."""
+    """Both sides lie in the same regions, which cover all of both, and are joined region by region."""
     from quadrille.plans.registry import lines
 
     o, li = orders(spark, d), lines(spark, d)
-    grid = partition.StaticGrid(Box.of(-1, 1e5, 0, 20_000), (1e5, 50.0))
-    return joins.region_join(grid.assign(o), grid.assign(li), grid.regions()).select("l_key", "r_key")
+    known = joins.measure(o, 2), joins.measure(li, 2)
+    (x0, x1), (y0, y1) = ((min(k.low[d] for k in known), max(k.high[d] for k in known)) for d in (0, 1))
+    grid = partition.StaticGrid(Box.of(x0, x1, y0, y1), (max(x1 - x0, 1.0), max(50.0, (y1 - y0) / 400)))
+    return joins.region_join(grid.assign(o), grid.assign(li), grid.regions(), extents=known).select("l_key", "r_key")
 
 
 # Continuous plans -----------------------------------------------------------------------------------

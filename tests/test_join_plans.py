@@ -47,3 +47,14 @@ def test_geometry_joins_equal_pairwise_tests(spark):
         has = lambda s: not f.value or '"k": 1}' in s  # noqa: B023, E731
         want = [(i, j) for (i, a), (j, b) in itertools.product(enumerate(texts), repeat=2) if near(a, b, metres) and (has(a) or has(b))]
         assert got == want and want
+
+
+def test_region_join_has_keys_of_any_size(spark, tmp_path):
+    day = lambda n: datetime.datetime(1998, 1, 1) + datetime.timedelta(days=n)
+    o = [(i, c, day(i), "1-URGENT") for i, c in enumerate((5, 99_990, 100_500, 7_000_000))]
+    li = [(i, c + 1, 1, 1, 10.0, "R", day(i + 1)) for i, (_, c, _, _) in enumerate(o)] + [(9, 500_000, 1, 1, 10.0, "R", day(1))]
+    spark.createDataFrame(o, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(li, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_returnflag string, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.QUERIES["region_join"](spark, str(tmp_path))
+    assert sorted(r.l_key for r in got.collect()) == ["0", "1", "2", "3"]
+    assert "_cell_0" in plan(got)  # regions are not joined all against all
