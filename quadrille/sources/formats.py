@@ -37,15 +37,27 @@ def _tuples(lines: DataFrame, axes: list, key: Column | None = None, data: Colum
         bounds += [lo.cast("double").alias(f"lo_{d}"), hi.cast("double").alias(f"hi_{d}")]
     key = F.col("line_no").cast("string") if key is None else key
     version = now_us() if version is None else version
-    out = lines.select(key.alias("key"), *bounds, (F.col("value") if data is None else data).alias("data"), version.cast("long").alias("version_ts"), now_us().alias("received_ts"), F.lit("TUPLE").alias("kind"), (F.lit(True) if ok is None else ok).alias("_ok"))
-    read = F.col("_ok") & F.col("key").isNotNull()
-    for d in range(len(axes)):
-        read = read & F.col(f"lo_{d}").isNotNull() & F.col(f"hi_{d}").isNotNull()
-    return out.where(read).drop("_ok")
+    names = ["key", *(f"{k}_{d}" for d in range(len(axes)) for k in ("lo", "hi")), "version_ts"]
+    read = _once(lines, F.struct(key.alias("key"), *bounds, version.cast("long").alias("version_ts"), (F.lit(True) if ok is None else ok).alias("ok")), "_row")
+    kept = read.where(F.col("_row")["ok"])
+    for c in names[:-1]:
+        kept = kept.where(F.col("_row")[c].isNotNull())
+    of = {c: F.col("_row")[c].alias(c) for c in names}
+    return kept.select(*(of[c] for c in names[:-1]), (F.col("value") if data is None else data).alias("data"), of["version_ts"], now_us().alias("received_ts"), F.lit("TUPLE").alias("kind"))
 
 
-def _field(i: int, sep: str = ",") -> Column:
-    return F.get(F.split("value", sep), F.lit(i))
+def _once(df: DataFrame, c: Column, name: str) -> DataFrame:
+    """A column that is computed once a row, however often it is used: as a generator's output, neither
+    filters nor projections above repeat its expression."""
+    return df.select("*", F.explode(F.array(c)).alias(name))
+
+
+def _split(lines: DataFrame, sep: str = ",") -> DataFrame:
+    return _once(lines, F.split("value", sep), "_fields")
+
+
+def _field(i: int) -> Column:
+    return F.get("_fields", F.lit(i))
 
 
 def _number(c: Column) -> Column:
@@ -56,6 +68,12 @@ def _time(c: Column, pattern: str) -> Column:
     return F.try_to_timestamp(c, F.lit(pattern))
 
 
+def _parsed(lines: DataFrame, **values: Column) -> DataFrame:
+    """Values that are used several times, computed once a row."""
+    out = _once(lines, F.struct(*(c.alias(k) for k, c in values.items())), "_values")
+    return out.select("*", *(F.col("_values")[k].alias(k) for k in values))
+
+
 def _ends(a: Column, b: Column) -> tuple[Column, Column]:
     return F.when(a.isNotNull() & b.isNotNull(), F.least(a, b)), F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b))
 
@@ -70,8 +88,8 @@ def _points(coordinates: Column) -> Column:
 
 
 def _geo(lines: DataFrame) -> DataFrame:
-    parsed = lines.withColumn("g", F.from_json("value", FEATURE))
-    return parsed.withColumn("points", _points(F.col("g.geometry.coordinates")))
+    parsed = _once(lines, F.from_json("value", FEATURE), "g")
+    return _once(parsed, _points(F.col("g.geometry.coordinates")), "points")
 
 
 def _geo_axes() -> list:
@@ -109,10 +127,10 @@ def _bounds(text: Column) -> Column:
 
 def _synthetic(dimensions: int, at: int, keyed: bool):
     def read(lines: DataFrame) -> DataFrame:
-        parts = F.split("value", " ", at + 2)
-        b = _bounds(F.get(parts, F.lit(at)))
+        lines = _once(lines, F.split("value", " ", at + 2), "_fields")
+        lines, b = _once(lines, _bounds(_field(at)), "_bounds"), F.col("_bounds")
         axes = [(F.get(b, F.lit(2 * d)), F.get(b, F.lit(2 * d + 1))) for d in range(dimensions)]
-        return _tuples(lines, axes, key=F.get(parts, F.lit(0)) if keyed else None, data=F.get(parts, F.lit(at + 1)), ok=F.size(b) == 2 * dimensions)
+        return _tuples(lines, axes, key=_field(0) if keyed else None, data=_field(at + 1), ok=F.size(b) == 2 * dimensions)
 
     return read
 
@@ -130,36 +148,38 @@ _TAXI_TIME = "yyyy-MM-dd HH:mm:ss"
 
 def yellowtaxi_point(lines: DataFrame) -> DataFrame:
     at = F.unix_millis(_time(_field(1), _TAXI_TIME))
-    return _tuples(lines, [_number(_field(5)), _number(_field(6)), at], ok=_field(0) != "VendorID")
+    return _tuples(_split(lines), [_number(_field(5)), _number(_field(6)), at], ok=_field(0) != "VendorID")
 
 
 def yellowtaxi_range(lines: DataFrame) -> DataFrame:
     when = lambda i: F.unix_millis(_time(_field(i), _TAXI_TIME))
-    n = lambda i: _number(_field(i))
-    return _tuples(lines, [_ends(n(5), n(9)), _ends(n(6), n(10)), _ends(when(1), when(2))], ok=_field(0) != "VendorID")
+    values = {f"_n{i}": _number(_field(i)) for i in (5, 6, 9, 10)} | {f"_n{i}": when(i) for i in (1, 2)}
+    n = lambda i: F.col(f"_n{i}")
+    return _tuples(_parsed(_split(lines), **values), [_ends(n(5), n(9)), _ends(n(6), n(10)), _ends(n(1), n(2))], ok=_field(0) != "VendorID")
 
 
 def _day(i: int) -> Column:
-    return F.unix_millis(_time(_field(i, r"\|"), "yyyy-MM-dd"))
+    return F.unix_millis(_time(_field(i), "yyyy-MM-dd"))
 
 
 def tpch_lineitem_point(lines: DataFrame) -> DataFrame:
-    return _tuples(lines, [_day(10)])
+    return _tuples(_split(lines, r"\|"), [_day(10)])
 
 
 def tpch_lineitem_range(lines: DataFrame) -> DataFrame:
-    return _tuples(lines, [_ends(_day(10), _day(12))])
+    days = _parsed(_split(lines, r"\|"), _receipt=_day(10), _ship=_day(12))
+    return _tuples(days, [_ends(F.col("_receipt"), F.col("_ship"))])
 
 
 def tpch_order_point(lines: DataFrame) -> DataFrame:
-    return _tuples(lines, [_day(4)])
+    return _tuples(_split(lines, r"\|"), [_day(4)])
 
 
 def _rome(lines: DataFrame) -> DataFrame:
-    local = F.to_timestamp_ntz(F.replace(F.regexp_replace(_field(1, ";"), r"\+01", ""), F.lit(" "), F.lit("T")))
+    local = F.to_timestamp_ntz(F.replace(F.regexp_replace(_field(1), r"\+01", ""), F.lit(" "), F.lit("T")))
     at = F.unix_millis(F.convert_timezone(F.lit("Europe/Berlin"), F.lit("UTC"), local).cast("timestamp"))
-    p = lambda i: _number(F.regexp_extract(_field(2, ";"), r"POINT\(([-0-9.eE]+) ([-0-9.eE]+)\)", i))
-    return lines.withColumns({"taxi": _field(0, ";"), "at": at, "a": p(1), "b": p(2)})
+    p = lambda i: _number(F.regexp_extract(_field(2), r"POINT\(([-0-9.eE]+) ([-0-9.eE]+)\)", i))
+    return _parsed(_split(lines, ";"), taxi=_field(0), at=at, a=p(1), b=p(2))
 
 
 def rome_taxi_point(lines: DataFrame) -> DataFrame:
@@ -174,34 +194,35 @@ def rome_taxi_range(lines: DataFrame) -> DataFrame:
 
 
 def nari_dynamic(lines: DataFrame) -> DataFrame:
-    return _tuples(lines, [_number(_field(8)), _number(_field(6)), _number(_field(7))], key=_field(0), ok=F.size(F.split("value", ",")) == 9)
+    return _tuples(_split(lines), [_number(_field(8)), _number(_field(6)), _number(_field(7))], key=_field(0), ok=F.size("_fields") == 9)
 
 
 def forex_1d(lines: DataFrame) -> DataFrame:
-    return _tuples(lines, [_number(_field(1))], ok=F.size(F.split("value", ",")) == 4)
+    return _tuples(_split(lines), [_number(_field(1))], ok=F.size("_fields") == 4)
 
 
 def forex_2d(lines: DataFrame) -> DataFrame:
     """All digits after the minutes count as seconds, those of the milliseconds in real files too."""
     digits = F.regexp_extract(_field(0), r"^(\d{8} \d{4})\d+$", 1)
-    at = F.unix_seconds(_time(digits, "yyyyMMdd HHmm")) + F.substring(_field(0), 14, 20).try_cast("long")
-    return _tuples(lines, [at, _number(_field(1))], ok=F.size(F.split("value", ",")) == 4)
+    at = _parsed(_split(lines), _at=F.unix_seconds(_time(digits, "yyyyMMdd HHmm")) + F.substring(_field(0), 14, 20).try_cast("long"))
+    return _tuples(at, [F.col("_at"), _number(_field(1))], ok=F.size("_fields") == 4)
 
 
 def berlinmod_player(lines: DataFrame) -> DataFrame:
-    at = F.unix_millis(_time(_field(0), "dd-MM-yyyy HH:mm:ss"))
-    x, y = _number(_field(3)), _number(_field(4))
+    values = _parsed(_split(lines), _at=F.unix_millis(_time(_field(0), "dd-MM-yyyy HH:mm:ss")), _x=_number(_field(3)), _y=_number(_field(4)))
+    at, x, y = (F.col(c) for c in ("_at", "_x", "_y"))
     data = _line_feature(_field(1), [(y, x)], {"MOID": _field(1), "TRIP": _field(2)})
-    return _tuples(lines, [y, x], key=_field(1), data=data, version=at, ok=(F.size(F.split("value", ",")) == 5) & at.isNotNull())
+    return _tuples(values, [y, x], key=_field(1), data=data, version=at, ok=(F.size("_fields") == 5) & at.isNotNull())
 
 
 def berlinmod(lines: DataFrame) -> DataFrame:
     """Missing hours, minutes and seconds of a time are zero."""
     full = F.concat(F.rpad(_field(2), 10, " "), F.rpad(F.coalesce(F.nullif(F.substring(_field(2), 11, 9), F.lit("")), F.lit(" 00:00:00")), 9, ":00"))
     begin = F.unix_millis(F.coalesce(_time(_field(2), "yyyy-MM-dd HH:mm:ss"), _time(full, "yyyy-MM-dd HH:mm:ss")))
-    x = [_number(_field(i)) for i in range(4, 8)]
+    values = _parsed(_split(lines), _begin=begin, **{f"_x{i}": _number(_field(i + 4)) for i in range(4)})
+    x, begin = [F.col(f"_x{i}") for i in range(4)], F.col("_begin")
     data = _line_feature(_field(0), [(x[1], x[0]), (x[3], x[2])], {"TRIP": _field(1), "TSTART": _field(2), "TEND": _field(3)})
-    return _tuples(lines, [_ends(x[1], x[3]), _ends(x[0], x[2])], key=_field(0), data=data, version=begin, ok=(F.size(F.split("value", ",")) == 8) & begin.isNotNull())
+    return _tuples(values, [_ends(x[1], x[3]), _ends(x[0], x[2])], key=_field(0), data=data, version=begin, ok=(F.size("_fields") == 8) & begin.isNotNull())
 
 
 #: Fields of the aircraft messages.
@@ -212,7 +233,7 @@ def _aircraft(lines: DataFrame) -> DataFrame:
     """Each line with its aircraft's last known values up to it."""
     w = W.partitionBy("hex").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     value = lambda i: F.nullif(F.trim(_field(i)), F.lit(""))
-    split = lines.where(F.startswith("value", F.lit("MSG,"))).withColumns({"hex": _field(4), "type": _field(1), "at": F.unix_millis(_time(F.concat_ws(" ", _field(6), _field(7)), "yyyy/MM/dd HH:mm:ss.SSS")), **{f"v_{k}": value(i) for k, i in ADSB.items()}})
+    split = _parsed(_split(lines.where(F.startswith("value", F.lit("MSG,")))), **{"hex": _field(4), "type": _field(1), "at": F.unix_millis(_time(F.concat_ws(" ", _field(6), _field(7)), "yyyy/MM/dd HH:mm:ss.SSS")), **{f"v_{k}": value(i) for k, i in ADSB.items()}})
     return split.withColumns({k: F.last(f"v_{k}", ignorenulls=True).over(w) for k in ADSB})
 
 

@@ -154,3 +154,11 @@ def test_routing_by_enlarged_boxes(spark):
     got = {(r.key, r.region_id, r.lo_0) for r in partition.assign(t, regions, 1.0).collect()}
     assert got == {("1", 0, 9.5), ("1", 1, 9.5), ("2", 1, 15.0)}
     assert {(r.key, r.region_id) for r in partition.StaticGrid(Box.of(0, 30), (10.0,)).assign(t).collect()} == {("1", 0), ("2", 1)}
+
+
+def test_fields_are_computed_once_a_row(spark):
+    from quadrille.plans import format_queries, registry  # noqa: F401  the first adds its queries to the second
+
+    for name, times in (("format_tpch_lineitem", 2), ("format_yellowtaxi_range", 2), ("format_berlinmod", 2)):
+        text = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("split(") == 1 and text.count("gettimestamp(") == times
