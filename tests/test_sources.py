@@ -162,3 +162,10 @@ def test_fields_are_computed_once_a_row(spark):
     for name, times in (("format_tpch_lineitem", 2), ("format_yellowtaxi_range", 2), ("format_berlinmod", 2)):
         text = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert text.count("split(") == 1 and text.count("gettimestamp(") == times
+
+
+def test_taxi_lines_are_parsed_as_before(spark):
+    good = "1,2020-01-01 00:00:10,2020-01-01 00:00:05,1,2.5,3.5,-1,1,N,2,4,2" + ",0" * 7
+    lines = spark.createDataFrame([(1, good), (2, "VendorID,a,b"), (3, good.replace("3.5", "x")), (4, good.replace("2020-01-01 00:00:05", "?"))], "line_no long, value string")
+    (r,) = formats.read_tuples(lines, "yellowtaxi_range").collect()
+    assert (r.key, r.lo_0, r.hi_0, r.lo_1, r.hi_1, r.hi_2 - r.lo_2, r.data) == ("1", 2.0, 3.5, -1.0, 4.0, 5000.0, good)
