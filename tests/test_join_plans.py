@@ -58,3 +58,7 @@ def test_region_join_has_keys_of_any_size(spark, tmp_path):
     got = registry.QUERIES["region_join"](spark, str(tmp_path))
     assert sorted(r.l_key for r in got.collect()) == ["0", "1", "2", "3"]
     assert "_cell_0" in plan(got)  # regions are not joined all against all
+
+
+def test_three_way_join_runs_each_join_once(spark):
+    assert plan(registry.QUERIES["spatial_join_3way"](spark, SF)).count("Join Inner") == 2
