@@ -62,3 +62,10 @@ def test_region_join_has_keys_of_any_size(spark, tmp_path):
 
 def test_three_way_join_runs_each_join_once(spark):
     assert plan(registry.QUERIES["spatial_join_3way"](spark, SF)).count("Join Inner") == 2
+
+
+def test_larger_side_is_not_repeated(spark):
+    for name in ("spatial_join_2way", "join_dedup", "interval_join_orders_lineitem"):
+        text = plan(registry.QUERIES[name](spark, SF))
+        assert text.count("Join Inner") == 1 and "_cell_0" in text
+        assert text.count("Generate explode") == (1 if name.startswith("interval") else 2)
