@@ -69,3 +69,14 @@ def test_larger_side_is_not_repeated(spark):
         text = plan(registry.QUERIES[name](spark, SF))
         assert text.count("Join Inner") == 1 and "_cell_0" in text
         assert text.count("Generate explode") == (1 if name.startswith("interval") else 2)
+
+
+def test_large_rows_and_full_spaces_meet_all(spark):
+    rows = [(float(i), i + 1.0) for i in range(200)] + [(0.0, 190.0), (-1e38, 1e38), (float("inf"), float("inf")), (None, None)]
+    t = spark.createDataFrame([(str(i), *r) for i, r in enumerate(rows)], "key string, lo_0 double, hi_0 double")
+    u = t.unionByName(t.where("key < '2'").withColumn("key", F.concat("key", F.lit("u"))))
+    meet = lambda a, b: None in (a[0], b[0]) or a[0] <= b[1] and b[0] <= a[1]
+    other = rows + [r for i, r in enumerate(rows) if str(i) < "2"]
+    for x, y, p, q in ((t, u, rows, other), (u, t, other, rows)):
+        assert joins.overlap_join(x, y).count() == sum(meet(a, b) for a in p for b in q)
+        assert joins.overlap_join(x, y, cell=[0.001]).count() == sum(meet(a, b) for a in p for b in q)
