@@ -80,3 +80,9 @@ def test_large_rows_and_full_spaces_meet_all(spark):
     for x, y, p, q in ((t, u, rows, other), (u, t, other, rows)):
         assert joins.overlap_join(x, y).count() == sum(meet(a, b) for a in p for b in q)
         assert joins.overlap_join(x, y, cell=[0.001]).count() == sum(meet(a, b) for a in p for b in q)
+
+
+def test_filters_reach_their_side(spark):
+    lines = plan(registry.QUERIES["spatial_join_udf"](spark, SF)).splitlines()
+    below = [x for x in lines if "Filter" in x and "Contains(" in x]
+    assert len(below) == 2 and not any("Contains(" in x for x in lines if "Join" in x)
