@@ -86,3 +86,9 @@ def test_filters_reach_their_side(spark):
     lines = plan(registry.QUERIES["spatial_join_udf"](spark, SF)).splitlines()
     below = [x for x in lines if "Filter" in x and "Contains(" in x]
     assert len(below) == 2 and not any("Contains(" in x for x in lines if "Join" in x)
+
+
+def test_cells_do_not_grow_with_the_table(spark):
+    thin = lambda rows, span: joins.Extents(rows, 0, (0.5,), (0.5,), (0.0,), (span,))
+    sizes = [joins._sizes(thin(rows, span), thin(rows, span), [0.5], None)[0] for rows, span in ((10_000, 1e3), (10**7, 1e6), (10**7, 5e5))]
+    assert max(sizes) <= 8
